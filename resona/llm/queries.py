@@ -40,7 +40,16 @@ SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(len(w.words) - co
 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
 """
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from resona.llm.token_store import token_store
+
+    out = token_store(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_store": op3_token_store,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
