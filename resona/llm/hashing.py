@@ -46,10 +46,12 @@ def byte_values(seed: int, fold: bool) -> np.ndarray:
 
 @lru_cache(maxsize=4)
 def separators(kind: str) -> np.ndarray:
-    """space: the six ASCII white-space bytes. letters: every ASCII byte that is neither letter nor digit."""
+    """space: the six ASCII white-space bytes. letters: all ASCII bytes but letters and digits. symbols: all bytes but visible ASCII ones that are neither."""
     out = np.zeros(256, bool)
     if kind == "space":
         out[list(SPACE)] = True
+    elif kind == "symbols":
+        out[:] = [i <= 32 or i >= 127 or chr(i).isalnum() for i in range(256)]
     else:
         out[:128] = [not chr(i).isalnum() for i in range(128)]
     return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from resona.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from resona.llm.substring_dedup import substring_dedup
 
@@ -40,6 +46,20 @@ SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(len(w.words) - co
 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
 """
 
+def grade() -> Column:
+    """Ratings of `labels` as grades: 0 toxic, 1 of low quality, 2 good."""
+    return F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from resona.llm import quality
+
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"), grade(), 3)
+    out = quality.score(docs.select("doc_id", "text"), model, 2)
+    return out.select("doc_id", "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).alias("keep"))
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from resona.llm.token_store import token_store
@@ -49,7 +69,9 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_token_store": op3_token_store,
+    "op8_decontaminate": op8_decontaminate,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
