@@ -12,6 +12,78 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from resona.llm.warc import warc_round_trip
+
+    return warc_round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p
+)
+SELECT page_id, strlen(html) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INTEGER), 5) AS BIGINT) >> CAST(5 * (3 - i % 4) AS INTEGER)) & 31) AS INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
+FROM f
+"""
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from resona.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "replica", F.round("place", 9).alias("place"))
+
+
+OP6_SQL = """
+WITH s AS (
+  SELECT source, CAST(sum(coalesce(length(text), 0)) AS DOUBLE) AS chars FROM documents GROUP BY 1
+), w AS (
+  SELECT source, CASE WHEN chars > 0 THEN least(64.0, pow(chars, 0.7) / (SELECT sum(pow(chars, 0.7)) FROM s) * (SELECT sum(chars) FROM s) / chars) ELSE 1.0 END AS rate FROM s
+), k AS (
+  SELECT source, rate, unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 16) AS BIGINT) + 1)) AS k FROM w
+), p AS (
+  SELECT source, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p FROM k
+), c AS (
+  SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS cdf FROM p
+), u AS (
+  SELECT doc_id, source, md5(coalesce(text, '')) AS m,
+         (CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0 AS u
+  FROM documents
+), n AS (
+  SELECT u.doc_id, u.source, u.m, count(c.k) AS n FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source AND c.cdf < u.u GROUP BY ALL
+), r AS (
+  SELECT doc_id, source, m, CAST(unnest(range(0, n)) AS INTEGER) AS replica FROM n
+)
+SELECT doc_id, source, replica,
+       round((CAST('0x' || substr(md5('18:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || replica || ':' || m), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0, 9) AS place
+FROM r
+"""
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from resona.llm.token_counts import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+OP7_SQL = r"""
+WITH l AS (
+  SELECT doc_id, max(coalesce(toxic, 0) = 1) AS toxic, max(coalesce(quality, 1) = 0) AS low FROM labels WHERE doc_id IS NOT NULL GROUP BY 1
+), d AS (
+  SELECT d.source, d.lang, coalesce(l.toxic, false) AS toxic, coalesce(l.low, false) AS low,
+         len(regexp_extract_all(coalesce(d.text, ''), '[^\x20\x09-\x0D]+')) AS words,
+         len(regexp_extract_all(coalesce(d.text, ''), '[A-Za-z0-9\x{80}-\x{10FFFF}]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]')) AS pieces
+  FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id
+)
+SELECT source, lang, CASE WHEN low THEN 'pieces' ELSE 'words' END AS tokenizer, count(*) AS docs, CAST(sum(CASE WHEN low THEN pieces ELSE words END) AS BIGINT) AS tokens
+FROM d WHERE NOT toxic GROUP BY ALL
+"""
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from resona.llm.decontaminate import contaminated
 
@@ -71,10 +143,16 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_token_store": op3_token_store,
+    "op5_warc": op5_warc,
+    "op6_mixing": op6_mixing,
+    "op7_token_counts": op7_token_counts,
     "op8_decontaminate": op8_decontaminate,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
 SQL: dict[str, str] = {
+    "op5_warc": OP5_SQL,
+    "op6_mixing": OP6_SQL,
+    "op7_token_counts": OP7_SQL,
     "op9_substring_dedup": OP9_SQL,
 }
