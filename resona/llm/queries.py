@@ -118,6 +118,12 @@ SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(len(w.words) - co
 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
 """
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from resona.llm.ngram_join import ngram_join
+
+    return ngram_join(_table(spark, sf_dir, "documents"))
+
+
 def grade() -> Column:
     """Ratings of `labels` as grades: 0 toxic, 1 of low quality, 2 good."""
     return F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
@@ -141,6 +147,7 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_token_store": op3_token_store,
     "op5_warc": op5_warc,
