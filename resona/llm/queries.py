@@ -12,6 +12,35 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from resona.llm.topk_search import top_k
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return top_k(docs, docs.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), 10)
+
+
+OP4_SQL = r"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+')) AS term FROM documents
+), tf AS (
+  SELECT doc_id, term, count(*) AS n FROM t GROUP BY ALL
+), len AS (
+  SELECT doc_id, count(*) AS len FROM t GROUP BY 1
+), stats AS (
+  SELECT (SELECT count(*) FROM documents) AS docs, (SELECT count(*) FROM t) * 1.0::DOUBLE / (SELECT count(*) FROM documents) AS mean
+), idf AS (
+  SELECT term, ln(1 + (docs - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM tf, stats GROUP BY term, docs
+), s AS (
+  SELECT q.doc_id AS query_id, d.doc_id, round(sum(q.n * idf * d.n * 2.2::DOUBLE / (d.n + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))), 6) AS score
+  FROM tf q JOIN tf d ON d.term = q.term JOIN idf ON idf.term = q.term JOIN len ON len.doc_id = d.doc_id, stats
+  WHERE q.doc_id % 100 = 0 GROUP BY ALL
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s
+)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from resona.llm.warc import warc_round_trip
 
@@ -150,6 +179,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_token_store": op3_token_store,
+    "op4_topk_search": op4_topk_search,
     "op5_warc": op5_warc,
     "op6_mixing": op6_mixing,
     "op7_token_counts": op7_token_counts,
@@ -158,6 +188,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op4_topk_search": OP4_SQL,
     "op5_warc": OP5_SQL,
     "op6_mixing": OP6_SQL,
     "op7_token_counts": OP7_SQL,

@@ -29,9 +29,16 @@ PIECE = re.compile(r"\s*\S+|\s+")
 #: Characters that two regular expression engines may class differently; texts with one are encoded in one call.
 ODD = re.compile("[\u001c-\u001f\u0085\u00a0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 REMEMBERED = 400_000
+JOINED = 256
 LEVELS = 40
 
 
+def _byte_marks() -> set[str]:
+    """The characters that stand for bytes in a byte-level vocabulary: visible ones for themselves, others from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(i) for i in visible} | {chr(256 + k) for k in range(256 - len(visible))}
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
@@ -50,6 +57,10 @@ class Encoder:
         self.kind = np.dtype("<u2" if max(self.library.get_vocab_size(), end + 1) <= 1 << 16 else "<u4")
         self.end = np.array([end], self.kind).tobytes()
         self.known: dict[str, bytes] = {}
+        marks = _byte_marks()
+        self.lengths = np.zeros(max(self.library.get_vocab(with_added_tokens=True).values()) + 1, np.int64)
+        for token, i in self.library.get_vocab(with_added_tokens=False).items():
+            self.lengths[i] = len(token) if marks.issuperset(token) else len(token.encode())
 
     @classmethod
     def of(cls, path: str, end: int) -> Encoder:
@@ -60,6 +71,24 @@ class Encoder:
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces: those that begin with white space and end without are encoded as one text per JOINED of them.
+
+        The tokens of such a text are cut where their bytes make up the pieces.
+        """
+        apart = [p for p in pieces if not p[0].isspace() or p[-1].isspace()]
+        run = [p for p in pieces if p[0].isspace() and not p[-1].isspace()]
+        out = dict(zip(apart, self._bytes(apart), strict=True))
+        texts = ["".join(run[i : i + JOINED]) for i in range(0, len(run), JOINED)]
+        if texts:
+            ids = np.concatenate([np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)])
+            ends = np.cumsum(self.lengths[ids])
+            cuts = np.searchsorted(ends, np.cumsum([len(p.encode()) for p in run])) + 1
+            raw, width = ids.tobytes(), self.kind.itemsize
+            cuts = [0, *(cuts * width).tolist()]
+            out.update((p, raw[a:b]) for p, a, b in zip(run, cuts, cuts[1:], strict=False))
+        return [out[p] for p in pieces]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Raw ids of each text (null: empty), each with the end id."""
         pieces = [None if ODD.search(t or "") else PIECE.findall(t or "") for t in texts]
@@ -67,7 +96,7 @@ class Encoder:
         if len(self.known) + len(new) > REMEMBERED:
             self.known = {}
             new = list(set().union(*(p for p in pieces if p)))
-        self.known.update(zip(new, self._bytes(new), strict=True))
+        self.known.update(zip(new, self._pieces(new), strict=True))
         known = self.known.__getitem__
         return [(self._bytes([t])[0] if p is None else b"".join(map(known, p))) + self.end for t, p in zip(texts, pieces, strict=True)]
 
