@@ -175,6 +175,34 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from resona.llm.suffix_dedup import suffix_dedup
+
+    out = suffix_dedup(_table(spark, sf_dir, "documents"), 50)
+    return out.select("doc_id", "n_words", "n_repeated", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, p, md5(array_to_string(words[p:p + 49], ' ')) AS win
+  FROM w, LATERAL (SELECT unnest(range(1, len(words) - 48)) AS p) x
+), r AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY win ORDER BY doc_id, p) AS k, count(*) OVER (PARTITION BY win) AS n FROM s
+), gone AS (
+  SELECT doc_id, p + o AS q, max(k) > 1 AS later FROM r, (SELECT unnest(range(0, 50)) AS o) x WHERE n > 1 GROUP BY 1, 2
+), words AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS q FROM w
+), kept AS (
+  SELECT words.doc_id, count(gone.q) AS n_repeated, count(*) FILTER (coalesce(later, false)) AS n_removed,
+         string_agg(word, ' ' ORDER BY words.q) FILTER (NOT coalesce(later, false)) AS text
+  FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.q = words.q GROUP BY 1
+)
+SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, n_repeated, n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w JOIN kept ON kept.doc_id = w.doc_id WHERE n_repeated > 0
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_quality_classifier": op2_quality_classifier,
@@ -185,6 +213,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": op7_token_counts,
     "op8_decontaminate": op8_decontaminate,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 SQL: dict[str, str] = {
@@ -193,4 +222,5 @@ SQL: dict[str, str] = {
     "op6_mixing": OP6_SQL,
     "op7_token_counts": OP7_SQL,
     "op9_substring_dedup": OP9_SQL,
+    "op10_suffix_dedup": OP10_SQL,
 }
