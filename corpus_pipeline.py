@@ -1,15 +1,72 @@
-"""Corpus pipeline over `documents`; the stages are added as their operators are."""
+"""From raw documents to a token store: quality, near duplicates, decontamination, mixing, token ids.
+
+Each stage takes (spark, docs, sf_dir), docs being what the stage before it returned, and works on all of it.
+All but the last return the columns of `documents`; a document that is mixed in several times has as many rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from resona.llm import scratch
 
-STAGES: list = []
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Not expressible in SQL: a trained model, a tokenizer.
 ORACLE_SQL = None
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are likelier than not of the top grade (toxic 0, low quality 1, good 2)."""
+    from resona.llm.quality import score, train
+    from resona.llm.queries import grade
+
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), grade(), 3)
+    return score(docs, model, 2).where("tail_probability >= 0.5").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of the documents that similarity of 0.8 or more connects, the one with the least id."""
+    from resona.llm.ngram_join import one_of_each
+
+    return one_of_each(docs).select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item occurs."""
+    from resona.llm.decontaminate import decontaminate
+
+    return decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources brought to their target weights by repeating documents, in a shuffled order."""
+    from resona.llm.mixing import mix
+
+    return mix(docs).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A token store in ascending id order, read back: doc_id, replica, start, n_tokens, ids_crc32."""
+    import public_tokenizers
+    from resona.llm.token_store import token_store
+
+    out = token_store(docs, public_tokenizers.path("byte_bpe_50k.json"), 2)
+    return out.select("doc_id", F.col("ordinal").alias("replica"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+STAGES = [
+    ("quality_classifier", quality),
+    ("ngram_join", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("token_store", tokens),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`, each written as Parquet in the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
     return docs
