@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from resona.plans import signals
+from resona.plans import signals, text
 
-QUERIES = dict(signals.QUERIES)
-SQL = dict(signals.SQL)
+QUERIES = signals.QUERIES | text.QUERIES
+SQL = signals.SQL | text.SQL

@@ -76,10 +76,10 @@ def sig_validate(spark, d):
 
 
 @query("""WITH g AS (SELECT user_id AS signal_id, event_type AS channel, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts)) / 1e6 AS gap FROM events)
-SELECT signal_id, channel, round(median(gap), 3) AS spacing, CAST(floor(1e9 / median(gap) + 0.50001) AS BIGINT) AS nano_hz FROM g GROUP BY ALL HAVING median(gap) > 0""")
+SELECT signal_id, channel, CAST(floor(median(gap) * 1000 + 0.50001) AS BIGINT) AS spacing_ms, CAST(floor(1e9 / median(gap) + 0.50001) AS BIGINT) AS nano_hz FROM g GROUP BY ALL HAVING median(gap) > 0""")
 def sig_infer_fs(spark, d):
-    times = table(spark, d, "events").select(F.col("user_id").alias("signal_id"), F.col("event_type").alias("channel"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
-    return op.sampling_rate(times).select("signal_id", "channel", F.round("spacing", 3).alias("spacing"), F.floor(F.col("fs") * 1e9 + 0.50001).alias("nano_hz"))
+    times = table(spark, d, "events").select(F.col("user_id").alias("signal_id"), F.col("event_type").alias("channel"), ((F.unix_micros(F.col("ts").cast("timestamp")) - 1_704_067_200_000_000) / 1e6).alias("t"))
+    return op.sampling_rate(times).select("signal_id", "channel", F.floor(F.col("spacing") * 1000 + 0.50001).alias("spacing_ms"), F.floor(F.col("fs") * 1e9 + 0.50001).alias("nano_hz"))
 
 
 @query(f"""WITH {S}, c AS (SELECT *, i // 8 AS chunk FROM s), l AS (SELECT signal_id, channel, chunk, count(*) AS n, regr_slope(x, i) AS a, regr_intercept(x, i) AS b FROM c GROUP BY ALL HAVING count(*) >= 2)
