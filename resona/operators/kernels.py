@@ -230,35 +230,45 @@ def orbit(x: np.ndarray, y: np.ndarray | None, fs: float, fr: float, most: int =
     return a[lo:hi:step], b[lo:hi:step]
 
 
-def _channel(pdf: pd.DataFrame) -> np.ndarray:
-    return pdf.sort_values("i")["x"].to_numpy(float)
+def packed(signal: DataFrame, *more: str) -> DataFrame:
+    """A row per channel with its samples in order as one array, and the first of the columns `more`."""
+    xs = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"])
+    return signal.groupBy("signal_id", "channel").agg(xs.alias("xs"), *(F.first(c).alias(c) for c in more))
 
 
 def kurtograms(signal: DataFrame, fs: float, size: int = 1024) -> DataFrame:
     """The kurtogram of each channel; best marks the first greatest value (a level must exceed those before it)."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = kurtogram(_channel(pdf), fs, size)
-        best = max(range(len(rows)), key=lambda k: (rows[k][4], -k), default=-1)
-        return pd.DataFrame([(pdf["signal_id"].iloc[0], pdf["channel"].iloc[0], *r, k == best) for k, r in enumerate(rows)], columns=["signal_id", "channel", "level", "band", "f_lo", "f_hi", "kurtosis", "best"])
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for name, channel, xs in zip(pdf["signal_id"], pdf["channel"], pdf["xs"], strict=True):
+                rows = kurtogram(np.asarray(xs, float), fs, size)
+                best = max(range(len(rows)), key=lambda k: (rows[k][4], -k), default=-1)
+                out += [(name, channel, *r, k == best) for k, r in enumerate(rows)]
+            yield pd.DataFrame(out, columns=["signal_id", "channel", "level", "band", "f_lo", "f_hi", "kurtosis", "best"])
 
-    return signal.select("signal_id", "channel", "i", "x").groupBy("signal_id", "channel").applyInPandas(one, KURTOGRAM)
+    return packed(signal).mapInPandas(each, KURTOGRAM)
 
 
 def envelope_faults(signal: DataFrame, fs: float, fr: float, size: int = 1024) -> DataFrame:
     """Fault matches in each channel's envelope spectrum, all channels of a signal filtered to the band that its first channel's kurtogram chose.
 
-    signal: signal_id, channel, i, x and a struct `frequencies` of fault frequencies. Two grouped stages and a
-    join: the band is chosen once per signal and reaches the other channels as a column.
+    signal: signal_id, channel, i, x and a struct `frequencies` of fault frequencies. Two stages and a join: the
+    band is chosen once per signal and reaches the other channels as a column.
     """
 
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for row in pdf.itertuples(index=False):
+                x = detrend(np.asarray(row.xs, float))
+                lo, hi = (row.f_lo, row.f_hi) if pd.notna(row.f_lo) else (max(500.0, 0.1 * fs), min(0.45 * fs, 5000.0))
+                if len(x) >= 8:
+                    spectrum = envelope_spectrum(envelope(band_pass(x, fs, lo, max(hi, lo + 1))), fs)
+                    out += [(row.signal_id, row.channel, *f) for f in match(*spectrum, dict(row.frequencies), fr)]
+            yield pd.DataFrame(out, columns=["signal_id", "channel", "fault", "severity", "confidence", "n_harmonics", "sidebands"])
+
     first = signal.groupBy("signal_id").agg(F.min("channel").alias("channel"))
     chosen = kurtograms(signal.join(first, ["signal_id", "channel"]), fs, size).where("best").select("signal_id", "f_lo", "f_hi")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, row = detrend(_channel(pdf)), pdf.iloc[0]
-        lo, hi = (row["f_lo"], row["f_hi"]) if pd.notna(row["f_lo"]) else (max(500.0, 0.1 * fs), min(0.45 * fs, 5000.0))
-        found = match(*envelope_spectrum(envelope(band_pass(x, fs, lo, max(hi, lo + 1))), fs), dict(row["frequencies"]), fr) if len(x) >= 8 else []
-        return pd.DataFrame([(row["signal_id"], row["channel"], *f) for f in found], columns=["signal_id", "channel", "fault", "severity", "confidence", "n_harmonics", "sidebands"])
-
-    return signal.join(chosen, "signal_id", "left").groupBy("signal_id", "channel").applyInPandas(one, FAULT)
+    return packed(signal, "frequencies").join(chosen, "signal_id", "left").mapInPandas(each, FAULT)
