@@ -2,7 +2,8 @@
 
 P(grade <= k) = sigmoid(threshold_k - w.x): one weight vector shared by all grades, ordered thresholds.
 x says which hashed words and symbol runs a text holds (present or not), its length (as a power of two)
-and the share of its words that repeat the word before (in twentieths). Only features whose share
+and, in twentieths, how many of its words repeat the word before, how many symbol runs it has per word and
+how many of its bytes are capitals. Only features whose share
 differs clearly between the top grade and some other grade have a weight.
 """
 
@@ -25,17 +26,19 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Distinct hashed features of a column of texts: (document index, feature), sorted."""
     from resona.llm.hashing import word_hashes, word_spans
 
-    parts = []
+    parts, sizes = [], {}
     for kind, seed in (("letters", 3), ("symbols", 4)):
         starts, ends, bounds = word_spans(data, offsets, kind)
-        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
+        sizes[kind] = np.diff(bounds)
+        doc = np.repeat(np.arange(len(offsets) - 1), sizes[kind])
         words = word_hashes(data, starts, ends, seed, fold=True)
         parts.append((doc.astype(np.int64) << BITS) | (words >> np.uint64(64 - BITS)).astype(np.int64))
         if kind == "letters":
-            n = np.diff(bounds)
-            again = np.bincount(doc[1:], (words[1:] == words[:-1]) & (doc[1:] == doc[:-1]), minlength=len(n)) if len(doc) else np.zeros(len(n))
-            levels = (np.frexp(n)[1], 64 + np.ceil(20 * again / np.maximum(n, 1)).astype(np.int64))
-            parts += [(np.arange(len(n), dtype=np.int64) << BITS) | x for x in levels]
+            again = np.bincount(doc[1:], (words[1:] == words[:-1]) & (doc[1:] == doc[:-1]), minlength=len(offsets) - 1) if len(doc) else np.zeros(len(offsets) - 1)
+    capitals = np.diff(np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90))])[offsets])
+    n = np.maximum(sizes["letters"], 1)
+    levels = (np.frexp(sizes["letters"])[1], 64 + np.ceil(20 * again / n), 128 + np.minimum(np.ceil(20 * sizes["symbols"] / n), 60), 192 + np.ceil(20 * capitals / np.maximum(np.diff(offsets), 1)))
+    parts += [(np.arange(len(n), dtype=np.int64) << BITS) | x.astype(np.int64) for x in levels]
     both = np.unique(np.concatenate(parts))
     return both >> BITS, both & ((1 << BITS) - 1)
 
@@ -51,7 +54,7 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - eta[:, None], -50, 50)))
 
 
-def fit(doc: np.ndarray, feature: np.ndarray, grade: np.ndarray, grades: int, z: float = 4.0, decay: float = 2e-4, steps: int = 400) -> Model:
+def fit(doc: np.ndarray, feature: np.ndarray, grade: np.ndarray, grades: int, z: float = 5.0, decay: float = 2e-4, steps: int = 400) -> Model:
     """Full-batch Adam on the ordinal likelihood; thresholds are a first one and positive steps."""
     n, top = len(grade), grades - 1
     total = np.bincount(grade, minlength=grades)
