@@ -46,3 +46,17 @@ def test_masks_and_tables(spark):
     rows = spark.createDataFrame([([["a", "b"], ["1", None]],)], "rows array<array<string>>")
     q = rows.select(ing.table_quality(F.col("rows")).alias("q")).first()["q"]
     assert (q.cells, q.filled, q.ghost, q.reliable) == (4, 3, False, False)
+
+
+def test_records(spark):
+    import uuid
+
+    from resona.functions import records as rec
+
+    t = F.col("t")
+    assert one(spark, rec.uuid5(t), "é_child_1") == str(uuid.uuid5(uuid.NAMESPACE_DNS, "é_child_1"))
+    assert one(spark, rec.uuid5(t), str(uuid.NAMESPACE_URL)) == str(uuid.NAMESPACE_URL)
+    assert one(spark, rec.order_number(t), "0.5X") == 0.5 and one(spark, rec.order_number(t), "X") is None
+    assert one(spark, rec.harmonics(F.lit(2.0), 3)) == [2.0, 4.0, 6.0]
+    assert one(spark, rec.markdown(F.array(F.lit("a"), F.lit("b")), F.array(F.array(t, F.lit(None).cast("string")))), "x\ny") == "| a | b |\n| --- | --- |\n| x y |  |"
+    assert one(spark, F.variant_get(rec.first_json(t), "$.a", "int"), 'so ```json\n{"a": 3}\n``` ok') == 3
