@@ -33,11 +33,11 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(spark: SparkSession, *tables: DataFrame | str) -> None:
+def drop(spark: SparkSession, *tables: DataFrame) -> None:
     """Remove kept tables that nothing will read again."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for table in tables:
-        for name in [table] if isinstance(table, str) else {f.rpartition("/")[0] for f in table.inputFiles()}:
+        for name in {f.rpartition("/")[0] for f in table.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(conf).delete(path, True)
 
