@@ -28,7 +28,8 @@ ENTRY = "shard long, addr long, no_key boolean, ordinal int, at long, n long"
 PIECE = re.compile(r"\s*\S+|\s+")
 #: Characters that two regular expression engines may class differently; texts with one are encoded in one call.
 ODD = re.compile("[\u001c-\u001f\u0085\u00a0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
-REMEMBERED = 400_000
+#: Pieces in each of two generations; those used again move to the newer before the older is dropped.
+REMEMBERED = 250_000
 JOINED = 256
 LEVELS = 40
 
@@ -57,6 +58,7 @@ class Encoder:
         self.kind = np.dtype("<u2" if max(self.library.get_vocab_size(), end + 1) <= 1 << 16 else "<u4")
         self.end = np.array([end], self.kind).tobytes()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         marks = _byte_marks()
         self.lengths = np.zeros(max(self.library.get_vocab(with_added_tokens=True).values()) + 1, np.int64)
         for token, i in self.library.get_vocab(with_added_tokens=False).items():
@@ -92,10 +94,13 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Raw ids of each text (null: empty), each with the end id."""
         pieces = [None if ODD.search(t or "") else PIECE.findall(t or "") for t in texts]
-        new = list(set().union(*(p for p in pieces if p)) - self.known.keys())
+        new = set().union(*(p for p in pieces if p)) - self.known.keys()
         if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = list(set().union(*(p for p in pieces if p)))
+            self.known, self.older = {}, self.known
+            new = set().union(*(p for p in pieces if p))
+        again = {p: self.older[p] for p in new if p in self.older}
+        self.known.update(again)
+        new = list(new - again.keys())
         self.known.update(zip(new, self._pieces(new), strict=True))
         known = self.known.__getitem__
         return [(self._bytes([t])[0] if p is None else b"".join(map(known, p))) + self.end for t, p in zip(texts, pieces, strict=True)]
