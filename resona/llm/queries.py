@@ -153,6 +153,31 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"))
 
 
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(words[p:p + 4], ' ')) AS g
+  FROM w, LATERAL (SELECT unnest(range(1, greatest(len(words) - 3, 2))) AS p) x WHERE len(words) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n, md5(string_agg(g, '' ORDER BY g)) AS whole FROM s GROUP BY 1
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 9 * c >= 4 * (x.n + y.n)
+), r AS (
+  SELECT DISTINCT a AS doc_id, a AS other FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other
+), c AS (
+  SELECT doc_id, min(other) AS class_id FROM r GROUP BY 1
+), k AS (
+  SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY 1
+)
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(n_links, 0) AS n_links,
+       CASE WHEN whole IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY whole) END AS n_copies
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+
 def grade() -> Column:
     """Ratings of `labels` as grades: 0 toxic, 1 of low quality, 2 good."""
     return F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
@@ -217,6 +242,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_ngram_join": OP1_SQL,
     "op4_topk_search": OP4_SQL,
     "op5_warc": OP5_SQL,
     "op6_mixing": OP6_SQL,
