@@ -49,6 +49,7 @@ class Text:
         self.words = word_hashes(data, starts, ends, 1)
         self.length, self.core = length, length - REACH + 1
         self._windows = window_hashes
+        self.windows: np.ndarray | None = None
 
     def suffixes(self) -> tuple[np.ndarray, np.ndarray]:
         """Positions with CORE words to go in their document, and the hashes of those words."""
@@ -63,12 +64,13 @@ class Text:
 
     def extensions(self, at: np.ndarray) -> np.ndarray:
         """A row per suffix: hashes of the LENGTH words from 0, 1, .. REACH - 1 before it (0: not in its document)."""
-        windows = self._windows(self.words, self.length, 13)
+        if self.windows is None:
+            self.windows = self._windows(self.words, self.length, 13)
         doc = np.searchsorted(self.bounds, at, side="right") - 1
         begin = at[:, None] - np.arange(REACH)[None, :]
         inside = (begin >= self.bounds[doc][:, None]) & (begin + self.length <= self.bounds[doc + 1][:, None])
         out = np.zeros(begin.shape, U)
-        out[inside] = windows[begin[inside]] | U(1)
+        out[inside] = self.windows[begin[inside]] | U(1)
         return out
 
 
@@ -100,17 +102,23 @@ def _with_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield last
 
 
-def _extended(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, dict[str, np.ndarray]]]:
+    """chunk, payload and the fields of the list in the third column, one row at a time; rows of an empty list are left out."""
     for batch in batches:
-        for row in batch.to_pylist():
-            if row["found"]:
-                at = np.array([f["at"] for f in row["found"]], np.int64)
-                rows = Text(row["payload"], length).extensions(at)
-                for lo in range(0, len(at), 20_000):
-                    part = rows[lo : lo + 20_000]
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * REACH), pa.array(part.ravel().view(np.int64)))
-                    own = row["found"][lo : lo + 20_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([f["core"] for f in own], pa.int64()), pa.array([row["chunk"]] * len(own), pa.int64()), pa.array([f["at"] for f in own], pa.int32()), lists], ["core", "chunk", "at", "extensions"])
+        for i in range(batch.num_rows):
+            found = batch.column(2)[i].values
+            if found is not None and len(found):
+                yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), {f.name: found.field(f.name).to_numpy() for f in found.type}
+
+
+def _extended(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    for chunk, payload, found in _each(batches):
+        text = Text(payload, length)
+        for lo in range(0, len(found["at"]), 10_000):
+            at, core = (found[k][lo : lo + 10_000] for k in ("at", "core"))
+            hashes = text.extensions(at.astype(np.int64)).ravel().view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * REACH), pa.array(hashes))
+            yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(np.full(len(at), chunk, np.int64)), pa.array(at), lists], ["core", "chunk", "at", "extensions"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,31 +170,28 @@ def _spans(mask: np.ndarray) -> list[dict]:
 
 
 def _results(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            if not row["masks"]:
-                continue
-            text = Text(row["payload"], length)
-            n = int(text.bounds[-1])
-            at = np.array([m["at"] for m in row["masks"]], np.int64)
-            covers = []
-            for name in ("repeated", "later"):
-                bits = np.array([m[name] for m in row["masks"]], np.int64)
-                starts = np.unique(np.concatenate([at[(bits >> a) & 1 == 1] - a for a in range(REACH)]))
-                cover = np.zeros(n + 1, np.int64)
-                cover[starts] += 1
-                cover[starts + length] -= 1
-                covers.append(np.cumsum(cover)[:n] > 0)
-            out: dict[str, list] = {k: [] for k in ("doc_id", "n_words", "n_repeated", "n_removed", "spans", "kept")}
-            keys, texts = text.table.column("key").to_pylist(), text.table.column("text").cast(pa.large_binary())
-            touched = np.unique(np.searchsorted(text.bounds, np.flatnonzero(covers[0]), side="right") - 1)
-            for i in touched:
-                a, b = text.bounds[i], text.bounds[i + 1]
-                own, gone = texts[int(i)].as_py().split(), covers[1][a:b]
-                for k, v in zip(out, (keys[i], b - a, covers[0][a:b].sum(), gone.sum(), _spans(covers[0][a:b]), b" ".join(own[j] for j in np.flatnonzero(~gone)).decode()), strict=True):
-                    out[k].append(v if isinstance(v, (list, str)) or v is None else int(v))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out.values(), kinds, strict=True)], list(out))
+    for _, payload, masks in _each(batches):
+        text = Text(payload, length)
+        n = int(text.bounds[-1])
+        at = masks["at"].astype(np.int64)
+        covers = []
+        for name in ("repeated", "later"):
+            bits = masks[name]
+            starts = np.unique(np.concatenate([at[(bits >> a) & 1 == 1] - a for a in range(REACH)]))
+            cover = np.zeros(n + 1, np.int64)
+            cover[starts] += 1
+            cover[starts + length] -= 1
+            covers.append(np.cumsum(cover)[:n] > 0)
+        out: dict[str, list] = {k: [] for k in ("doc_id", "n_words", "n_repeated", "n_removed", "spans", "kept")}
+        keys, texts = text.table.column("key").to_pylist(), text.table.column("text").cast(pa.large_binary())
+        touched = np.unique(np.searchsorted(text.bounds, np.flatnonzero(covers[0]), side="right") - 1)
+        for i in touched:
+            a, b = text.bounds[i], text.bounds[i + 1]
+            own, gone = texts[int(i)].as_py().split(), covers[1][a:b]
+            for k, v in zip(out, (keys[i], b - a, covers[0][a:b].sum(), gone.sum(), _spans(covers[0][a:b]), b" ".join(own[j] for j in np.flatnonzero(~gone)).decode()), strict=True):
+                out[k].append(v if isinstance(v, (list, str)) or v is None else int(v))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out.values(), kinds, strict=True)], list(out))
 
 
 def suffix_dedup(docs: DataFrame, length: int = 50, key: str = "doc_id", chunk_bytes: int = 4 << 20) -> DataFrame:
