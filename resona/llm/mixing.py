@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from resona.llm import scratch
+
 
 def uniform(seed: int, *parts: Column) -> Column:
     """A value in (0, 1) from the first 52 bits of an MD5, the same in any engine."""
@@ -30,10 +32,11 @@ def rates(docs: DataFrame, temperature: float = 0.7, source: str = "source", mos
     of 0, 1, 2, .. copies, as far as rate + 12 * sqrt(rate) + 16.
     """
     sizes = docs.groupBy(F.col(source).alias("source")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).alias("chars"))
-    total = sizes.agg(F.sum("chars").alias("total"), F.sum(F.pow(F.col("chars").cast("double"), F.lit(temperature))).alias("power"))
-    weighed = sizes.crossJoin(F.broadcast(total))  # one row of totals
-    out = weighed.withColumn("weight", F.pow(F.col("chars").cast("double"), F.lit(temperature)) / F.col("power"))
-    out = out.withColumn("rate", F.when(F.col("chars") > 0, F.least(F.lit(most), F.col("weight") * F.col("total") / F.col("chars"))).otherwise(F.lit(1.0)))
+    sizes = scratch.keep(sizes, "sizes")
+    power = F.pow(F.col("chars").cast("double"), F.lit(temperature))
+    total = sizes.agg(F.sum("chars").alias("chars"), F.sum(power).alias("power")).first()
+    out = sizes.withColumn("weight", power / F.lit(total["power"] or 1.0))
+    out = out.withColumn("rate", F.when(F.col("chars") > 0, F.least(F.lit(most), F.col("weight") * F.lit(float(total["chars"] or 0)) / F.col("chars"))).otherwise(F.lit(1.0)))
     steps = F.expr("sequence(1, cast(ceil(rate + 12 * sqrt(rate) + 16) as int))")
     pmf = F.aggregate(steps, F.array(F.exp(-F.col("rate"))), lambda a, k: F.concat(a, F.array(F.element_at(a, -1) * F.col("rate") / k)))
     cdf = F.aggregate(pmf, F.array().cast("array<double>"), lambda a, p: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + p)))
@@ -43,16 +46,18 @@ def rates(docs: DataFrame, temperature: float = 0.7, source: str = "source", mos
 def mix(docs: DataFrame, seed: int = 17, temperature: float = 0.7, key: str = "doc_id", source: str = "source") -> DataFrame:
     """docs with each row repeated its Poisson number of times (perhaps none), in a globally shuffled order.
 
-    Adds replica (from 0) and place (a uniform value; the result is sorted by it over all its partitions).
+    Adds replica (from 0) and place (a uniform value; rows go to partitions by its hash, sorted by it in each).
     Target weights: see rates(). Null and empty texts count no characters; a source of none has rate 1. Rows
     of one key with one text draw the same number; null keys draw by text. Columns called replica and place
     are replaced, other extra columns pass through. An empty table stays empty.
     """
     docs = docs.drop("replica", "place")
-    table = rates(docs, temperature, source).select(F.col("source").alias("_source"), F.col("cdf").alias("_cdf"))
-    # one row of some hundred bytes per source; Spark broadcasts it below its size limit, else it splits the hot source
+    # one row of some hundred bytes per source; written, so that its size is known when the join is planned: Spark
+    # broadcasts it below its limit, without dealing out any text by source, and else splits the hot source
+    table = scratch.keep(rates(docs, temperature, source).select(F.col("source").alias("_source"), F.col("cdf").alias("_cdf")), "rates")
     joined = docs.join(table, F.col(source).eqNullSafe(F.col("_source")))
     drawn = joined.withColumn("_n", counts(uniform(seed, F.col(key), F.md5(F.coalesce("text", F.lit("")).cast("binary"))), F.col("_cdf"))).drop("_source", "_cdf")
     copied = drawn.where("_n > 0").withColumn("replica", F.explode(F.expr("sequence(0, _n - 1)"))).drop("_n")
     placed = copied.withColumn("place", uniform(seed + 1, F.col(key), F.col("replica"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    return placed.repartitionByRange("place").sortWithinPartitions("place")
+    # places are uniform, so dealing rows out by their hash is a global shuffle; a range would read all texts twice
+    return placed.repartition("place").sortWithinPartitions("place")
