@@ -26,7 +26,7 @@ from resona.llm import scratch
 
 K1, B = 1.2, 0.75
 BLOCK = 128
-SHARD_BYTES, SHARD_DOCS = 64 << 20, 20_000
+SHARD_BYTES, SHARD_DOCS = 16 << 20, 20_000
 #: The most terms of a shard that are kept as rows over all its documents, those of at least 1 / COMMON_SHARE of them.
 COMMON, COMMON_SHARE = 512, 24
 U = np.uint64
