@@ -2,7 +2,8 @@
 
 Each document of a source is repeated a Poisson number of times whose mean brings the source to its target
 share of characters. The number comes from inverting the distribution at a uniform value hashed from seed,
-document and text, so every run and every retried task draws the same. Built-in functions only.
+document and text, so every run and every retried task draws the same. A large mean is the sum of several such
+draws of bounded mean, which is a Poisson number again. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -24,23 +25,34 @@ def counts(u: Column, table: Column) -> Column:
     return F.size(F.filter(table, lambda c: c < u))
 
 
+def draws(seed: int, key: Column, digest: Column, n: Column) -> Column:
+    """n uniform values of a document; the first is that of a single draw, the others hash their number too."""
+    numbers = F.sequence(F.lit(1), n)
+    # an array of one binds the digest, so that the text is hashed once whatever n is
+    each = F.transform(F.array(digest), lambda m: F.transform(numbers, lambda i: uniform(seed, key, F.when(i == 1, m).otherwise(F.concat_ws(":", m, i.cast("string"))))))
+    return F.element_at(each, 1)
+
+
 def rates(docs: DataFrame, temperature: float = 0.7, source: str = "source", most: float = 64.0) -> DataFrame:
-    """A row per source (null is a source of its own): chars, weight, rate and cdf.
+    """A row per source (null is a source of its own): chars, weight, rate, draws and cdf.
 
     weight: the source's share of all characters to the power `temperature`, made to sum to 1. rate: the mean
-    number of copies that brings the whole mix back to the size of the input. cdf: cumulative probabilities
-    of 0, 1, 2, .. copies, as far as rate + 12 * sqrt(rate) + 16.
+    number of copies that brings the whole mix back to the size of the input, without a limit. draws: over how
+    many independent draws the rate is spread, so that none has a mean above `most`, where exp(-mean) would
+    near zero. cdf: cumulative probabilities of 0, 1, 2, .. copies in one draw of mean = rate / draws, as far
+    as mean + 12 * sqrt(mean) + 16.
     """
     sizes = docs.groupBy(F.col(source).alias("source")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).alias("chars"))
     sizes = scratch.keep(sizes, "sizes")
     power = F.pow(F.col("chars").cast("double"), F.lit(temperature))
     total = sizes.agg(F.sum("chars").alias("chars"), F.sum(power).alias("power")).first()
     out = sizes.withColumn("weight", power / F.lit(total["power"] or 1.0))
-    out = out.withColumn("rate", F.when(F.col("chars") > 0, F.least(F.lit(most), F.col("weight") * F.lit(float(total["chars"] or 0)) / F.col("chars"))).otherwise(F.lit(1.0)))
-    steps = F.expr("sequence(1, cast(ceil(rate + 12 * sqrt(rate) + 16) as int))")
-    pmf = F.aggregate(steps, F.array(F.exp(-F.col("rate"))), lambda a, k: F.concat(a, F.array(F.element_at(a, -1) * F.col("rate") / k)))
+    out = out.withColumn("rate", F.when(F.col("chars") > 0, F.col("weight") * F.lit(float(total["chars"] or 0)) / F.col("chars")).otherwise(F.lit(1.0)))
+    out = out.withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / most).cast("int"))).withColumn("mean", F.col("rate") / F.col("draws"))
+    steps = F.expr("sequence(1, cast(ceil(mean + 12 * sqrt(mean) + 16) as int))")
+    pmf = F.aggregate(steps, F.array(F.exp(-F.col("mean"))), lambda a, k: F.concat(a, F.array(F.element_at(a, -1) * F.col("mean") / k)))
     cdf = F.aggregate(pmf, F.array().cast("array<double>"), lambda a, p: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + p)))
-    return out.select("source", "chars", "weight", "rate", cdf.alias("cdf"))
+    return out.select("source", "chars", "weight", "rate", "draws", cdf.alias("cdf"))
 
 
 def mix(docs: DataFrame, seed: int = 17, temperature: float = 0.7, key: str = "doc_id", source: str = "source") -> DataFrame:
@@ -54,9 +66,10 @@ def mix(docs: DataFrame, seed: int = 17, temperature: float = 0.7, key: str = "d
     docs = docs.drop("replica", "place")
     # one row of some hundred bytes per source; written, so that its size is known when the join is planned: Spark
     # broadcasts it below its limit, without dealing out any text by source, and else splits the hot source
-    table = scratch.keep(rates(docs, temperature, source).select(F.col("source").alias("_source"), F.col("cdf").alias("_cdf")), "rates")
+    table = scratch.keep(rates(docs, temperature, source).select(F.col("source").alias("_source"), F.col("draws").alias("_draws"), F.col("cdf").alias("_cdf")), "rates")
     joined = docs.join(table, F.col(source).eqNullSafe(F.col("_source")))
-    drawn = joined.withColumn("_n", counts(uniform(seed, F.col(key), F.md5(F.coalesce("text", F.lit("")).cast("binary"))), F.col("_cdf"))).drop("_source", "_cdf")
+    values = draws(seed, F.col(key), F.md5(F.coalesce("text", F.lit("")).cast("binary")), F.col("_draws"))
+    drawn = joined.withColumn("_n", F.aggregate(values, F.lit(0), lambda n, u: n + counts(u, F.col("_cdf")))).drop("_source", "_draws", "_cdf")
     copied = drawn.where("_n > 0").withColumn("replica", F.explode(F.expr("sequence(0, _n - 1)"))).drop("_n")
     placed = copied.withColumn("place", uniform(seed + 1, F.col(key), F.col("replica"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     # places are uniform, so dealing rows out by their hash is a global shuffle; a range would read all texts twice

@@ -228,6 +228,28 @@ def test_poisson_inversion(spark):
         assert r.cdf == pytest.approx(np.cumsum(p).tolist())
 
 
+def test_rates_have_no_limit(spark, make_docs):
+    docs = make_docs([(1, "x" * 2_000_000, "hot")] + [(10 + i, "y", f"rare{i}") for i in range(40)])
+    rates = {r.source: r for r in mixing.rates(docs).collect()}
+    rate = 2_000_040 / (2_000_000**0.7 + 40)
+    assert rates["rare0"].rate == pytest.approx(rate) and rate > 70
+    assert max(len(r.cdf) for r in rates.values()) < 200
+    got = Counter(r.doc_id for r in mixing.mix(docs).where("source != 'hot'").select("doc_id").collect())
+    n = np.array([got[10 + i] for i in range(40)])
+    assert abs(n.mean() - rate) < 4 * (rate / 40) ** 0.5
+    assert 0.3 * rate < n.var(ddof=1) < 2 * rate
+
+
+def test_large_rates_do_not_underflow(spark, make_docs):
+    docs = make_docs([(10 + i, "y" * 10) for i in range(40)])
+    d = math.ceil(2000 / 64)
+    mean = 2000 / d
+    cdf = np.cumsum([math.exp(-mean + k * math.log(mean) - math.lgamma(k + 1)) for k in range(200)]).tolist()
+    values = mixing.draws(17, F.col("doc_id"), F.md5(F.col("text").cast("binary")), F.lit(d))
+    n = [r.n for r in docs.select(F.aggregate(values, F.lit(0), lambda a, u: a + mixing.counts(u, F.array(*map(F.lit, cdf)))).alias("n")).collect()]
+    assert abs(np.mean(n) - 2000) < 4 * (2000 / 40) ** 0.5 and np.var(n) < 4500
+
+
 # op7
 
 
