@@ -33,6 +33,11 @@ def draws(seed: int, key: Column, digest: Column, n: Column) -> Column:
     return F.element_at(each, 1)
 
 
+def placed(seed: int, key: str) -> Column:
+    """The place of a copy in the shuffled order, from seed, key, replica and text."""
+    return uniform(seed + 1, F.col(key), F.col("replica"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+
+
 def rates(docs: DataFrame, temperature: float = 0.7, source: str = "source", most: float = 64.0) -> DataFrame:
     """A row per source (null is a source of its own): chars, weight, rate, draws and cdf.
 
@@ -71,6 +76,6 @@ def mix(docs: DataFrame, seed: int = 17, temperature: float = 0.7, key: str = "d
     values = draws(seed, F.col(key), F.md5(F.coalesce("text", F.lit("")).cast("binary")), F.col("_draws"))
     drawn = joined.withColumn("_n", F.aggregate(values, F.lit(0), lambda n, u: n + counts(u, F.col("_cdf")))).drop("_source", "_draws", "_cdf")
     copied = drawn.where("_n > 0").withColumn("replica", F.explode(F.expr("sequence(0, _n - 1)"))).drop("_n")
-    placed = copied.withColumn("place", uniform(seed + 1, F.col(key), F.col("replica"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    dealt = copied.withColumn("place", placed(seed, key))
     # places are uniform, so dealing rows out by their hash is a global shuffle; a range would read all texts twice
-    return placed.repartition("place").sortWithinPartitions("place")
+    return dealt.repartition("place").sortWithinPartitions("place")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from resona.llm import scratch
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -62,9 +64,11 @@ FROM f
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from resona.llm.mixing import mix
+    from resona.llm.mixing import mix, placed
 
-    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "replica", F.round("place", 9).alias("place"))
+    # whole rows are shuffled and written; the places are those of the texts read back
+    mixed = scratch.keep(mix(_table(spark, sf_dir, "documents"), 17), "mixed")
+    return mixed.select("doc_id", "source", "replica", F.round(placed(17, "doc_id"), 9).alias("place"))
 
 
 OP6_SQL = """

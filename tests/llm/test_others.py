@@ -228,6 +228,19 @@ def test_poisson_inversion(spark):
         assert r.cdf == pytest.approx(np.cumsum(p).tolist())
 
 
+def test_mixing_query_moves_whole_rows(spark, sf_dir):
+    from resona.llm import queries
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = queries.op6_mixing(spark, sf_dir)
+    written = spark.read.parquet(*out.inputFiles())
+    assert set(docs.columns) < set(written.columns)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = written.collect()
+    assert all(r.text == texts[r.doc_id] for r in rows)
+    assert Counter((r.doc_id, r.replica, round(r.place, 9)) for r in rows) == Counter((r.doc_id, r.replica, r.place) for r in out.collect())
+
+
 def test_rates_have_no_limit(spark, make_docs):
     docs = make_docs([(1, "x" * 2_000_000, "hot")] + [(10 + i, "y", f"rare{i}") for i in range(40)])
     rates = {r.source: r for r in mixing.rates(docs).collect()}
