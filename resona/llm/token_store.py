@@ -26,7 +26,7 @@ from resona.llm.hashing import mix
 U = np.uint64
 ENTRY = "shard long, addr long, no_key boolean, ordinal int, at long, n long"
 PIECE = re.compile(r"\s*\S+|\s+")
-#: Characters that two regular expression engines may class differently; texts with one are encoded in one call.
+#: Characters that two regular expression engines may class differently; texts with one are encoded in one call, as are those with an added token.
 ODD = re.compile("[\u001c-\u001f\u0085\u00a0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 #: Pieces in each of two generations; those used again move to the newer before the older is dropped.
 REMEMBERED = 250_000
@@ -44,7 +44,8 @@ class Encoder:
     """Ids of whole texts by the tokenizers library.
 
     A byte-level BPE never joins characters over a change from a visible one to white space, so a text's
-    ids are those of its pieces; each different piece is encoded once and remembered.
+    ids are those of its pieces; each different piece is encoded once and remembered. Added tokens (such as
+    <|endoftext|>) are found in a text before that, so texts with one are encoded in one call.
     """
 
     _made: dict[tuple[str, int], Encoder] = {}
@@ -54,7 +55,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.added = added
+        # an added token with white space inside could arise where pieces of different texts meet
+        self.joined = 1 if any(PIECE.fullmatch(t) is None for t in added) else JOINED
         self.kind = np.dtype("<u2" if max(self.library.get_vocab_size(), end + 1) <= 1 << 16 else "<u4")
         self.end = np.array([end], self.kind).tobytes()
         self.known: dict[str, bytes] = {}
@@ -81,7 +85,7 @@ class Encoder:
         apart = [p for p in pieces if not p[0].isspace() or p[-1].isspace()]
         run = [p for p in pieces if p[0].isspace() and not p[-1].isspace()]
         out = dict(zip(apart, self._bytes(apart), strict=True))
-        texts = ["".join(run[i : i + JOINED]) for i in range(0, len(run), JOINED)]
+        texts = ["".join(run[i : i + self.joined]) for i in range(0, len(run), self.joined)]
         if texts:
             ids = np.concatenate([np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)])
             ends = np.cumsum(self.lengths[ids])
@@ -93,7 +97,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Raw ids of each text (null: empty), each with the end id."""
-        pieces = [None if ODD.search(t or "") else PIECE.findall(t or "") for t in texts]
+        pieces = [None if ODD.search(t or "") or any(a in (t or "") for a in self.added) else PIECE.findall(t or "") for t in texts]
         new = set().union(*(p for p in pieces if p)) - self.known.keys()
         if len(self.known) + len(new) > REMEMBERED:
             self.known, self.older = {}, self.known

@@ -111,6 +111,18 @@ def test_encoder_pieces():
         assert got == [e.library.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
 
 
+def test_added_tokens_in_texts():
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(BPE)
+    texts = ["<|endoftext|> x", "a <|endoftext|>b\n<|endoftext|>", "a  <|endoftext|>", "<|endoftext|", " |> x", "plain text x", None]
+    e = token_store.Encoder(BPE, 2)
+    for _ in range(2):
+        got = [np.frombuffer(x, e.kind).tolist() for x in e.encode(texts)]
+        assert got == [fresh.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    assert got[0][0] == 50256
+
+
 # op4
 
 
