@@ -102,6 +102,51 @@ def test_ngram_join(make_docs, corpus, small, monkeypatch):
     assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=str) == sorted(groups(corpus)[0], key=str)
 
 
+@pytest.mark.parametrize("j", [0, 1])
+def test_small_tiles(corpus, j, monkeypatch):
+    import pyarrow as pa
+
+    from resona.llm import ngram_join as nj
+
+    monkeypatch.setattr(nj, "TILE", 3)
+    texts = sorted({t for _, t in corpus if shingles(t)})
+    sets = dict(zip(texts, nj.shingle_sets(pa.array(texts)), strict=True))
+    node = {nj.digest(s): t for t, s in sets.items()}
+    table = pa.record_batch({"cluster": ["c"] * len(node), "node": pa.array(list(node), pa.binary()), "copies": [1 + k % 3 for k in range(len(node))], "i": [0] * len(node), "j": [j] * len(node), "side": [j * (k % 2) for k in range(len(node))], "text": list(node.values())})
+    rows = table.to_pylist()
+    near = lambda a, b: a != b and (j == 0 or a["side"] != b["side"]) and len(shingles(a["text"]) & shingles(b["text"])) >= 0.8 * len(shingles(a["text"]) | shingles(b["text"])) - 1e-9
+    out = [r for x in nj._verified(iter([table]), 0.8, 5) for r in x.to_pylist()]
+    want = {a["node"]: sum(b["copies"] for b in rows if near(a, b)) for a in rows}
+    assert {r["a"]: r["links"] for r in out if r["b"] is None} == {n: k for n, k in want.items() if k} != {}
+    at = {r["node"]: k for k, r in enumerate(rows)}
+    tree = [(at[r["a"]], at[r["b"]]) for r in out if r["b"] is not None]
+    true = [(at[a["node"]], at[b["node"]]) for a in rows for b in rows if near(a, b)]
+    assert all(x in true for x in tree)
+    assert len(forest(len(rows), tree)) == len(tree) == len(forest(len(rows), true)) == len(forest(len(rows), tree + true))
+
+
+def test_many_short_near_copies_in_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from resona.llm.ngram_join import _verified, digest, shingle_sets
+
+    n = 9_000
+    start = " ".join(f"w{k}" for k in range(29))
+    texts = [f"{start} last{k}" for k in range(n)]
+    nodes = [digest(s) for s in shingle_sets(pa.array(texts))]
+    table = pa.record_batch({"cluster": ["c"] * n, "node": pa.array(nodes, pa.binary()), "copies": [1] * n, "i": [0] * n, "j": [0] * n, "side": [0] * n, "text": texts})
+    tracemalloc.start()
+    out = [r for b in _verified(iter([table]), 0.8, 5) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 << 20
+    assert {r["a"]: r["links"] for r in out if r["b"] is None} == dict.fromkeys(nodes, n - 1)
+    at = {x: k for k, x in enumerate(nodes)}
+    assert len(forest(n, [(at[r["a"]], at[r["b"]]) for r in out if r["b"] is not None])) == n - 1
+
+
 def test_one_of_each(make_docs, corpus):
     docs = make_docs(corpus)
     got = one_of_each(docs)
