@@ -231,6 +231,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id",
     n, words = (total["df"], total["words"]) if total else (0, 0)
     asked = queries.where(F.col(query_key).isNotNull()).select(F.col(query_key).cast("long").alias("query_id"), "text")
     asked = asked.mapInArrow(_terms, "query_id long, term long, n long")
+    # a query in several rows is one: each of its terms once
+    asked = asked.groupBy("query_id", "term").agg(F.sum("n").alias("n"))
     weighed = asked.join(counted.where("term is not null"), "term").withColumn("weight", F.col("n") * F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     packed = weighed.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("t"))
     kept = scratch.keep(packed.select("query_id", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights")), "queries")

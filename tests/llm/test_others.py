@@ -158,6 +158,17 @@ def test_top_k(spark, make_docs, corpus, small, monkeypatch):
     assert [x[2] for x in got if ties[x[0], round(x[3], 4)] == 1] == [x[2] for x in want if ties[x[0], round(x[3], 4)] == 1]
 
 
+def test_top_k_of_a_query_in_several_rows(spark, make_docs):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices(["the", "and", "of", f"own{i % 7}", f"rare{i}"], k=30))) for i in range(60)]
+    asked = [(1, "the own1"), (1, "the and rare5"), (1, "the the of own1"), (2, "and")]
+    together = [(1, "the own1 the and rare5 the the of own1"), (2, "and")]
+    got = sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in topk_search.top_k(make_docs(rows), spark.createDataFrame(asked, "query_id long, text string").repartition(3), 10).collect())
+    want = sorted(bm25(rows, together, 10))
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert [x[3] for x in got] == pytest.approx([x[3] for x in want], abs=2e-6)
+
+
 def test_top_k_empty(spark, make_docs):
     none = spark.createDataFrame([], "query_id long, text string")
     assert topk_search.top_k(make_docs([]), none, 3).count() == 0
