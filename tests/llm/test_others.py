@@ -10,6 +10,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,10 +97,45 @@ def test_perfect_hash():
     hashes[1] = hashes[0] + np.uint64(1)
     levels, slots = token_store.build_index(hashes)
     assert sorted(slots.tolist()) == list(range(5000))
-    assert (token_store.find(levels, np.zeros(0, np.uint64), hashes) == slots).all()
+    assert (token_store.Slots.of(levels, np.zeros(0, np.uint64)).find(hashes) == slots).all()
     same = np.array([7, 7], np.uint64)
     levels, slots = token_store.build_index(same)
     assert sorted(slots.tolist()) == [0, 1]
+    assert token_store.Slots.of(levels, same).find(np.array([7, 8], np.uint64)).tolist() in ([0, -1], [0, 0], [0, 1])
+
+
+def test_one_key_over_several_partitions(spark):
+    rng = random.Random(8)
+    rows = [(None if i % 2 else i % 40 and 3, "".join(rng.choice("abcdef ") for _ in range(30))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = scratch.folder(spark, "t")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    token_store.write_tokens(docs, folder, BPE, 2, shard_bytes=500)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    entries = spark.read.schema(token_store.ENTRY).parquet(f"{folder}/entries")
+    assert entries.where("no_key").select(F.shiftright("shard", token_store.PART_BITS)).distinct().count() > 1
+    got = {(r.doc_id, r.ordinal): r for r in token_store.read_tokens(spark, folder, docs, BPE).collect()}
+    assert len(got) == 300
+    from tokenizers import Tokenizer
+
+    library, start, seen = Tokenizer.from_file(BPE), 0, Counter()
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        ids = library.encode(t, add_special_tokens=False).ids + [2]
+        r = got[i, seen[i]]
+        seen[i] += 1
+        assert (r.start, np.frombuffer(r.ids, "<u4").tolist()) == (start, ids)
+        start += len(ids)
+
+
+def test_tokenizer_that_is_not_cut(tmp_path):
+    from tokenizers import Tokenizer, normalizers
+
+    other = Tokenizer.from_file(BPE)
+    other.normalizer = normalizers.Lowercase()
+    other.save(str(tmp_path / "lower.json"))
+    e = token_store.Encoder(str(tmp_path / "lower.json"), 2)
+    assert not e.cuttable
+    assert np.frombuffer(e.encode(pa.array(["Some Words, and"]))[0], e.kind).tolist() == other.encode("Some Words, and").ids + [2]
 
 
 def test_encoder_pieces():
@@ -107,7 +143,7 @@ def test_encoder_pieces():
     texts = ["", " ", "a  b\n c", "<|endoftext|> x", "\x1c x!", "a\r\n\r\n b", None] + ["".join(rng.choice(" \n\ta1é!'\x1c​᠎　st") for _ in range(rng.randint(0, 14))) for _ in range(800)]
     e = token_store.Encoder(BPE, 2)
     for _ in range(2):
-        got = [np.frombuffer(x, e.kind).tolist() for x in e.encode(texts)]
+        got = [np.frombuffer(x, e.kind).tolist() for x in e.encode(pa.array(texts))]
         assert got == [e.library.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
 
 
@@ -118,7 +154,7 @@ def test_added_tokens_in_texts():
     texts = ["<|endoftext|> x", "a <|endoftext|>b\n<|endoftext|>", "a  <|endoftext|>", "<|endoftext|", " |> x", "plain text x", None]
     e = token_store.Encoder(BPE, 2)
     for _ in range(2):
-        got = [np.frombuffer(x, e.kind).tolist() for x in e.encode(texts)]
+        got = [np.frombuffer(x, e.kind).tolist() for x in e.encode(pa.array(texts))]
         assert got == [fresh.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
     assert got[0][0] == 50256
 
