@@ -5,20 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from resona.functions.text import FAULT_WORDS, STOP_WORDS, affirmed, denied, negated
+from resona.functions.text import FAULT_KEYWORDS, STOP_WORDS, affirmed, denied, fold_turkish, negated, terms
+
+
+# What a diagnosed fault's name holds, its keywords, and those of the fault that it excludes.
+RIVALS = [
+    (["inner", "bpfi"], "inner_race_fault", "outer_race_fault"),
+    (["outer", "bpfo"], "outer_race_fault", "inner_race_fault"),
+    (["unbalance", "dengesizlik"], "unbalance", "misalignment"),
+    (["misalignment", "hizasızlık", "kaçıklık"], "misalignment", "unbalance"),
+]
 
 
 def consistency(text: Column, fault: Column, zone: Column) -> Column:
-    """Struct of fault_mismatch, zone_mismatch and passed: whether a text contradicts the diagnosed fault ('inner', 'outer', 'unbalance', 'misalignment') or zone ('A' to 'D'); null diagnoses pass."""
-    rival = {"inner": "outer", "outer": "inner", "unbalance": "misalignment", "misalignment": "unbalance"}
-    bad = F
-    for name, other in rival.items():
-        bad = bad.when(fault == name, affirmed(text, FAULT_WORDS[other]) | denied(text, FAULT_WORDS[name]))
-    bad = F.coalesce(bad.otherwise(False), F.lit(False))
-    wrong = F.lit(False)
-    for letter in "abcd":
-        claimed = F.lower(text).rlike(rf"\bzone\s*{letter}\b")
-        wrong = wrong | (claimed & (F.upper(zone) != letter.upper()) & ~negated(text, f"zone {letter}"))
+    """Struct of fault_mismatch, zone_mismatch and passed: whether a text contradicts the diagnosed fault or severity zone.
+
+    fault: a name by any of RIVALS, the first that fits; other faults and null pass. A text contradicts if it affirms
+    the excluded fault or denies the diagnosed one. zone: the last letter of its name counts; null and blank pass.
+    """
+    name, own, other = fold_turkish(fault), F, F
+    for parts, mine, rival in RIVALS:
+        called = F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(name, p))
+        own, other = own.when(called, terms(FAULT_KEYWORDS[mine])), other.when(called, terms(FAULT_KEYWORDS[rival]))
+    bad = F.coalesce(affirmed(text, other) | denied(text, own), F.lit(False))
+    letter = F.upper(F.right(F.trim(zone), F.lit(1)))
+    claims = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\bzone\s*([a-d])\b"), F.lit(1)))
+    claim = lambda x: F.struct(F.concat(F.lit("zone "), x).alias("name"), F.array(F.lit("zone"), x).alias("words"))
+    wrong = F.exists(claims, lambda x: (F.upper(x) != letter) & ~negated(text, claim(x)))
     wrong = F.coalesce(wrong, F.lit(False))
     return F.struct(bad.alias("fault_mismatch"), wrong.alias("zone_mismatch"), (~bad & ~wrong).alias("passed"))
 

@@ -8,6 +8,7 @@ from resona.functions import text as tx
 from resona.operators import evaluation as ev
 from resona.operators import ingestion as ing
 from resona.operators import retrieval as ret
+from resona.plans.phrased import PHRASED, phrased
 from resona.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -97,14 +98,17 @@ def visual_fallback(spark, d):
     return ret.visual_fallback(_sparse(spark, d, 1), visuals, 60.0)
 
 
-@query("""WITH c AS (SELECT doc_id || '_child_' || k AS id, doc_id AS parent, substr(text, 1 + 500 * k, 500) AS text FROM documents, (SELECT unnest(range(0, 3)) AS k) x WHERE length(text) > 500 * k)
-SELECT c.id, c.parent, length(coalesce(d.text, c.text)) AS chars, md5(coalesce(d.text, c.text)) AS digest FROM c LEFT JOIN documents d ON d.doc_id = c.parent AND d.lang = 'en'""")
+@query("""WITH c AS (SELECT doc_id || '_child_' || k AS id, doc_id AS parent, substr(text, 1 + 500 * k, 500) AS text FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 500) AS BIGINT))) AS k FROM documents)
+), p AS (SELECT doc_id, length(text) AS n, md5(text) AS h FROM documents WHERE lang = 'en')
+SELECT c.id, c.parent, coalesce(n, length(c.text)) AS chars, coalesce(h, md5(c.text)) AS digest FROM c LEFT JOIN p ON doc_id = parent""")
 def parent_merge(spark, d):
     docs = table(spark, d, "documents")
-    k = F.explode(F.filter(F.array(*map(F.lit, (0, 1, 2))), lambda k: F.length("text") > 500 * k)).alias("k")
-    children = docs.select("doc_id", "text", k).select(F.concat(F.col("doc_id"), F.lit("_child_"), F.col("k")).alias("id"), F.col("doc_id").alias("parent"), F.substring("text", F.lit(1) + 500 * F.col("k"), F.lit(500)).alias("text"))
-    merged = ret.merge_parents(children, docs.where("lang = 'en'").select(F.col("doc_id").alias("id"), "text"))
-    return merged.select("id", "parent", F.length("text").cast("long").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+    k = F.explode(F.expr("sequence(0, cast((length(text) - 1) div 500 as int))")).alias("k")
+    children = docs.where("length(text) > 0").select("doc_id", "text", k).select(F.concat(F.col("doc_id"), F.lit("_child_"), F.col("k")).alias("id"), F.col("doc_id").alias("parent"), F.substring("text", F.lit(1) + 500 * F.col("k"), F.lit(500)).alias("text"))
+    # the parent's text stands for as many rows as it has children: its digest and length are taken before the join
+    digest = lambda df: df.select(*(c for c in df.columns if c != "text"), F.concat_ws(":", F.length("text"), F.md5(F.col("text").cast("binary"))).alias("text"))
+    merged = ret.merge_parents(digest(children), digest(docs.where("lang = 'en'").select(F.col("doc_id").alias("id"), "text")))
+    return merged.select("id", "parent", F.split_part("text", F.lit(":"), F.lit(1)).cast("long").alias("chars"), F.split_part("text", F.lit(":"), F.lit(2)).alias("digest"))
 
 
 @query(f"""WITH v AS (SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN source WHEN doc_id % 3 = 0 THEN 'unknown' END AS section, n_chars % 10 AS page, text FROM documents
@@ -212,17 +216,17 @@ def _caption_sql(words: list[str]) -> str:
     return "(" + " OR ".join(f"contains(lower(t), '{w}')" for w in words) + ")"
 
 
-CAPTION = "x AS (SELECT p_partkey, p_partkey % 9000 AS bytes, p_name || ' ' || ['severity', 'stage 2 of', 'Orbit', 'FFT', 'courtesy of', 'plain', 'Bode and orbit', 'logo'][1 + p_partkey % 8] || ' ' || p_type AS t FROM part)"
+CAPTION = f"x AS (SELECT page_id, strlen(coalesce(html, '')) AS bytes, {PHRASED} AS t FROM (SELECT page_id, html, regexp_replace(html, '<[^>]*>', ' ', 'g') AS text FROM pages))"
 
 
 def _captions(spark, d):
-    kinds = F.element_at(F.array(*map(F.lit, ("severity", "stage 2 of", "Orbit", "FFT", "courtesy of", "plain", "Bode and orbit", "logo"))), (F.col("p_partkey") % 8 + 1).cast("int"))
-    return table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 9000).alias("bytes"), F.concat_ws(" ", "p_name", kinds, "p_type").alias("t"))
+    p = table(spark, d, "pages").select("page_id", F.octet_length(F.coalesce("html", F.lit(""))).alias("bytes"), F.regexp_replace("html", "<[^>]*>", " ").alias("text"))
+    return p.select("page_id", "bytes", phrased(F.col("text")).alias("t"))
 
 
-@query(f"""WITH {CAPTION} SELECT p_partkey, CASE {' '.join(f"WHEN {_caption_sql(w)} THEN '{k}'" for k, w in ing.ROUTES.items())} ELSE 'unified' END AS route, t <> '' AND ({_caption_sql(ing.SKIPPED_CAPTIONS)} OR bytes < 5000) AS skipped FROM x""")
+@query(f"""WITH {CAPTION} SELECT page_id, CASE {' '.join(f"WHEN {_caption_sql(w)} THEN '{k}'" for k, w in ing.ROUTES.items())} ELSE 'unified' END AS route, t <> '' AND ({_caption_sql(ing.SKIPPED_CAPTIONS)} OR bytes < 5000) AS skipped FROM x""")
 def caption_route(spark, d):
-    return _captions(spark, d).select("p_partkey", ing.route(F.col("t")).alias("route"), ing.skip(F.col("t"), F.col("bytes")).alias("skipped"))
+    return _captions(spark, d).select("page_id", ing.route(F.col("t")).alias("route"), ing.skip(F.col("t"), F.col("bytes")).alias("skipped"))
 
 
 @query("""WITH x AS (SELECT p_partkey, ['misalignment', 'unbalance', 'rub', ''][1 + p_partkey % 4] AS fault, ['circular', 'banana_shape', 'Figure Eight', 'other', ''][1 + p_partkey % 5] AS orbit, ['Unbalance of a rotor', 'a misalignment case', 'plot', ''][1 + p_partkey % 3] AS caption, ['1st CYCLE of', 'plain peaks'][1 + p_partkey % 2] AS t, ['spectrum', 'diagram', 'logo'][1 + p_partkey % 3] AS kind FROM part)
@@ -256,49 +260,103 @@ def tr_normalize(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(tx.fold_turkish(t).cast("binary")).alias("folded"), F.md5(tx.ascii_turkish(t).cast("binary")).alias("ascii"))
 
 
-@query(r"""WITH x AS (SELECT conv_id, turn, ['fark nedir ', 'a vs b ', 'veya ', 'x mi y mi ', ''][1 + turn % 5] || substr(translate(text, chr(10), ' '), 1, 80) AS q FROM conversations
-), w AS (SELECT *, list_filter(regexp_split_to_array(q, '[ \t]+'), lambda t: t <> '') AS words FROM x)
-SELECT conv_id, turn, len(words)::DOUBLE AS n_tokens, length(q)::DOUBLE AS n_chars, CAST(contains(q, 'x mi y mi') AS DOUBLE) AS paired_question, CAST(contains(q, 'a vs b') AS DOUBLE) AS versus, CAST(contains(q, 'fark nedir') AS DOUBLE) AS comparison, CAST(contains(q, 'veya ') AS DOUBLE) AS alternative,
-  len(list_intersect(list_distinct(words), ['the', 'and', 'fark']))::DOUBLE AS domain_terms, CAST(contains(q, 'fark nedir') AS DOUBLE) AS question_suffix, round(len(list_distinct(words)) * 1.0::DOUBLE / len(words), 6) AS type_token_ratio FROM w""")
+
+
+
+LETTER = r"[\p{L}\p{N}_]"
+NOT_LETTER = r"[^\p{L}\p{N}_]"
+TERMS_TABLE = "terms(family, name, parts) AS (VALUES " + ", ".join(f"('{f}', '{n}', {n.split()})" for f, names in tx.FAULT_KEYWORDS.items() for n in names) + ")"
+#: SQL: the clauses of a folded text, and whether a clause's words ws hold those of a term (parts) and refuse it.
+CLAUSES = rf"""string_split_regex(regexp_replace(regexp_replace(translate(@x, '.!?;,', repeat(chr(10), 5)), '(^|{NOT_LETTER})({'|'.join(tx.CONTRASTS)})({NOT_LETTER}|$)', '\1' || chr(10) || '\3', 'g'),
+  '(^|{NOT_LETTER})({'|'.join(tx.CONTRASTS)})({NOT_LETTER}|$)', '\1' || chr(10) || '\3', 'g'), '\n+')"""
+REFUSED = rf"""len(list_filter(range(1, len(ws) - len(parts) + 2), lambda i: ws[i:i + len(parts) - 1] = parts
+  AND (regexp_matches(' ' || array_to_string(ws[greatest(1, i - 6):i + len(parts) + 5], ' ') || ' ', '{tx.NEAR}') OR regexp_matches(array_to_string(ws[greatest(1, len(ws) - 2):], ' '), '{tx.LAST}')))) > 0"""
+#: SQL: from x (id, text) to told (id, family, name, refused): a row for each term that a sentence names.
+TOLD = rf"""cut AS (SELECT id, string_split_regex(@f, '[.!?;\n]+') AS many FROM x), sent AS (SELECT id, unnest(many) AS sentence, generate_subscripts(many, 1) AS n FROM cut
+), named AS (SELECT id, n, sentence, family, name, parts FROM sent JOIN terms ON contains(sentence, name)
+), part AS (SELECT id, n, unnest(@c) AS clause FROM (SELECT DISTINCT id, n, sentence FROM named)
+), worded AS (SELECT id, n, clause, regexp_extract_all(clause, '{tx.WORD}') AS ws FROM part
+), told AS (SELECT id, n, family, name, bool_or(contains(clause, name) AND {REFUSED}) AS refused FROM named JOIN worded USING (id, n) GROUP BY ALL)"""
+FOLDED = "lower(translate(@x, 'İIÖÜŞÇĞ', 'iıöüşçğ'))"
+
+
+def _sql(template: str, x: str) -> str:
+    return template.replace("@x", x)
+
+
+TOLD = TOLD.replace("@f", _sql(FOLDED, "text")).replace("@c", _sql(CLAUSES, "sentence"))
+
+
+def _phrased(spark, d, name, *keys):
+    return table(spark, d, name).select(*keys, phrased(F.col("text")).alias("text"))
+
+
+FLAGS = {
+    "paired_question": rf"(?i){LETTER}\s+m[iı]\s+{LETTER}+\s+m[iı]", "versus": rf"(^|{NOT_LETTER})vs({NOT_LETTER}|$)",
+    "comparison": rf"(^|{NOT_LETTER})((fark|ayrim|ayirt|kiyasla)({NOT_LETTER}|$)|karsilastir)", "alternative": rf"(^|{NOT_LETTER})(yoksa|ya da|veya)({NOT_LETTER}|$)",
+    "question_suffix": rf"(^|{NOT_LETTER})(nedir|nasil|nelerdir|nasildir)({NOT_LETTER}|$)",
+}
+
+
+@query(rf"""WITH x AS (SELECT conv_id, turn, {PHRASED} AS q FROM conversations), w AS (SELECT *, list_filter(regexp_split_to_array(q, '[ \t\n\x0B\f\r]+'), lambda t: t <> '') AS words FROM x)
+SELECT conv_id, turn, len(words)::DOUBLE AS n_tokens, length(q)::DOUBLE AS n_chars, {', '.join(f"CAST(regexp_matches(q, '{p}') AS DOUBLE) AS {n}" for n, p in FLAGS.items())},
+  len(list_intersect(list_distinct(words), ['the', 'and', 'fark']))::DOUBLE AS domain_terms, CASE WHEN len(words) > 0 THEN round(len(list_distinct(words)) * 1.0::DOUBLE / len(words), 6) ELSE 0 END AS type_token_ratio FROM w""")
 def lexical_features(spark, d):
-    pre = F.element_at(F.array(*map(F.lit, ("fark nedir ", "a vs b ", "veya ", "x mi y mi ", ""))), (F.col("turn") % 5 + 1).cast("int"))
-    q = table(spark, d, "conversations").select("conv_id", "turn", F.concat(pre, F.substring(F.translate("text", "\n", " "), 1, 80)).alias("q"))
-    f = q.select("conv_id", "turn", tx.lexical_features(F.col("q"), F.array(*map(F.lit, ("the", "and", "fark")))).alias("f")).select("conv_id", "turn", "f.*")
+    q = _phrased(spark, d, "conversations", "conv_id", "turn")
+    f = q.select("conv_id", "turn", tx.lexical_features(F.col("text"), F.array(*map(F.lit, ("the", "and", "fark")))).alias("f")).select("conv_id", "turn", "f.*")
     return f.withColumn("type_token_ratio", F.round("type_token_ratio", 6))
 
 
-@query("""WITH x AS (SELECT doc_id, doc_id % 6 AS k FROM documents) SELECT doc_id, CASE WHEN k IN (0, 1, 2) THEN 0.2 ELSE 0.4 END::DOUBLE AS dense, CASE WHEN k IN (0, 1, 2) THEN 0.8 ELSE 0.6 END::DOUBLE AS sparse FROM x""")
+@query(rf"""WITH x AS (SELECT conv_id, turn, {PHRASED} AS text FROM conversations), y AS (SELECT conv_id, turn, regexp_matches(text, '(?i)(^|{NOT_LETTER})((iso|vdi|ird|din)\s*\d|(bpfo|bpfi|bsf|ftf|vpf|rms|fft|hfd|n|\d+(\.\d+)?x)({NOT_LETTER}|$))') AS technical FROM x)
+SELECT conv_id, turn, CASE WHEN technical THEN 0.2 ELSE 0.4 END::DOUBLE AS dense, CASE WHEN technical THEN 0.8 ELSE 0.6 END::DOUBLE AS sparse FROM y""")
 def query_weight_route(spark, d):
-    pre = F.element_at(F.array(*map(F.lit, ("iso 10816 ", "2x peak ", "BPFO level ", "vibration ", "isolated 12 ", "bsfx "))), (F.col("doc_id") % 6 + 1).cast("int"))
-    return table(spark, d, "documents").select("doc_id", tx.query_weights(pre).alias("w")).select("doc_id", F.col("w.dense").cast("double").alias("dense"), F.col("w.sparse").cast("double").alias("sparse"))
+    w = _phrased(spark, d, "conversations", "conv_id", "turn").select("conv_id", "turn", tx.query_weights(F.col("text")).alias("w"))
+    return w.select("conv_id", "turn", F.col("w.dense").cast("double").alias("dense"), F.col("w.sparse").cast("double").alias("sparse"))
 
 
-ANSWERS = ["Outer race fault is present. Zone C.", "No doubt: inner race fault, unlike outer race damage.", "Dış bilezik arızası yok.", "The unbalance değil, misalignment var. Zone a", "Misalignment", "İç bilezik sağlam; zone B değil"]
+FAULTS = ["inner race fault", "BPFO", "Dengesizlik (Unbalance)", "Açısal kaçıklık", "misalignment", "looseness"]
+ZONES = ["Zone A", "B", "zone c", "Zone D"]
 
 
-def _answers(spark, d):
-    pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (F.col("k") % k + 1).cast("int"))
-    c = table(spark, d, "conversations").select("conv_id", "turn", (F.col("conv_id") * 7 + F.col("turn")).alias("k"))
-    return c.select("conv_id", "turn", pick(ANSWERS, 6).alias("text"), pick(["inner", "outer", "unbalance", "misalignment"], 4).alias("fault"), pick(["A", "B", "C"], 3).alias("zone"))
-
-
-@query("""WITH x AS (SELECT conv_id, turn, (conv_id * 7 + turn) % 6 AS a, (conv_id * 7 + turn) % 4 AS f, (conv_id * 7 + turn) % 3 AS z FROM conversations)
-SELECT conv_id, turn, (f = 0 AND a IN (0, 5)) OR (f = 1 AND a IN (1, 2)) OR (f = 2 AND a IN (3, 4)) AS fault_mismatch, (a = 0 AND z <> 2) OR (a = 3 AND z <> 0) AS zone_mismatch FROM x""")
+@query(rf"""WITH y AS (SELECT conv_id, turn, {PHRASED} AS text, {FAULTS}[CAST('0x' || substr(md5(conversations.text), 1, 7) AS BIGINT) % 6 + 1] AS fault, {ZONES}[CAST('0x' || substr(md5(conversations.text), 8, 7) AS BIGINT) % 5 + 1] AS zone FROM conversations
+), x AS (SELECT conv_id || '/' || turn AS id, * FROM y), {TERMS_TABLE}, {TOLD}
+, rivals(fault, own, other) AS (VALUES ('inner race fault', 'inner_race_fault', 'outer_race_fault'), ('BPFO', 'outer_race_fault', 'inner_race_fault'), ('Dengesizlik (Unbalance)', 'unbalance', 'misalignment'), ('Açısal kaçıklık', 'misalignment', 'unbalance'), ('misalignment', 'misalignment', 'unbalance')
+), m AS (SELECT id, bool_or(family = CASE WHEN refused THEN own ELSE other END) AS bad FROM x JOIN rivals USING (fault) JOIN told USING (id) GROUP BY 1
+), z AS (SELECT id, zone, letter, 'zone ' || letter AS name, ['zone', letter] AS parts, unnest({_sql(CLAUSES, _sql(FOLDED, 'text'))}) AS clause FROM x, (SELECT unnest(['a', 'b', 'c', 'd']) AS letter) WHERE regexp_matches(lower(text), '(^|{NOT_LETTER})zone\s*' || letter || '({NOT_LETTER}|$)')
+), v AS (SELECT *, regexp_extract_all(clause, '{tx.WORD}') AS ws FROM z
+), k AS (SELECT id, zone, letter, bool_or(contains(clause, name) AND {REFUSED}) AS refused FROM v GROUP BY ALL), w AS (SELECT id, bool_or(upper(right(zone, 1)) <> upper(letter) AND NOT refused) AS wrong FROM k GROUP BY 1)
+SELECT conv_id, turn, coalesce(bad, false) AS fault_mismatch, coalesce(wrong, false) AS zone_mismatch FROM x LEFT JOIN m USING (id) LEFT JOIN w USING (id)""")
 def consistency_check(spark, d):
-    c = _answers(spark, d).select("conv_id", "turn", ev.consistency(F.col("text"), F.col("fault"), F.col("zone")).alias("c"))
+    pick = lambda at, values, n: F.try_element_at(F.array(*map(F.lit, values)), (F.conv(F.substring(F.md5(F.col("text").cast("binary")), at, 7), 16, 10).cast("long") % n + 1).cast("int"))
+    c = table(spark, d, "conversations").select("conv_id", "turn", phrased(F.col("text")).alias("text"), pick(1, FAULTS, 6).alias("fault"), pick(8, ZONES, 5).alias("zone"))
+    c = c.select("conv_id", "turn", ev.consistency(F.col("text"), F.col("fault"), F.col("zone")).alias("c"))
     return c.select("conv_id", "turn", "c.fault_mismatch", "c.zone_mismatch")
 
 
-@query("""WITH x AS (SELECT conv_id, turn, (conv_id * 7 + turn) % 6 AS a FROM conversations) SELECT conv_id, turn, a IN (1, 2) AS outer_denied, a IN (0) AS outer_affirmed, a IN (5) AS inner_denied FROM x""")
+@query(rf"""WITH x AS (SELECT doc_id AS id, {PHRASED} AS text FROM documents), {TERMS_TABLE}, {TOLD}
+, g AS (SELECT id, bool_or(refused) FILTER (family = 'outer_race_fault') AS a, bool_or(NOT refused) FILTER (family = 'outer_race_fault') AS b, bool_or(refused) FILTER (family = 'inner_race_fault') AS c, bool_or(refused) FILTER (name = 'unbalance') AS u FROM told GROUP BY 1)
+SELECT x.id AS doc_id, coalesce(a, false) AS outer_denied, coalesce(b, false) AS outer_affirmed, coalesce(c, false) AS inner_denied, coalesce(u, false) AS unbalance_negated FROM x LEFT JOIN g USING (id)""")
 def negation_flags(spark, d):
-    a, t = _answers(spark, d), F.col("text")
-    return a.select("conv_id", "turn", tx.negated(t, "outer race").__or__(tx.negated(t, "dış bilezik")).alias("outer_denied"), tx.affirmed(t, tx.FAULT_WORDS["outer"]).alias("outer_affirmed"), tx.negated(t, "iç bilezik").alias("inner_denied"))
+    a, t = _phrased(spark, d, "documents", "doc_id"), F.col("text")
+    outer, inner = (tx.terms(tx.FAULT_KEYWORDS[f"{x}_race_fault"]) for x in ("outer", "inner"))
+    return a.select("doc_id", tx.denied(t, outer).alias("outer_denied"), tx.affirmed(t, outer).alias("outer_affirmed"), tx.denied(t, inner).alias("inner_denied"), tx.negated(t, "unbalance").alias("unbalance_negated"))
+
+
+def _expanded_sql() -> str:
+    """SQL: the list of added terms after each cluster, one table a cluster."""
+    out = "e0 AS (SELECT *, []::VARCHAR[] AS t FROM l)"
+    for n, (triggers, more) in enumerate(tx.SYNONYMS, 1):
+        fired = f"len(list_filter({triggers}, lambda x: contains(low, {_sql(FOLDED, 'x')}))) > 0"
+        fresh = f"list_filter({more}, lambda e: NOT contains(low, {_sql(FOLDED, 'e')}) AND NOT list_contains(t, e))"
+        out += f", e{n} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN {fired} THEN t || ({fresh})[1:greatest(1, 3 - len(t))] ELSE t END AS t) FROM e{n - 1})"
+    return out
 
 
-@query("""WITH x AS (SELECT doc_id, doc_id % 5 AS k FROM documents) SELECT doc_id, CASE k WHEN 0 THEN 'unbalance at 1x (1X RPM, balanssızlık, rotor unbalance)' WHEN 1 THEN 'bpfi and bpfo (BPFI, iç bilezik hatası, inner race fault)' WHEN 2 THEN 'fft leakage (pencereleme, leakage effect, Hanning penceresi)' WHEN 3 THEN 'nothing' ELSE 'kafes ve bilya (BSF, bilya arızası, ball spin frequency)' END AS expanded FROM x""")
+@query(rf"""WITH x AS (SELECT conv_id, turn, {PHRASED} AS text FROM conversations), l AS (SELECT *, {_sql(FOLDED, 'text')} AS low FROM x), {_expanded_sql()}
+SELECT conv_id, turn, md5(CASE WHEN len(t) > 0 THEN text || ' (' || array_to_string(t[1:3], ', ') || ')' ELSE text END) AS expanded, CAST(len(t) AS INTEGER) AS added FROM e{len(tx.SYNONYMS)}""")
 def dict_expand(spark, d):
-    q = F.element_at(F.array(*map(F.lit, ("unbalance at 1x", "bpfi and bpfo", "fft leakage", "nothing", "kafes ve bilya"))), (F.col("doc_id") % 5 + 1).cast("int"))
-    return table(spark, d, "documents").select("doc_id", tx.expand(q).alias("expanded"))
+    out = _phrased(spark, d, "conversations", "conv_id", "turn").withColumn("expanded", tx.expand(F.col("text")))
+    return out.select("conv_id", "turn", F.md5(F.col("expanded").cast("binary")).alias("expanded"), tx.expansions(F.col("text")).alias("n")).select("conv_id", "turn", "expanded", F.size("n").alias("added"))
 
 
 @query(rf"""WITH {BM25}, c AS (SELECT s.query_id, rank, text, max(score) OVER (PARTITION BY query_id) AS top FROM s JOIN documents ON doc_id = id WHERE rank <= 3
@@ -375,12 +433,14 @@ def token_cost(spark, d):
     return t.select("conv_id", tx.cost(F.col("a"), F.col("b"), 0.075, 0.3).alias("c")).select("conv_id", "c.*")
 
 
-@query("""SELECT conv_id, turn, md5(CASE turn % 3 WHEN 0 THEN trim(text, ' ') WHEN 1 THEN trim(text, ' ') ELSE 'before' END) AS answer FROM conversations WHERE trim(text, ' ') <> ''""")
+@query("""WITH x AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN substr(text, 1, 20) || '<think>' || text || '</think>' || substr(text, 21) ELSE text || '<think>' || text || '</think>  ' END AS raw FROM conversations WHERE text IS NOT NULL
+), y AS (SELECT *, string_split(raw, '<think>') AS a FROM x), z AS (SELECT *, trim(a[1] || CASE WHEN len(a) > 1 THEN array_to_string(string_split(a[2], '</think>')[2:], '</think>') ELSE '' END, ' ') AS after FROM y)
+SELECT conv_id, turn, md5(CASE WHEN after <> '' THEN after ELSE trim(a[1], ' ') END) AS answer FROM z""")
 def think_strip(spark, d):
-    c = table(spark, d, "conversations").where("trim(text) <> ''")
-    raw = F.when(F.col("turn") % 3 == 0, F.col("text")).when(F.col("turn") % 3 == 1, F.concat(F.lit("<think>why\nnot</think>"), "text")).otherwise(F.concat(F.lit("before<think>"), F.lit("x"), F.lit("</think>")))
-    out = F.when(F.col("turn") % 3 == 2, F.trim(F.split_part(raw, F.lit("<think>"), F.lit(1)))).otherwise(tx.without_thoughts(raw))
-    return c.select("conv_id", "turn", F.md5(out.cast("binary")).alias("answer"))
+    t, k = F.col("text"), F.col("turn") % 3
+    block = F.concat(F.lit("<think>"), t, F.lit("</think>"))
+    raw = F.when(k == 0, t).when(k == 1, F.concat(F.substring(t, 1, 20), block, F.expr("substring(text, 21)"))).otherwise(F.concat(t, block, F.lit("  ")))
+    return table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", F.md5(tx.without_thoughts(raw).cast("binary")).alias("answer"))
 
 
 @query()

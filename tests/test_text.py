@@ -11,10 +11,30 @@ def one(spark, column, value="x"):
     return spark.createDataFrame([(value,)], "t string").select(column.alias("v")).first()[0]
 
 
-def test_negation():
-    assert tx.is_negated("outer race fault, inner race değil", "inner race")
-    assert not tx.is_negated("inner race değil, outer race fault", "outer race")
-    assert not tx.is_negated("", "x")
+def test_negation(spark):
+    t = F.col("t")
+    no = lambda text, term: one(spark, tx.negated(t, term), text)
+    assert no("outer race fault, inner race değil", "inner race")
+    assert not no("inner race değil, outer race fault", "outer race")
+    assert not no("inner race değil ancak Outer Race", "outer race")
+    assert no("Outer Race a b c d e f yok", "outer race")  # among the last three words
+    assert no("outer race a b yok c d e f", "outer race") and not no("outer race a b c d e f yok g h i", "outer race")
+    assert no("the outer race is in contrast to x y z", "outer race")
+    assert not no("outer-race yok", "outer race") and not no("", "x") and not no(None, "x")
+    assert one(spark, tx.affirmed(t, tx.terms(["kafes"])), "Kafes yok. Kafes!") and not one(spark, tx.affirmed(t, tx.terms(["kafes"])), "Kafes yok")
+
+
+def test_consistency(spark):
+    from resona.operators.evaluation import consistency
+
+    def of(text, fault, zone):
+        return tuple(spark.createDataFrame([(text, fault, zone)], "t string, f string, z string").select(consistency(F.col("t"), F.col("f"), F.col("z")).alias("c")).first()["c"])
+
+    assert of("outer race seen", "inner (bpfi)", None) == (True, False, False)
+    assert of("outer race yok", "inner (bpfi)", "Zone A") == (False, False, True)
+    assert of("bpfi değil", "bpfi", "Zone A") == (True, False, False)
+    assert of("misalignment", "looseness", "Zone A") == (False, False, True)
+    assert of("now Zone C.", "unbalance", "Zone A") == (False, True, False) and of("zone c değil", None, "Zone A") == (False, False, True)
 
 
 def test_columns(spark):
@@ -24,8 +44,8 @@ def test_columns(spark):
     assert one(spark, tx.query_weights(t)["sparse"], "limits of iso 10816 here") == 0.8
     assert one(spark, tx.expand(t), "looseness") == "looseness (mekanik gevşeklik, 0.5X alt harmonik, structural looseness)"
     assert one(spark, tx.without_thoughts(t), "<think>a</think> b") == "b"
-    assert one(spark, tx.affirmed(t, ["outer race"]), "No outer race. Outer race seen") is True
-    assert one(spark, tx.denied(t, ["kafes"]), None) in (False, None)
+    assert one(spark, tx.affirmed(t, tx.terms(["outer race"])), "No outer race. Outer race seen") is True
+    assert one(spark, tx.denied(t, tx.terms(["kafes"])), None) in (False, None)
     assert one(spark, sig.machine_class(t), "class_2") == "Class II" and one(spark, sig.machine_class(t), "five") is None
     assert tuple(one(spark, sig.parse_range(t), "2,500 – ... RPM")) == (2500.0, float("inf"))
     assert one(spark, sig.multipliers(t), "are 1x and 2xRPM") == [1.0, 2.0]
