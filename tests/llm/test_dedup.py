@@ -8,9 +8,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from resona.llm import hashing
+from resona.llm import hashing, scratch
 from resona.llm.groups import components, forest
-from resona.llm.ngram_join import ngram_join, one_of_each, overlaps, prefix_depth
+from resona.llm.ngram_join import DEPTH, TREES, agreement, found_at, measured_recall, ngram_join, one_of_each, overlaps
 from resona.llm.substring_dedup import expand, squeeze, substring_dedup
 from resona.llm.suffix_dedup import minimisers, suffix_dedup
 
@@ -112,10 +112,10 @@ def test_small_tiles(corpus, j, monkeypatch):
     texts = sorted({t for _, t in corpus if shingles(t)})
     sets = dict(zip(texts, nj.shingle_sets(pa.array(texts)), strict=True))
     node = {nj.digest(s): t for t, s in sets.items()}
-    table = pa.record_batch({"cluster": ["c"] * len(node), "node": pa.array(list(node), pa.binary()), "copies": [1 + k % 3 for k in range(len(node))], "i": [0] * len(node), "j": [j] * len(node), "side": [j * (k % 2) for k in range(len(node))], "text": list(node.values())})
-    rows = table.to_pylist()
+    table = pa.record_batch({"cluster": ["c"] * len(node), "node": pa.array(list(node), pa.binary()), "copies": [1 + k % 3 for k in range(len(node))], "i": [0] * len(node), "j": [j] * len(node), "side": [j * (k % 2) for k in range(len(node))], "shingles": pa.array([sets[t].tobytes() for t in node.values()], pa.binary())})
+    rows = [{**r, "text": node[r["node"]]} for r in table.to_pylist()]
     near = lambda a, b: a != b and (j == 0 or a["side"] != b["side"]) and len(shingles(a["text"]) & shingles(b["text"])) >= 0.8 * len(shingles(a["text"]) | shingles(b["text"])) - 1e-9
-    out = [r for x in nj._verified(iter([table]), 0.8, 5) for r in x.to_pylist()]
+    out = [r for x in nj._verified(iter([table]), 0.8) for r in x.to_pylist()]
     want = {a["node"]: sum(b["copies"] for b in rows if near(a, b)) for a in rows}
     assert {r["a"]: r["links"] for r in out if r["b"] is None} == {n: k for n, k in want.items() if k} != {}
     at = {r["node"]: k for k, r in enumerate(rows)}
@@ -135,10 +135,11 @@ def test_many_short_near_copies_in_bounded_memory():
     n = 9_000
     start = " ".join(f"w{k}" for k in range(29))
     texts = [f"{start} last{k}" for k in range(n)]
-    nodes = [digest(s) for s in shingle_sets(pa.array(texts))]
-    table = pa.record_batch({"cluster": ["c"] * n, "node": pa.array(nodes, pa.binary()), "copies": [1] * n, "i": [0] * n, "j": [0] * n, "side": [0] * n, "text": texts})
+    sets = shingle_sets(pa.array(texts))
+    nodes = [digest(s) for s in sets]
+    table = pa.record_batch({"cluster": ["c"] * n, "node": pa.array(nodes, pa.binary()), "copies": [1] * n, "i": [0] * n, "j": [0] * n, "side": [0] * n, "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
     tracemalloc.start()
-    out = [r for b in _verified(iter([table]), 0.8, 5) for r in b.to_pylist()]
+    out = [r for b in _verified(iter([table]), 0.8) for r in b.to_pylist()]
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 400 << 20
@@ -168,9 +169,51 @@ def test_one_of_each(make_docs, corpus):
         assert not ids or stay[0][0] == min(ids)
 
 
-def test_prefix_depth():
-    assert prefix_depth(0.8, 0.9995) == 4
-    assert prefix_depth(0.5, 0.99999999) == 1
+def test_measured_recall():
+    assert found_at(1.0, DEPTH) == 1 and found_at(0.8, DEPTH) == pytest.approx(1 - (1 - 0.8**8) ** 16)
+    assert 0 < found_at(0.8, 4) - found_at(0.8, 4, agreement(0.8)) < 1e-4
+    n = TREES * DEPTH
+    assert measured_recall({}, DEPTH, 0.8) == 1
+    assert measured_recall({n: 50}, DEPTH, 0.8) == 1
+    mixed = {n: 1000, int(0.82 * n): 3}  # a band of few pairs counts as much
+    assert measured_recall(mixed, DEPTH, 0.8) < 0.98 < 0.9995 < measured_recall(mixed, 4, 0.8)
+
+
+def test_prefixes_are_shortened_as_the_data_ask(spark, make_docs):
+    from resona.llm import ngram_join as nj
+
+    def depth(changed):
+        rng = random.Random(2)
+        rows = []
+        for k in range(30):
+            own = [f"w{rng.randrange(10_000)}" for _ in range(200)]
+            rows.append((2 * k, " ".join(own)))
+            for _ in range(changed):
+                own[rng.randrange(200)] = "other"
+            rows.append((2 * k + 1, " ".join(own)))
+        signed = scratch.keep(make_docs(rows).select("doc_id", "text", nj.content().alias("content")).mapInArrow(lambda b: nj._signed(b, 5), nj.SIGNED), "signed")
+        return nj.shortened(signed, scratch.keep(nj.planted(signed), "tries"), 0.8, 0.9995)
+
+    assert depth(0) == DEPTH and depth(4) < DEPTH
+
+
+def test_recall_by_band(make_docs):
+    """Pairs of a known similarity: at least 0.9 of those near the threshold are found, and nearly all others; none under it."""
+    rng = random.Random(11)
+    rows, want = [], {}
+    for k in range(400):
+        own = [f"w{rng.randrange(50_000)}" for _ in range(204)]
+        other = list(own)
+        for at in rng.sample(range(5, 199), 1 + k % 5):
+            other[at] = f"x{rng.randrange(50_000)}"
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        want[2 * k] = len(a & b) / len(a | b)
+    got = {r.doc_id: r.n_links for r in ngram_join(make_docs(rows)).collect()}
+    for lo, hi, least in ((0.8, 0.85, 0.9), (0.85, 0.9, 0.98), (0.9, 1.0, 0.99)):
+        band = [i for i, t in want.items() if lo <= t < hi]
+        assert len(band) > 20 and sum(got[i] == 1 for i in band) >= least * len(band)
+    assert not any(got[i] for i, t in want.items() if t < 0.8)
 
 
 def test_components(spark):
