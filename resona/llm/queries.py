@@ -75,17 +75,19 @@ OP6_SQL = """
 WITH s AS (
   SELECT source, CAST(sum(coalesce(length(text), 0)) AS DOUBLE) AS chars FROM documents GROUP BY 1
 ), w AS (
-  SELECT source, CASE WHEN chars > 0 THEN least(64.0, pow(chars, 0.7) / (SELECT sum(pow(chars, 0.7)) FROM s) * (SELECT sum(chars) FROM s) / chars) ELSE 1.0 END AS rate FROM s
+  SELECT source, CASE WHEN chars > 0 THEN pow(chars, 0.7) / (SELECT sum(pow(chars, 0.7)) FROM s) * (SELECT sum(chars) FROM s) / chars ELSE 1.0 END AS rate FROM s
+), v AS (
+  SELECT source, CAST(greatest(1, ceil(rate / 64)) AS BIGINT) AS draws, rate / greatest(1, ceil(rate / 64)) AS mean FROM w
 ), k AS (
-  SELECT source, rate, unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 16) AS BIGINT) + 1)) AS k FROM w
+  SELECT source, mean, unnest(range(0, CAST(ceil(mean + 12 * sqrt(mean) + 16) AS BIGINT) + 1)) AS k FROM v
 ), p AS (
-  SELECT source, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p FROM k
+  SELECT source, k, exp(k * ln(mean) - mean - lgamma(k + 1)) AS p FROM k
 ), c AS (
   SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS cdf FROM p
+), e AS (
+  SELECT doc_id, d.source, md5(coalesce(text, '')) AS m, unnest(range(1, draws + 1)) AS i FROM documents d JOIN v ON d.source IS NOT DISTINCT FROM v.source
 ), u AS (
-  SELECT doc_id, source, md5(coalesce(text, '')) AS m,
-         (CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0 AS u
-  FROM documents
+  SELECT doc_id, source, m, i, (CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || m || CASE WHEN i > 1 THEN ':' || i ELSE '' END), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0 AS u FROM e
 ), n AS (
   SELECT u.doc_id, u.source, u.m, count(c.k) AS n FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source AND c.cdf < u.u GROUP BY ALL
 ), r AS (

@@ -114,35 +114,39 @@ def _body(block: bytes) -> bytes:
 
 
 def first_copies(pages: DataFrame, least: int) -> DataFrame:
-    """For each payload of at least `least` bytes that several pages have: its digest and least key.
+    """For each payload of at least `least` bytes that several rows have: its digest, size and least key, and whether one row alone has that key.
 
-    Partial aggregation first: however often a payload occurs, each task sends one row for it.
+    Partial aggregation first: however often a page's payload occurs, each task sends one row for it; texts are not shuffled.
     """
-    sized = pages.where(F.octet_length("html") >= least)
-    return sized.groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    sized = pages.where((F.col("size") >= least) & F.col("page").isNotNull()).groupBy("digest", "size", "page").agg(F.count("*").alias("n"))
+    return sized.groupBy("digest", "size").agg(F.min(F.struct("page", "n")).alias("least"), F.sum("n").alias("rows")).where("rows > 1").select("digest", "size", F.col("least.page").alias("first"), (F.col("least.n") == 1).alias("alone"))
 
 
 def write_warc(pages: DataFrame, folder: str, key: str = "page_id", least: int = 0, segment_bytes: int = 16_384, archive_bytes: int = 32 << 20) -> DataFrame:
     """Write all pages as archives into folder; returns (archive, records) of what was written.
 
     Of pages with equal html of at least `least` bytes the one with the smallest key is a response, the
-    others revisit it. Identifiers are the page's URN, a slash and the place in the archives; a revisit refers
-    to the URN. Null html: empty. Rows of one key are records of their own, each a response if the key is the
+    others revisit it; payloads are equal if their size and their SHA-1 are. The response that others may refer to has the
+    page's URN as its record identifier, so a revisit names a record that is there; other records have the URN, a slash and
+    their place in the archives. Where several rows have the first's key and payload, all of them are responses with a place.
+    Null html: empty. Rows of one key are records of their own, each a response if the key is the
     smallest of its payload. Pages of null key are responses and no others refer to them. Extra columns are
     not read.
     """
     plain = pages.select(F.col(key).cast("long").alias("page"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    plain = plain.withColumn("digest", F.sha1(F.col("html").cast("binary")))
+    plain = plain.withColumns({"digest": F.sha1(F.col("html").cast("binary")), "size": F.octet_length("html")})
     firsts = scratch.keep(first_copies(plain, least), "firsts")
     # copies of one payload meet their first in a join that Spark may split where one payload is hot
-    marked = plain.join(firsts, "digest", "left")
+    marked = plain.join(firsts, ["digest", "size"], "left")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size, seen = TaskContext.get().partitionId() << 24, [], 0, 0
         for batch in batches:
             for row in batch.to_pylist():
                 payload = row["html"].encode()
-                name = f"{PREFIX}{'' if row['page'] is None else row['page']}/{number}-{seen}"
+                name = f"{PREFIX}{'' if row['page'] is None else row['page']}"
+                if not row["alone"] or row["first"] != row["page"]:
+                    name += f"/{number}-{seen}"
                 refers = None if None in (row["first"], row["page"]) or row["first"] == row["page"] else f"{PREFIX}{row['first']}"
                 held += records(name, row["url"], payload, sha1_base32(payload), refers, segment_bytes)
                 seen += 1
@@ -155,11 +159,11 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", least: int =
             scratch.write_file(f"{folder}/{number:012d}.warc.gz", held)
             yield pa.RecordBatch.from_pydict({"archive": [f"{number:012d}"], "records": [seen]})
 
-    return scratch.keep(marked.select("page", "url", "html", "first").mapInArrow(write, "archive string, records long"), "archives")
+    return scratch.keep(marked.select("page", "url", "html", "first", "alone").mapInArrow(write, "archive string, records long"), "archives")
 
 
 def read_records(spark: SparkSession, folder: str, archives: DataFrame) -> DataFrame:
-    """RECORD rows of the archives named in a column `archive`, one archive at a time in a task."""
+    """RECORD rows of the archives named in a column `archive`, one archive at a time, some to a task."""
 
     def read(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("record_id", pa.string()), ("kind", pa.string()), ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("uri", pa.string()), ("digest", pa.string()), ("refers", pa.string()), ("block", pa.binary())])
@@ -177,7 +181,9 @@ def read_records(spark: SparkSession, folder: str, archives: DataFrame) -> DataF
                     if held:
                         yield pa.RecordBatch.from_pylist(held, schema=schema)
 
-    n = max(1, archives.count())
+    # archives are of one size, so a few for each core are even work
+    cores = spark.sparkContext.defaultParallelism
+    n = max(1, min(archives.count(), max(4 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     return archives.select("archive").repartition(n).mapInArrow(read, RECORD)
 
 

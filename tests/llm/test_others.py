@@ -232,6 +232,16 @@ def test_warc_round_trip(spark):
     assert warc.warc_round_trip(pages.limit(0)).count() == 0
 
 
+def test_revisits_name_a_record_that_is_there(spark):
+    pages = spark.createDataFrame([(i, "u", "same " * (9000 if i % 2 else 1)) for i in range(12)] + [(20, "u", "twice"), (20, "u", "twice"), (21, "u", "twice")], "page_id long, url string, html string")
+    folder = scratch.folder(spark, "warc")
+    rows = warc.read_records(spark, folder, warc.write_warc(pages, folder)).collect()
+    names = Counter(r.record_id for r in rows)
+    assert max(names.values()) == 1
+    assert all(r.refers in names for r in rows if r.refers and r.refers != "urn:page:20")
+    assert Counter(r.kind for r in rows)["revisit"] == 11
+
+
 def test_least_size_for_revisits(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     got = {r.page_id: (r.record_type, r.refers_to) for r in warc.warc_round_trip(pages, least=5).collect()}
@@ -267,8 +277,8 @@ def test_mixing(spark, make_docs):
     got = out.collect()
     again = sorted((str(r.doc_id), r.replica, r.place) for r in mixing.mix(docs.repartition(9)).collect())
     assert again == sorted((str(r.doc_id), r.replica, r.place) for r in got)
-    parts = [[r.place for r in p] for p in out.rdd.glom().collect()]
-    assert all(p == sorted(p) for p in parts)
+    places = [r.place for r in got]
+    assert places == sorted(places)
     runs = [r.doc_id for r in got if r.doc_id is not None]
     assert abs(np.corrcoef(runs, np.arange(len(runs)))[0, 1]) < 0.1
     chars = Counter()
@@ -280,6 +290,19 @@ def test_mixing(spark, make_docs):
     assert mixing.mix(make_docs([])).count() == 0
 
 
+def test_mixing_to_given_weights(spark, make_docs):
+    rng = random.Random(5)
+    rows = [(i, "x" * rng.randint(20, 60), "abc"[i % 3]) for i in range(3000)] + [(9000 + i, "y" * 40, None) for i in range(300)] + [(9999, None, "empty")]
+    weights = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 1.0), (None, 1.0), ("gone", 5.0), ("empty", 3.0)], "source string, weight double")
+    got = Counter()
+    for r in mixing.mix(make_docs(rows), weights=weights).collect():
+        got[r.source] += len(r.text or "")
+    total = sum(got.values())
+    assert got["c"] == 0 and total == pytest.approx(sum(len(t or "") for _, t, _ in rows), rel=0.1)
+    assert [got[s] / total for s in ("a", "b", None)] == pytest.approx([0.5, 0.25, 0.25], rel=0.15)
+    assert mixing.mix(make_docs([]), weights=weights).count() == 0
+
+
 def test_poisson_inversion(spark):
     table = mixing.rates(spark.createDataFrame([("a", "x" * 50), ("b", "y")], "source string, text string")).collect()
     for r in table:
