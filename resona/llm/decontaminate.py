@@ -3,7 +3,7 @@
 A test item of m characters may differ from a document's passage by m // error_every edits. It is split
 into one piece more than that, so at least one piece occurs unchanged; an Aho-Corasick automaton finds
 all pieces in one pass over a document, and Myers' bit-parallel distance checks the passage around a hit.
-Case and runs of white space don't count.
+Case and runs of white space don't count. An item too short for an edit must occur as whole words.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 MATCH = "doc_id long, item_id long, distance int"
 #: Characters of test items that one pass over the documents takes; more items are taken in more passes.
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 2 << 20
 
 
 def plain(text: str | None) -> str:
@@ -30,14 +30,19 @@ def pieces(item: str, errors: int) -> list[tuple[int, str]]:
 
 
 def myers(pattern: str, text: str, most: int) -> int:
-    """Least edit distance of the pattern to any part of text; stops at 0."""
+    """Least edit distance of the pattern to any part of text, or some number over `most` if it is more.
+
+    Stops at 0, and where the text left is too short to bring the distance down to `most`, or under the best so far.
+    """
     m = len(pattern)
     mask, high = (1 << m) - 1, 1 << (m - 1)
     where: dict[str, int] = {}
     for i, c in enumerate(pattern):
         where[c] = where.get(c, 0) | 1 << i
     up, down, score, best = mask, 0, m, m
-    for c in text:
+    for left, c in zip(range(len(text), 0, -1), text, strict=True):
+        if score - left > min(most, best - 1):
+            break
         eq = where.get(c, 0)
         xv = eq | down
         xh = (((eq & up) + up) ^ up) | eq
@@ -55,6 +60,17 @@ def myers(pattern: str, text: str, most: int) -> int:
     return best
 
 
+def as_words(item: str, text: str, lo: int, hi: int) -> bool:
+    """Whether the item stands in text[lo:hi] and neither of its ends lies inside a word."""
+    at = text.find(item, lo, hi)
+    while at >= 0:
+        end = at + len(item)
+        if not (at and item[0].isalnum() and text[at - 1].isalnum()) and not (end < len(text) and item[-1].isalnum() and text[end].isalnum()):
+            return True
+        at = text.find(item, at + 1, hi)
+    return False
+
+
 class Finder:
     """The pieces of a block of items."""
 
@@ -94,6 +110,9 @@ class Finder:
             best = errors + 1
             for lo, hi in spans:
                 part = text[lo:hi]
+                if not errors:
+                    best = min(best, 0 if as_words(item, text, lo, hi) else best)
+                    continue
                 best = min(best, 0 if item in part else myers(item, part, errors))
                 if not best:
                     break
@@ -115,8 +134,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_every: int = 20, k
     """Pairs of a document and a test item that occurs in it: doc_id, item_id, distance (the least).
 
     Items with null id or text, or without visible text, match nothing; an id with several texts matches by
-    any of them. Null or empty document text matches nothing. Rows of one document id give one pair; a null
-    id is kept as such. Extra columns are not read.
+    any of them. Items of under `error_every` characters must occur unchanged as whole words. Null or empty document text
+    matches nothing; long texts are searched whole. Rows of one document id give one pair; a null id is kept as such. Of
+    equal passages the least distance counts. Extra columns are not read. Empty tables give no pairs.
     """
 
     def match(batches: Iterator[pa.RecordBatch], block) -> Iterator[pa.RecordBatch]:

@@ -48,14 +48,40 @@ class Model:
     weights: np.ndarray
     thresholds: np.ndarray
 
+    @property
+    def informed(self) -> bool:
+        """Whether any feature has a weight; if not, all texts are judged alike."""
+        return bool(self.weights.any())
+
     def tails(self, doc: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
         """P(grade >= k) for k = 1.., a column each."""
         eta = np.bincount(doc, self.weights[feature], minlength=n)
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - eta[:, None], -50, 50)))
 
 
+def slopes(x: np.ndarray, doc: np.ndarray, column: np.ndarray, grade: np.ndarray, grades: int, decay: float) -> np.ndarray:
+    """Gradient of the mean log-likelihood less decay / 2 times the squared weights; x: the weights, the first threshold and the logarithms of the steps to the others."""
+    n, k = len(grade), len(x) - grades + 1
+    cuts = np.cumsum(np.concatenate([x[k : k + 1], np.exp(x[k + 1 :])]))
+    eta = np.bincount(doc, x[:k][column], minlength=n)
+    below = 1 / (1 + np.exp(np.clip(eta[:, None] - np.concatenate([[-np.inf], cuts, [np.inf]])[None, :], -50, 50)))
+    below[:, 0], below[:, -1] = 0, 1
+    rows = np.arange(n)
+    a, b = below[rows, grade + 1], below[rows, grade]
+    p = np.maximum(a - b, 1e-12)
+    cut_slope = np.zeros((n, grades + 1))
+    cut_slope[rows, grade + 1] += a * (1 - a) / p
+    cut_slope[rows, grade] -= b * (1 - b) / p
+    by_cut = cut_slope[:, 1:-1].sum(0) / n
+    return np.concatenate([np.bincount(column, (a + b - 1)[doc], minlength=k) / n - decay * x[:k], [by_cut.sum()], [by_cut[j:].sum() * np.exp(x[k + j]) for j in range(1, len(by_cut))]])
+
+
 def fit(doc: np.ndarray, feature: np.ndarray, grade: np.ndarray, grades: int, z: float = 5.0, decay: float = 2e-4, steps: int = 400) -> Model:
-    """Full-batch Adam on the ordinal likelihood; thresholds are a first one and positive steps."""
+    """Full-batch Adam on the ordinal likelihood; thresholds are a first one and positive steps. The last quarter's steps shrink.
+
+    A feature has a weight if its share differs between the top grade and some other by more than z deviations. Where none
+    does (under some hundred ratings), the model isn't informed.
+    """
     n, top = len(grade), grades - 1
     total = np.bincount(grade, minlength=grades)
     chosen = np.zeros(1 << BITS, bool)
@@ -75,20 +101,9 @@ def fit(doc: np.ndarray, feature: np.ndarray, grade: np.ndarray, grades: int, z:
     m, v = np.zeros_like(x), np.zeros_like(x)
     k = len(names)
     for step in range(1, steps + 1 if n else 1):
-        cuts = np.cumsum(np.concatenate([x[k : k + 1], np.exp(x[k + 1 :])]))
-        eta = np.bincount(doc, x[:k][column], minlength=n)
-        below = 1 / (1 + np.exp(np.clip(eta[:, None] - np.concatenate([[-np.inf], cuts, [np.inf]])[None, :], -50, 50)))
-        below[:, 0], below[:, -1] = 0, 1
-        rows = np.arange(n)
-        a, b = below[rows, grade + 1], below[rows, grade]
-        p = np.maximum(a - b, 1e-12)
-        cut_slope = np.zeros((n, grades + 1))
-        cut_slope[rows, grade + 1] += a * (1 - a) / p
-        cut_slope[rows, grade] -= b * (1 - b) / p
-        by_cut = cut_slope[:, 1:-1].sum(0) / n
-        gradient = np.concatenate([np.bincount(column, (a + b - 1)[doc], minlength=k) / n - decay * x[:k], [by_cut.sum()], [by_cut[j:].sum() * np.exp(x[k + j]) for j in range(1, len(by_cut))]])
+        gradient = slopes(x, doc, column, grade, grades, decay)
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
-        x += 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+        x += 0.05 * min(1.0, 4 * (1 - (step - 1) / steps)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
     weights = np.zeros(1 << BITS)
     weights[names] = x[:k]
     return Model(weights, np.cumsum(np.concatenate([x[k : k + 1], np.exp(x[k + 1 :])])))
@@ -98,11 +113,12 @@ def train(docs: DataFrame, ratings: DataFrame, grade: Column, grades: int, sampl
     """Fit on at most `sample` rated documents, those whose id has the smallest hash.
 
     grade: an integer column of ratings, 0 to grades - 1. Ratings of null id or grade don't count; of
-    several ratings of a document the lowest does. Documents are found by id; null text is empty.
+    several ratings of a document the lowest does. Documents are found by id; null text is empty; of several rows of one id
+    one counts, that of the least features. Long texts are read whole. Without rated documents the model isn't informed.
     """
     from resona.llm.hashing import column_bytes, slices
 
-    rated = ratings.select(F.col(key).alias("rated"), grade.cast("int").alias("grade")).dropna().groupBy("rated").agg(F.min("grade").alias("grade"))
+    rated = ratings.select(F.col(key).cast("long").alias("rated"), grade.cast("int").alias("grade")).dropna().groupBy("rated").agg(F.min("grade").alias("grade"))
     chosen = rated.orderBy(F.xxhash64("rated"), "rated").limit(sample)  # at most `sample` rows of 12 bytes
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,9 +127,10 @@ def train(docs: DataFrame, ratings: DataFrame, grade: Column, grades: int, sampl
             for lo, hi in slices(offsets):
                 doc, feature = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 cut = np.searchsorted(doc, np.arange(hi - lo + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([feature[a:b].astype(np.int32).tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], ["grade", "features"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([feature[a:b].astype(np.int32).tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()), batch.column(2).slice(lo, hi - lo)], ["grade", "features", "rated"])
 
-    rows = docs.select(F.col(key).alias("rated"), "text").join(F.broadcast(chosen), "rated").select("grade", "text").mapInArrow(numbers, "grade int, features binary").collect()
+    found = docs.select(F.col(key).cast("long").alias("rated"), "text").join(F.broadcast(chosen), "rated").select("grade", "text", "rated").mapInArrow(numbers, "grade int, features binary, rated long")
+    rows = found.groupBy("rated").agg(F.min("grade"), F.min("features")).select("min(grade)", "min(features)").collect()  # one row an id
     rows.sort(key=lambda r: (r[0], r[1]))
     found = [np.frombuffer(r[1], np.int32) for r in rows]
     doc = np.repeat(np.arange(len(rows)), [len(x) for x in found])

@@ -100,23 +100,11 @@ FROM r
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
     from resona.llm.token_counts import token_counts
 
-    return token_counts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-
-
-OP7_SQL = r"""
-WITH l AS (
-  SELECT doc_id, max(coalesce(toxic, 0) = 1) AS toxic, max(coalesce(quality, 1) = 0) AS low FROM labels WHERE doc_id IS NOT NULL GROUP BY 1
-), d AS (
-  SELECT d.source, d.lang, coalesce(l.toxic, false) AS toxic, coalesce(l.low, false) AS low,
-         len(regexp_extract_all(coalesce(d.text, ''), '[^\x20\x09-\x0D]+')) AS words,
-         len(regexp_extract_all(coalesce(d.text, ''), '[A-Za-z0-9\x{80}-\x{10FFFF}]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]')) AS pieces
-  FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id
-)
-SELECT source, lang, CASE WHEN low THEN 'pieces' ELSE 'words' END AS tokenizer, count(*) AS docs, CAST(sum(CASE WHEN low THEN pieces ELSE words END) AS BIGINT) AS tokens
-FROM d WHERE NOT toxic GROUP BY ALL
-"""
+    old, new = (("byte_bpe_50k", "byte_bpe_50k.json"), ("word_bpe_49k", "word_bpe_49k.json"))
+    return token_counts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), *((name, public_tokenizers.path(file)) for name, file in (old, new)))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,7 +240,6 @@ SQL: dict[str, str] = {
     "op4_topk_search": OP4_SQL,
     "op5_warc": OP5_SQL,
     "op6_mixing": OP6_SQL,
-    "op7_token_counts": OP7_SQL,
     "op9_substring_dedup": OP9_SQL,
     "op10_suffix_dedup": OP10_SQL,
 }

@@ -1,12 +1,19 @@
 """Token counts as delta-maintained rollups.
 
-A batch of signed changes (insert +, delete -, revision - old and + new) is summed into one small partial
-rollup by source, language and tokenizer version, and written under the batch's own name. Totals are the sum
-over committed batches. A batch that arrives again is not applied again. Built-in functions only.
+A batch of signed changes (insert +, delete -, revision - old and + new) is summed into one small partial rollup by
+source, language and tokenizer version and written to a folder of its own; then the batch's name is entered in the commit
+log, by creating a file that must not exist. Totals are the sum over committed batches. A batch that arrives again finds
+its name taken and is not applied again, also where two senders commit it at once. Committed partials can be merged.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,14 +23,21 @@ KEYS = ["source", "lang", "tokenizer"]
 PARTIAL = "source string, lang string, tokenizer string, docs long, tokens long"
 
 
-def words(text: Column) -> Column:
-    """Number of runs of other characters than ASCII white space; null: 0."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+def token_numbers(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """docs (doc_id, source, lang, text) with tokens instead of text: the number of ids that the tokenizer's file gives the whole text; null: 0."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from resona.llm.hashing import column_bytes, slices
+        from resona.llm.token_store import Encoder
 
+        encoder = Encoder.of(tokenizer, 0)
+        for batch in batches:
+            texts, n = batch.column(3), []
+            for lo, hi in slices(column_bytes(texts)[1], 1 << 20):
+                n += [len(ids) // encoder.kind.itemsize - 1 for ids in encoder.encode(texts.slice(lo, hi - lo))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64())], ["doc_id", "source", "lang", "tokens"])
 
-def word_pieces(text: Column) -> Column:
-    """Number of runs of ASCII letters and digits or other characters beyond ASCII, and of single symbols; null: 0."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[A-Za-z0-9\x{80}-\x{10FFFF}]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]")), F.lit(0)).cast("long")
+    return docs.select(F.col("doc_id").cast("long"), "source", "lang", "text").mapInArrow(count, "doc_id long, source string, lang string, tokens long")
 
 
 def inserts(docs: DataFrame, tokenizer: str, tokens: Column) -> DataFrame:
@@ -41,59 +55,101 @@ def revisions(docs: DataFrame, old: tuple[str, Column], new: tuple[str, Column])
 
 
 class Rollup:
-    """Totals kept in a folder that all executors share: one folder batch=<name> a committed batch."""
+    """Totals kept in a folder that all executors share: partials/, a file of log/ a committed batch, and merged/ for merges of them."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
 
-    def _fs(self, path: str):
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    def _path(self, name: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _enter(self, name: str, says: dict) -> bool:
+        """Create a file that nobody has created before; False if it is there."""
+        path, fs = self._path(name)
+        if fs.exists(path):
+            return False
+        try:
+            out = fs.create(path, False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e.java_exception.getClass()):
+                return False
+            raise
+        out.write(bytearray(json.dumps(says).encode()))
+        out.close()
+        return True
+
+    def _entries(self, name: str) -> dict[str, dict]:
+        """What the files of a folder say, by name: some hundred bytes a batch."""
+        path, fs = self._path(name)
+        if not fs.exists(path):
+            return {}
+        rows = self.spark.read.text(f"{self.folder}/{name}", wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value").collect()
+        return {r[0]: json.loads(r[1]) for r in rows}
+
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Apply a batch once; False if it was there already.
 
-        The partial rollup is written beside and renamed when whole, so a failed or repeated commit changes
-        nothing. Nulls among source, language and tokenizer are groups of their own; null counts count 0.
-        An empty batch is committed as such.
+        A failed or repeated commit changes nothing. Nulls among source, language and tokenizer are groups of their own;
+        null counts count 0; repeated rows count as often. An empty batch is committed as such. Names are those of files.
         """
-        path, fs = self._fs(f"{self.folder}/batch={batch}")
+        path, fs = self._path(f"log/{batch}")
         if fs.exists(path):
             return False
-        partial = changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum(F.coalesce("tokens", F.lit(0))).alias("tokens"))
-        draft = scratch.folder(self.spark, "draft")
-        partial.write.parquet(draft)
-        fs.mkdirs(path.getParent())
-        if not fs.rename(self._fs(draft)[0], path):
-            fs.delete(self._fs(draft)[0], True)
+        name = f"partials/{batch}-{uuid.uuid4().hex[:12]}"
+        changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum(F.coalesce("tokens", F.lit(0))).alias("tokens")).write.parquet(f"{self.folder}/{name}")
+        return self._enter(f"log/{batch}", {"partial": name})
+
+    def _current(self) -> tuple[list[str], list[str]]:
+        """The folders whose sum is the total, and the batches in it: those of the last merge, and those committed since."""
+        log, merges = self._entries("log"), self._entries("merged")
+        last = merges[max(merges)] if merges else {"partial": None, "batches": []}
+        rest = sorted(set(log) - set(last["batches"]))
+        return [x for x in [last["partial"], *(log[b]["partial"] for b in rest)] if x], sorted(log)
+
+    def merge(self) -> bool:
+        """Put all that is committed into one partial, so that later totals read one folder; False if another merge was quicker."""
+        folders, batches = self._current()
+        if not folders:
             return False
-        return True
+        name = f"partials/merge-{uuid.uuid4().hex[:12]}"
+        self._sum(folders).write.parquet(f"{self.folder}/{name}")
+        return self._enter(f"merged/{len(self._entries('merged')):08d}", {"partial": name, "batches": batches})
+
+    def _sum(self, folders: list[str]) -> DataFrame:
+        partials = self.spark.read.schema(PARTIAL).parquet(*(f"{self.folder}/{x}" for x in folders))
+        return partials.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
 
     def totals(self) -> DataFrame:
         """docs and tokens by source, language and tokenizer; groups that came to nothing are left out."""
-        _, fs = self._fs(self.folder)
-        if not fs.exists(self._fs(self.folder)[0]):
-            return self.spark.createDataFrame([], PARTIAL)
-        partials = self.spark.read.schema(PARTIAL).parquet(f"{self.folder}/batch=*")
-        return partials.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
+        folders, _ = self._current()
+        return self._sum(folders).where("docs <> 0 or tokens <> 0") if folders else self.spark.createDataFrame([], PARTIAL)
 
 
-def token_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def token_counts(docs: DataFrame, labels: DataFrame, old: tuple[str, str], new: tuple[str, str]) -> DataFrame:
     """Three batches over all documents, the first of them sent twice, then the totals.
 
-    1: every document, counted in words. 2: documents rated of low quality are counted anew in word pieces.
-    3: documents rated toxic are deleted, under the version that they have by then. A document counts as
-    rated if any row of labels rates it so; null ids are not rated.
+    old, new: name and file of a tokenizer's versions. 1: every document, counted by the old one. 2: documents rated of low
+    quality are counted anew by the new one. 3: documents rated toxic are deleted, under the version that they have by then.
+
+    A document counts as rated if any row of labels rates it so; null ids are not rated. Null and empty texts are documents
+    of no tokens; long texts are counted whole; repeated rows count as often. Extra columns are not read. Empty tables give
+    empty totals.
     """
-    rated = labels.groupBy(F.col("doc_id").alias("rated")).agg(F.max(F.coalesce(F.col("toxic"), F.lit(0)) == 1).alias("toxic"), F.max(F.coalesce(F.col("quality"), F.lit(1)) == 0).alias("low")).where("rated is not null")
-    # texts are read once and never shuffled: only their counts are
-    counted = scratch.keep(docs.select("doc_id", "source", "lang", words(F.col("text")).alias("words"), word_pieces(F.col("text")).alias("pieces")), "counted")
-    known = counted.join(rated, F.col("doc_id") == F.col("rated"))
+    rated = labels.groupBy(F.col("doc_id").cast("long").alias("rated")).agg(F.max(F.coalesce(F.col("toxic"), F.lit(0)) == 1).alias("toxic"), F.max(F.coalesce(F.col("quality"), F.lit(1)) == 0).alias("low")).where("rated is not null")
+    low = rated.where("low")
+    # texts are read once a version and never shuffled for their counts: only those are
+    first = scratch.keep(token_numbers(docs, old[1]), "counted")
+    again = docs.join(low, F.col("doc_id") == F.col("rated"), "left_semi")
+    second = scratch.keep(token_numbers(again, new[1]), "recounted")
     rollup = Rollup(docs.sparkSession, scratch.folder(docs.sparkSession, "rollup"))
-    first = inserts(counted, "words", F.col("words"))
-    rollup.commit("1", first)
-    rollup.commit("1", first)
-    rollup.commit("2", revisions(known.where("low"), ("words", F.col("words")), ("pieces", F.col("pieces"))))
-    gone = known.where("toxic")
-    rollup.commit("3", deletes(gone.where("not low"), "words", F.col("words")).unionByName(deletes(gone.where("low"), "pieces", F.col("pieces"))))
+    n, toxic = F.col("tokens"), rated.where("toxic").select("rated")
+    rollup.commit("1", inserts(first, old[0], n))
+    rollup.commit("1", inserts(first, old[0], n))
+    revised = deletes(first.join(low, F.col("doc_id") == F.col("rated"), "left_semi"), old[0], n).unionByName(inserts(second, new[0], n))
+    rollup.commit("2", revised)
+    gone = lambda df: df.join(toxic, F.col("doc_id") == F.col("rated"), "left_semi")
+    as_old = first.join(low, F.col("doc_id") == F.col("rated"), "left_anti")
+    rollup.commit("3", deletes(gone(as_old), old[0], n).unionByName(deletes(gone(second), new[0], n)))
+    rollup.merge()
     return rollup.totals()

@@ -56,6 +56,41 @@ def test_classifier_held_out(spark):
     assert bounded.thresholds.shape == (2,)
 
 
+def test_fit_is_the_optimum_of_the_likelihood():
+    rng = np.random.default_rng(4)
+    n, grades, decay = 60, 3, 2e-4
+    grade = rng.integers(0, grades, n)
+    held = [np.flatnonzero((grade >= g) ^ (rng.random(n) < 0.2)) for g in range(1, grades)]
+    doc, column = np.concatenate(held), np.repeat([0, 1], [*map(len, held)])
+
+    def value(x):  # P(grade <= k) = sigmoid(threshold_k - w.x), spelt out
+        cuts = [x[2], x[2] + math.exp(x[3])]
+        out = -decay / 2 * (x[0] ** 2 + x[1] ** 2)
+        for i in range(n):
+            eta = sum(x[c] for d, c in zip(doc, column, strict=True) if d == i)
+            upto = [0.0, *(1 / (1 + math.exp(eta - c)) for c in cuts), 1.0]
+            out += math.log(upto[grade[i] + 1] - upto[grade[i]]) / n
+        return out
+
+    def by_differences(x):
+        return np.array([(value(x + e) - value(x - e)) / 2e-5 for e in np.eye(4) * 1e-5])
+
+    x = np.array([0.3, -0.2, -0.5, 0.1])
+    assert quality.slopes(x, doc, column, grade, grades, decay) == pytest.approx(by_differences(x), abs=1e-6)
+    model = quality.fit(doc, column, grade, grades, z=0.0, decay=decay, steps=3000)
+    found = np.array([*model.weights[:2], model.thresholds[0], math.log(model.thresholds[1] - model.thresholds[0])])
+    assert np.abs(by_differences(found)).max() < 2e-3
+
+
+def test_repeated_documents_and_long_texts(spark):
+    rows = [(i % 50, "w " * 30_000 if i == 7 else f"w{i}") for i in range(200)] + [(1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rated", F.lit("clash"))
+    labels = spark.createDataFrame([(i, i % 3) for i in range(50)], "doc_id long, grade int")
+    a, b = (quality.train(d, labels, F.col("grade"), 3) for d in (docs, docs.repartition(5)))
+    assert (a.thresholds == b.thresholds).all() and not a.informed
+    assert quality.score(docs, a, 2).select("tail_probability").distinct().count() == 1
+
+
 def test_classifier_without_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     model = quality.train(docs, spark.createDataFrame([], "doc_id long, grade int"), F.col("grade"), 3)
@@ -350,25 +385,43 @@ def test_large_rates_do_not_underflow(spark, make_docs):
 
 def test_rollup(spark):
     rollup = token_counts.Rollup(spark, scratch.folder(spark, "rollup"))
-    assert rollup.totals().count() == 0
-    docs = spark.createDataFrame([("a", "en", "x y"), ("a", "en", None), (None, None, "z"), ("a", "en", "x y")], "source string, lang string, text string")
-    tokens = token_counts.words(F.col("text"))
-    assert rollup.commit("1", token_counts.inserts(docs, "v1", tokens))
-    assert not rollup.commit("1", token_counts.inserts(docs, "v1", tokens))
+    assert rollup.totals().count() == 0 and not rollup.merge()
+    docs = spark.createDataFrame([("a", "en", 2), ("a", "en", None), (None, None, 1), ("a", "en", 2)], "source string, lang string, tokens long")
+    n = F.col("tokens")
+    assert rollup.commit("1", token_counts.inserts(docs, "v1", n))
+    assert not rollup.commit("1", token_counts.inserts(docs, "v1", n))
     assert {tuple(r) for r in rollup.totals().collect()} == {("a", "en", "v1", 3, 4), (None, None, "v1", 1, 1)}
-    assert rollup.commit("2", token_counts.revisions(docs.where("source is null"), ("v1", tokens), ("v2", tokens * 10)))
-    assert rollup.commit("3", token_counts.deletes(docs.where("text is null"), "v1", tokens))
-    assert rollup.commit("4", docs.limit(0).transform(lambda d: token_counts.inserts(d, "v1", tokens)))
-    assert {tuple(r) for r in rollup.totals().collect()} == {("a", "en", "v1", 2, 4), (None, None, "v2", 1, 10)}
+    assert rollup.commit("2", token_counts.revisions(docs.where("source is null"), ("v1", n), ("v2", n * 10)))
+    assert rollup.merge()
+    assert rollup.commit("3", token_counts.deletes(docs.where("tokens is null"), "v1", n))
+    assert rollup.commit("4", token_counts.inserts(docs.limit(0), "v1", n))
+    assert not rollup.commit("2", token_counts.inserts(docs, "v1", n))
+    for _ in range(2):
+        assert {tuple(r) for r in rollup.totals().collect()} == {("a", "en", "v1", 2, 4), (None, None, "v2", 1, 10)}
+        assert rollup.merge()
+
+
+def test_of_two_senders_of_a_batch_one_commits(spark):
+    rollup = token_counts.Rollup(spark, scratch.folder(spark, "rollup"))
+    assert [rollup._enter("log/x", {"partial": p}) for p in "ab"] == [True, False]
+    assert rollup._entries("log") == {"x": {"partial": "a"}}
 
 
 def test_token_counts(spark, make_docs, corpus):
-    labels = spark.createDataFrame([(0, 1, 1), (20, 0, 0), (30, 0, 1), (None, 0, 1), (1, None, None), (0, 0, 0)], "doc_id long, quality int, toxic int")
-    got = {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in token_counts.token_counts(make_docs(corpus), labels).collect()}
-    assert got["s0", "en", "pieces"][0] == 1
-    kept = [t for i, t in corpus if i not in (0, 20, 30, 3)]
-    assert got["s0", "en", "words"] == (len(kept), sum(len((t or "").encode().split()) for t in kept))
-    assert token_counts.token_counts(make_docs([]), labels).count() == 0
+    from tokenizers import Tokenizer
+
+    labels = spark.createDataFrame([(0, 1, 1), (20, 0, 0), (30, 0, 1), (None, 0, 1), (1, None, None), (0, 0, 0), (40, 0, 0)], "doc_id long, quality int, toxic int")
+    other = public_tokenizers.path("word_bpe_49k.json")
+    got = {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in token_counts.token_counts(make_docs(corpus), labels, ("v1", BPE), ("v2", other)).collect()}
+    want = Counter()
+    for i, t in corpus:
+        if i not in (0, 30):
+            name = "v2" if i in (20, 40) else "v1"
+            key = ("s0", None if i == 3 else "en", name)
+            want[key, 0] += 1
+            want[key, 1] += len(Tokenizer.from_file(BPE if name == "v1" else other).encode(t or "", add_special_tokens=False).ids)
+    assert got == {k: (want[k, 0], want[k, 1]) for k, _ in want}
+    assert token_counts.token_counts(make_docs([]), labels, ("v1", BPE), ("v2", other)).count() == 0
 
 
 # op8
@@ -392,6 +445,15 @@ def test_myers():
         p, t = ("".join(rng.choice("abc") for _ in range(rng.randint(1, n))) for n in (70, 90))
         want = edit_search(p, t)
         assert dec.myers(p, t, 99) == want
+        most = rng.randint(0, 8)
+        got = dec.myers(p, t, most)
+        assert got == want if want <= most else got > most
+
+
+def test_short_items_are_whole_words(spark, make_docs):
+    items = spark.createDataFrame([(1, "hi"), (2, "c++")], "item_id long, text string")
+    docs = make_docs([(1, "something"), (2, "well, Hi!"), (3, "hi"), (4, "c++11 or c++"), (5, "hips chi hi"), (6, "x " * 50_000 + "hi")])
+    assert {tuple(r) for r in dec.contaminated(docs, items).collect()} == {(2, 1, 0), (3, 1, 0), (4, 2, 0), (5, 1, 0), (6, 1, 0)}
 
 
 def test_decontamination(spark, make_docs):
