@@ -11,10 +11,12 @@ _OWN: list[str] = []
 
 
 def root(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a folder of this process only where that is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir); where that is unset, a folder of this machine, if Spark runs on it alone."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="resona-"))
     return "file://" + _OWN[0]

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from resona.llm import scratch
 from resona.llm.hashing import mix
@@ -178,7 +179,7 @@ class Encoder:
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end: int, shard_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Writes the shards of one sorted partition; yields ENTRY rows."""
+    """Writes the shards of one sorted partition (key, text, carried columns); yields ENTRY rows and what is carried."""
     from resona.llm.hashing import column_bytes, slices
 
     encoder = Encoder.of(tokenizer, end)
@@ -188,25 +189,33 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end:
     rows: list[tuple] = []
     size, last, ordinal = 0, object(), 0
 
+    carried: list[pa.RecordBatch] = []
+
     def close() -> pa.RecordBatch:
         scratch.write_file(f"{folder}/shards/{shard:012d}.ids", held)
         columns = list(zip(*rows, strict=True))
         kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["shard", "addr", "no_key", "ordinal", "at", "n"])
+        more = pa.Table.from_batches(carried).combine_chunks()
+        return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), *(c.chunk(0) for c in more.columns)], ["shard", "addr", "no_key", "ordinal", "at", "n", *more.column_names])
 
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index("text"))
         keys = batch.column(batch.schema.get_field_index("key")).to_pylist()
+        extra = batch.select(batch.schema.names[2:])
         for lo, hi in slices(column_bytes(texts)[1], 1 << 20):
-            for key, ids in zip(keys[lo:hi], encoder.encode(texts.slice(lo, hi - lo)), strict=True):
+            begin = lo
+            for at, key, ids in zip(range(lo, hi), keys[lo:hi], encoder.encode(texts.slice(lo, hi - lo)), strict=True):
                 ordinal = ordinal + 1 if key == last else 0
                 last = key
                 rows.append((shard, key or 0, key is None, ordinal, size // width, len(ids) // width))
                 held.append(ids)
                 size += len(ids)
                 if size >= shard_bytes:
+                    carried.append(extra.slice(begin, at + 1 - begin))
                     yield close()
-                    held, rows, size, shard = [], [], 0, shard + 1
+                    held, rows, size, shard, begin = [], [], 0, shard + 1, at + 1
+                    carried.clear()
+            carried.append(extra.slice(begin, hi - begin))
     if rows:
         yield close()
 
@@ -334,21 +343,23 @@ def _numbered(entries: DataFrame) -> DataFrame:
     return joined.withColumn("ordinal", F.col("ordinal") + F.coalesce("before", F.lit(0))).drop("part", "before")
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, key: str = "doc_id", shard_bytes: int = 16 << 20, bucket_keys: int = 50_000) -> None:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, key: str = "doc_id", shard_bytes: int = 16 << 20, bucket_keys: int = 50_000, carry: Sequence[str] = ()) -> None:
     """Write a store of all texts into folder (a path that all executors share).
 
     tokenizer: file of a byte-level BPE for the tokenizers library. Each document ends with the id `end`.
     Null text: only the end id. Rows of one key are kept one after the other, ordered by text, numbered
     from 0; null keys form one such group, first of all. The rows of a very frequent key are spread over tasks by the
-    first letters of their texts. Extra columns are not read. An empty table makes a store without shards.
+    first letters of their texts. Of the extra columns those in `carry` are kept beside the index. An empty table makes a
+    store without shards.
     """
     spark = docs.sparkSession
-    ordered = docs.select(F.col(key).cast("long").alias("key"), "text")
+    ordered = docs.select(F.col(key).cast("long").alias("key"), "text", *(F.col(c).alias(f"carry_{c}") for c in carry))
+    entry = StructType([*StructType.fromDDL(ENTRY).fields, *ordered.schema.fields[2:]])
     # the first letters only part the rows of one key; whole texts are sorted in the partition
     ordered = ordered.repartitionByRange("key", F.substring("text", 1, 32)).sortWithinPartitions("key", "text")
-    entries = ordered.mapInArrow(lambda b: _write(b, folder, tokenizer, end, shard_bytes), ENTRY)
+    entries = ordered.mapInArrow(lambda b: _write(b, folder, tokenizer, end, shard_bytes), entry)
     entries.write.option("compression", "zstd").parquet(f"{folder}/entries")
-    entries = spark.read.schema(ENTRY).parquet(f"{folder}/entries")
+    entries = spark.read.schema(ENTRY).parquet(f"{folder}/entries")  # the carried columns are not read
     # one row a shard: few enough to number in one task
     manifest = entries.groupBy("shard").agg(F.sum("n").alias("ids")).selectExpr("shard", "ids", "sum(ids) OVER (ORDER BY shard) - ids AS before")
     manifest.write.parquet(f"{folder}/manifest")
@@ -375,9 +386,14 @@ def read_tokens(spark: SparkSession, folder: str, keys: DataFrame, tokenizer: st
     return out.select(F.when(~F.col("no_key"), F.col("addr")).alias(key), "ordinal", "start", F.col("n").alias("n_tokens"), "ids")
 
 
-def token_store(docs: DataFrame, tokenizer: str, end: int = 2, key: str = "doc_id") -> DataFrame:
-    """Write a store in the shared folder, then read every document back through its index."""
+def token_store(docs: DataFrame, tokenizer: str, end: int = 2, key: str = "doc_id", carry: Sequence[str] = ()) -> DataFrame:
+    """Write a store in the shared folder, then read every document back through its index, with the columns in `carry`."""
     spark = docs.sparkSession
     folder = scratch.folder(spark, "tokens")
-    write_tokens(docs, folder, tokenizer, end, key)
-    return read_tokens(spark, folder, docs.select(key), tokenizer, end, key)
+    write_tokens(docs, folder, tokenizer, end, key, carry=carry)
+    stored = _numbered(spark.read.parquet(f"{folder}/entries"))
+    out = read_tokens(spark, folder, stored.select(F.when(~F.col("no_key"), F.col("addr")).alias(key)), tokenizer, end, key)
+    if not carry:
+        return out
+    beside = stored.select(F.when(~F.col("no_key"), F.col("addr")).alias("_key"), F.col("ordinal").alias("_ordinal"), *(F.col(f"carry_{c}").alias(c) for c in carry))
+    return out.join(beside, F.col(key).eqNullSafe(F.col("_key")) & (F.col("ordinal") == F.col("_ordinal"))).drop("_key", "_ordinal")

@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -523,3 +524,40 @@ def test_pipeline(spark, sf_dir):
     total = kept[5].agg(F.sum("n_tokens")).first()[0]
     last = kept[5].orderBy(F.desc("start")).first()
     assert last.start + last.n_tokens == total
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rng = random.Random(12)
+    words = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta"]) + str(rng.randrange(50)) for _ in range(n))
+    item, base = words(30), [words(60) for _ in range(6)]
+    rows = [(i, t, "en", "s0", len(t), "clash") for i, t in enumerate(base)] + [(10, base[0], "en", "s1", 1, "x"), (10, base[0], "en", "s1", 1, "x"), (None, base[1] + " more", None, None, None, None)]
+    rows += [(20, None, None, "s0", None, "x"), (21, "", "en", "s0", 0, "x"), (22, " ", "en", "s0", 1, "x"), (23, words(20) + " " + item, "en", "s0", 9, "x"), (24, words(20_000), "en", "s0", 9, "x")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, replica string"
+    spark.createDataFrame([(i, 1, 0) for i in range(5)] + [(None, 0, 0), (1, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None), (None, "x"), (3, " ")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for some in (rows, []):
+        docs = spark.createDataFrame(some, schema)
+        kept = [docs]
+        for name, stage in p.STAGES:
+            kept.append(scratch.keep(stage(spark, kept[-1], str(tmp_path)), name))
+            assert kept[-1].columns == (p.COLUMNS if stage is not p.tokens else ["doc_id", "replica", "start", "n_tokens", "ids_crc32"])
+        ids = [sorted(str(r.doc_id) for r in k.select("doc_id").collect()) for k in kept]
+        if not some:
+            assert not any(ids)
+            continue
+        assert ids[1] == ids[0]  # under a hundred ratings teach nothing, and nothing is rejected
+        assert ids[2] == sorted(map(str, [*range(6), 20, 21, 22, 23, 24]))
+        assert ids[3] == [i for i in ids[2] if i != "23"]
+        assert ids[5] == ids[4]
+        from tokenizers import Tokenizer
+
+        library, texts = Tokenizer.from_file(BPE), {r[0]: r[1] for r in rows}
+        start, out = 0, sorted(kept[5].collect(), key=lambda r: r.start)
+        for r in out:
+            raw = np.array(library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids + [2], "<u4").tobytes()
+            assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(raw) // 4, zlib.crc32(raw))
+            start += r.n_tokens
+        mixed = [r.doc_id for r in mixing.mix(kept[3], p.SEED).collect()]
+        assert [r.doc_id for r in out] == mixed
