@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from resona.plans import records, signals, text
+from resona.plans import more, records, signals, text
 
-QUERIES = signals.QUERIES | text.QUERIES | records.QUERIES
-SQL = signals.SQL | text.SQL | records.SQL
+QUERIES = signals.QUERIES | text.QUERIES | records.QUERIES | more.QUERIES
+SQL = signals.SQL | text.SQL | records.SQL | more.SQL

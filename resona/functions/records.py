@@ -55,3 +55,8 @@ def first_json(text: Column) -> Column:
 
 def embedding_text(section: Column, text: Column) -> Column:
     return F.concat_ws("\n\n", section, text)
+
+
+def parent_id(parent: Column, chunk_id: Column) -> Column:
+    """The parent that is stated, else the part of a chunk's id before '_child_'."""
+    return F.coalesce(parent, F.split_part(chunk_id, F.lit("_child_"), F.lit(1)))

@@ -71,10 +71,9 @@ def dominant_order(amplitudes: DataFrame) -> DataFrame:
     return amplitudes.where("order >= 1").groupBy("signal_id").agg(F.max_by("order", F.struct("amplitude", -F.col("order"))).alias("observed_order"))
 
 
-def cross_check(found: DataFrame, orders: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Whether the observed dominant order is the one that the visual pattern of the diagnosed fault has."""
-    expected = patterns.groupBy("fault").agg(F.min_by("dominant_order", "pattern_no").alias("expected_order"))
-    return found.join(orders, "signal_id").join(F.broadcast(expected), "fault").withColumn("confirmed", F.col("observed_order") == F.col("expected_order"))
+def cross_check(orders: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Every pattern (pattern_no, fault, direction, dominant_order) whose dominant order is the observed one (signal_id, observed_order)."""
+    return orders.join(F.broadcast(patterns), F.col("observed_order") == F.col("dominant_order")).drop("dominant_order")  # six rows
 
 
 def band_filter(machines: DataFrame, filters: DataFrame) -> DataFrame:

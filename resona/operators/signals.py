@@ -140,3 +140,18 @@ def nearest_match(targets: DataFrame, peaks: DataFrame, keys: list[str], allowed
 def decimate(signal: DataFrame, most: int) -> DataFrame:
     """Every ceil(n / most)-th sample."""
     return signal.withColumn("n", F.count("*").over(whole())).where(F.col("i") % F.ceil(F.col("n") / most) == 0).drop("n")
+
+
+def thinned(samples: DataFrame, most: int) -> DataFrame:
+    """Every ceil(n / most)-th sample of each channel, the first one included."""
+    sizes = samples.groupBy("signal_id", "channel").agg(F.count("*").alias("n"))
+    step = F.greatest(F.lit(1), F.ceil(F.col("n") / most))
+    return samples.join(sizes, ["signal_id", "channel"]).where(F.col("i") % step == 0).drop("n")
+
+
+def first_pair(channels: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """The first of the pairs of channel names, in any case, of which a signal (signal_id, channel) has both: signal_id, x_channel, y_channel."""
+    has = channels.groupBy("signal_id").agg(F.collect_set(F.upper("channel")).alias("names"))  # as many names as a signal has channels
+    known = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs))
+    fit = F.filter(known, lambda p: F.array_contains(F.col("names"), F.upper(p["a"])) & F.array_contains(F.col("names"), F.upper(p["b"])))
+    return has.select("signal_id", F.try_element_at(fit, F.lit(1)).alias("p")).where("p is not null").select("signal_id", F.col("p.a").alias("x_channel"), F.col("p.b").alias("y_channel"))

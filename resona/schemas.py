@@ -35,8 +35,12 @@ RECIPROCATING = [
     (7, "Unbalance inertia\nforces", "2 x RPM and multiples"),
 ]
 
-# Dominant order by fault in the spectral patterns, in source order.
-PATTERNS = [(1, "unbalance", 1.0), (2, "misalignment", 2.0), (3, "looseness", 2.0)]
+# The spectral patterns of the faults that the ratio rules cover, in source order: fault, direction, and the order with
+# the greatest relative amplitude.
+PATTERNS = [
+    (1, "unbalance", "radial", 1.0), (2, "angular_misalignment", "axial", 1.0), (3, "parallel_misalignment", "radial", 2.0),
+    (4, "mechanical_looseness_internal", "radial", 2.0), (5, "mechanical_looseness", "radial", 2.0), (6, "mechanical_looseness", "radial", 2.0),
+]
 
 # Reference phases at shaft orders.
 PHASES = [(1.0, 5.21, 2.45, 87.0), (2.0, 3.21, 2.12, 123.0), (3.0, 1.23, 0.565, 165.0)]
@@ -58,4 +62,4 @@ def reciprocating(spark: SparkSession) -> DataFrame:
 
 
 def patterns(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PATTERNS, "pattern_no int, fault string, dominant_order double")
+    return spark.createDataFrame(PATTERNS, "pattern_no int, fault string, direction string, dominant_order double")
