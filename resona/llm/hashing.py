@@ -135,7 +135,7 @@ def in_one_document(bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndar
     return bounds[:-1][doc] + np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n), doc
 
 
-def slices(offsets: np.ndarray, most: int = 4 << 20):
+def slices(offsets: np.ndarray, most: int = 1 << 20):
     """Cuts a column into runs of documents of about `most` bytes: pairs of indices."""
     lo = 0
     while lo < len(offsets) - 1:
