@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from resona.functions.signal import clean, multipliers, parse_range, stroke_multiplier
+from resona.operators.signals import nearest_match
 
 
 def ratio_patterns(amplitudes: DataFrame, harmonics: int = 5) -> DataFrame:
@@ -99,3 +100,18 @@ def reciprocating_frequencies(machines: DataFrame, table: DataFrame) -> DataFram
     factor = F.when(stroke == "N", F.col("cylinders").cast("double")).when(stroke == "N/2", F.col("cylinders") / 2).otherwise(stroke.try_cast("double"))
     factors = F.when(stroke.isNotNull(), F.array(factor)).otherwise(multipliers(F.col("frequency")))
     return each.select("machine_id", "row_no", "description", F.explode(factors).alias("multiple"), (F.col("rpm") / 60).alias("fr")).withColumn("hz", F.col("multiple") * F.col("fr"))
+
+
+def reciprocating_diagnosis(frequencies: DataFrame, peaks: DataFrame, mechanisms: DataFrame, allowed: float = 2.0) -> DataFrame:
+    """Each mechanism of each machine with the nearest peak within `allowed` Hz of its frequency, its cause and remedy.
+
+    frequencies: machine_id, row_no, multiple, hz. peaks: machine_id, f, amplitude. severity is the amplitude over the
+    median positive one of the machine, 0 where nothing matches. A frequency that isn't below the machine's last peak has no target.
+    Mechanisms of one frequency share a peak: the spectrum alone doesn't tell them apart.
+    """
+    named = frequencies.join(F.broadcast(mechanisms), "row_no").where("at_multiple is null or at_multiple = multiple")  # eight rows
+    lines = peaks.groupBy("machine_id").agg(F.max("f").alias("last"), F.median(F.when(F.col("amplitude") > 0, F.col("amplitude"))).alias("baseline"))
+    target = F.when(F.col("hz") < F.col("last"), F.col("hz"))
+    targets = named.join(lines, "machine_id", "left").select("machine_id", F.col("mechanism").alias("fault"), F.lit(1).alias("harmonic"), target.alias("target"), "baseline", "cause", "remedy")
+    m = nearest_match(targets, peaks, ["machine_id"], F.lit(allowed))
+    return m.select("machine_id", F.col("fault").alias("mechanism"), F.col("found").isNotNull().alias("matched"), "target", "found", F.coalesce(F.col("amplitude") / F.col("baseline"), F.lit(0.0)).alias("severity"), "cause", "remedy")

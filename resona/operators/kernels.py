@@ -6,6 +6,7 @@ A group is one channel of one signal, which Spark deals out by key; longer recor
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KURTOGRAM = "signal_id long, channel string, level int, band int, f_lo double, f_hi double, kurtosis double, best boolean"
+BAND = "signal_id long, channel string, f_lo double, f_hi double, reliable boolean"
 FAULT = "signal_id long, channel string, fault string, severity double, confidence double, n_harmonics int, sidebands boolean"
 
 
@@ -58,9 +60,9 @@ def kurtogram(x: np.ndarray, fs: float, size: int = 1024, levels: int = 5, guard
     return out
 
 
-def reliable(x: np.ndarray, fs: float, seed: int, runs: int = 5, z: float = 3.0) -> bool:
+def reliable(x: np.ndarray, fs: float, seed: int, runs: int = 5, z: float = 3.0, size: int = 1024) -> bool:
     """Whether the kurtogram's maximum stands z deviations over those of shuffled signals; the seed makes retries agree."""
-    top = lambda s: max((r[4] for r in kurtogram(s, fs)), default=float("-inf"))
+    top = lambda s: max((r[4] for r in kurtogram(s, fs, size)), default=float("-inf"))
     random = np.random.RandomState(seed % (1 << 32))
     own, others = top(x), np.array([top(random.permutation(x)) for _ in range(runs)])
     if not np.isfinite(own) or not np.isfinite(others).all():
@@ -97,18 +99,30 @@ def butter(order: int, cut: tuple[float, float] | float, fs: float) -> np.ndarra
 
 
 def sosfilt(sections: np.ndarray, x: np.ndarray, steady: bool = False) -> np.ndarray:
-    """Cascade of sections; steady: begin as if the first value had always been there."""
+    """Cascade of sections; steady: begin as if the first value had always been there.
+
+    A section's response within a block is a matrix product; only its two states go from block to block.
+    """
     y, level = np.asarray(x, float), float(x[0]) if len(x) else 0.0
+    block = max(1, min(64, int(len(y) ** 0.5)))
+    lag = np.arange(block)[:, None] - np.arange(block)[None, :]
     for b0, b1, b2, _, a1, a2 in sections:
         rest = level * (b0 + b1 + b2) / (1 + a1 + a2) if steady else 0.0
-        s1, s2 = (rest - b0 * level, b2 * level - a2 * rest) if steady else (0.0, 0.0)
-        out = np.empty(len(y))
-        for i, v in enumerate(y.tolist()):
-            w = b0 * v + s1
-            s1 = b1 * v - a1 * w + s2
-            s2 = b2 * v - a2 * w
-            out[i] = w
-        y, level = out, rest
+        state = np.array([rest - b0 * level, b2 * level - a2 * rest]) if steady else np.zeros(2)
+        step, gain = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
+        powers = np.empty((block + 1, 2, 2))
+        powers[0] = np.eye(2)
+        for k in range(block):
+            powers[k + 1] = step @ powers[k]
+        response = np.concatenate([[b0], powers[: block - 1, 0] @ gain])
+        rows = np.concatenate([y, np.zeros(-len(y) % block)]).reshape(-1, block)
+        pushed = rows @ (powers[:block][::-1] @ gain)
+        states = np.empty((len(rows), 2))
+        for k, push in enumerate(pushed):
+            states[k] = state
+            state = powers[block] @ state + push
+        out = rows @ np.where(lag >= 0, response[np.maximum(lag, 0)], 0.0).T + states @ powers[:block, 0].T
+        y, level = out.ravel()[: len(y)], rest
     return y
 
 
@@ -230,10 +244,15 @@ def orbit(x: np.ndarray, y: np.ndarray | None, fs: float, fr: float, most: int =
     return a[lo:hi:step], b[lo:hi:step]
 
 
+def dealt(signal: DataFrame) -> DataFrame:
+    """Channels over all shuffle partitions: a kernel's work isn't told by its few bytes, so these aren't merged by size."""
+    return signal.repartition(int(signal.sparkSession.conf.get("spark.sql.shuffle.partitions")), "signal_id", "channel")
+
+
 def packed(signal: DataFrame, *more: str) -> DataFrame:
     """A row per channel with its samples in order as one array, and the first of the columns `more`."""
     xs = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"])
-    return signal.groupBy("signal_id", "channel").agg(xs.alias("xs"), *(F.first(c).alias(c) for c in more))
+    return dealt(signal).groupBy("signal_id", "channel").agg(xs.alias("xs"), *(F.first(c).alias(c) for c in more))
 
 
 def kurtograms(signal: DataFrame, fs: float, size: int = 1024) -> DataFrame:
@@ -251,11 +270,27 @@ def kurtograms(signal: DataFrame, fs: float, size: int = 1024) -> DataFrame:
     return packed(signal).mapInPandas(each, KURTOGRAM)
 
 
-def envelope_faults(signal: DataFrame, fs: float, fr: float, size: int = 1024) -> DataFrame:
-    """Fault matches in each channel's envelope spectrum, all channels of a signal filtered to the band that its first channel's kurtogram chose.
+def bands(signal: DataFrame, fs: float, size: int = 1024, seed: int = 42) -> DataFrame:
+    """The band of each channel's kurtogram with the greatest kurtosis, and whether it is reliable; no band, none in f_lo and f_hi."""
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for name, channel, xs in zip(pdf["signal_id"], pdf["channel"], pdf["xs"], strict=True):
+                x = np.asarray(xs, float)
+                best = max(kurtogram(x, fs, size), key=lambda r: r[4], default=None)
+                out.append((name, channel, *(best[2:4] if best else (None, None)), best is not None and reliable(x, fs, seed, size=size)))
+            yield pd.DataFrame(out, columns=["signal_id", "channel", "f_lo", "f_hi", "reliable"])
+
+    return packed(signal).mapInPandas(each, BAND)
+
+
+def envelope_faults(signal: DataFrame, fs: float, fr: float, size: int = 1024, fallback: DataFrame | None = None) -> DataFrame:
+    """Fault matches in each channel's envelope spectrum, all channels of a signal filtered to one band.
 
-    signal: signal_id, channel, i, x and a struct `frequencies` of fault frequencies. Two stages and a join: the
-    band is chosen once per signal and reaches the other channels as a column.
+    signal: signal_id, channel, i, x and a struct `frequencies` of fault frequencies. The band is the one that the first
+    channel's kurtogram chose, if that is reliable; else the signal's own of `fallback` (signal_id, band_lo, band_hi), such as
+    the band of the speed's envelope filter. It is chosen once per signal and reaches the other channels as a column.
     """
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -270,5 +305,8 @@ def envelope_faults(signal: DataFrame, fs: float, fr: float, size: int = 1024) -
             yield pd.DataFrame(out, columns=["signal_id", "channel", "fault", "severity", "confidence", "n_harmonics", "sidebands"])
 
     first = signal.groupBy("signal_id").agg(F.min("channel").alias("channel"))
-    chosen = kurtograms(signal.join(first, ["signal_id", "channel"]), fs, size).where("best").select("signal_id", "f_lo", "f_hi")
-    return packed(signal, "frequencies").join(chosen, "signal_id", "left").mapInPandas(each, FAULT)
+    chosen = bands(signal.join(first, ["signal_id", "channel"]), fs, size).where("reliable").select("signal_id", "f_lo", "f_hi")
+    if fallback is not None:
+        other = fallback.select("signal_id", "band_lo", "band_hi")
+        chosen = other.join(chosen, "signal_id", "left").select("signal_id", F.coalesce("f_lo", "band_lo").alias("f_lo"), F.coalesce("f_hi", "band_hi").alias("f_hi"))
+    return dealt(packed(signal, "frequencies").join(chosen, "signal_id", "left")).mapInPandas(each, FAULT)

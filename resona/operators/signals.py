@@ -73,7 +73,7 @@ def spectrum(signal: DataFrame, bins: Column | None = None) -> DataFrame:
     """Hann-windowed Fourier sums: bin, re, im, mag and frac (frequency as a share of the sampling rate).
 
     bins: an array column of the bins wanted, by default all to n / 2. A few bins of long records are one
-    pass of partial aggregation; whole spectra of long records are the work of kernels.spectra.
+    pass of partial aggregation; all bins of a record of n samples are n * n / 2 products.
     """
     n = F.count("*").over(whole())
     each = signal.withColumn("n", n).withColumn("bin", F.explode(bins if bins is not None else F.expr("sequence(0L, n div 2)")))
@@ -129,11 +129,11 @@ def nearest_match(targets: DataFrame, peaks: DataFrame, keys: list[str], allowed
     """For each target the nearest peak of the same keys, if within `allowed` (default: the harmonic tolerance).
 
     targets: keys, fault, harmonic, base, target. peaks: keys, f, amplitude. Unmatched targets stay with null
-    peaks. The join is an equi join on keys; the nearest is chosen by partial aggregation (ties: lower f).
+    peaks. The join is an equi join on keys; the nearest is chosen by partial aggregation (ties: lower f, then amplitude).
     """
     limit = allowed if allowed is not None else tolerance(F.col("base"), F.col("harmonic"))
     both = targets.join(peaks, keys).withColumn("gap", F.abs(F.col("f") - F.col("target"))).where(F.col("gap") <= limit)
-    best = both.groupBy(*keys, "fault", "harmonic").agg(F.min_by(F.struct("f", "amplitude"), F.struct("gap", "f")).alias("m"))
+    best = both.groupBy(*keys, "fault", "harmonic").agg(F.min_by(F.struct("f", "amplitude"), F.struct("gap", "f", "amplitude")).alias("m"))
     return targets.join(best, [*keys, "fault", "harmonic"], "left").select(*targets.columns, F.col("m.f").alias("found"), F.col("m.amplitude").alias("amplitude"))
 
 

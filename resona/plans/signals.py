@@ -266,12 +266,32 @@ def band_filter_select(spark, d):
     return faults.band_filter(m, schemas.filters(spark)).withColumn("rpm", F.round("rpm", 4))
 
 
-@query("""WITH m AS (SELECT p_partkey AS machine_id, 600.0::DOUBLE + 100 * (p_partkey % 20) AS rpm, p_size AS c, CASE WHEN p_partkey % 2 = 0 THEN 4 ELSE 2 END AS st FROM part),
-r AS (SELECT machine_id, rpm / 60 AS fr, unnest([1, 1, 2, 3, 4, 5, 6, 7]) AS row_no, unnest([1.0::DOUBLE, 2.0, CASE WHEN st = 4 THEN c ELSE c / 2.0 END, CASE WHEN st = 4 THEN 0.5 ELSE 1 END, 2.0, CASE WHEN st = 4 THEN c ELSE c / 2.0 END, 2.0, 2.0]) AS multiple FROM m)
-SELECT machine_id, row_no, multiple, round(multiple * fr, 6) AS hz FROM r""")
-def recip_freqs(spark, d):
+RECIPROCATING = """m AS (SELECT p_partkey AS machine_id, 600.0::DOUBLE + 100 * (p_partkey % 20) AS rpm, p_size AS c, CASE WHEN p_partkey % 2 = 0 THEN 4 ELSE 2 END AS st FROM part),
+r AS (SELECT machine_id, rpm / 60 AS fr, unnest([1, 1, 2, 3, 4, 5, 6, 7]) AS row_no, unnest([1.0::DOUBLE, 2.0, CASE WHEN st = 4 THEN c ELSE c / 2.0 END, CASE WHEN st = 4 THEN 0.5 ELSE 1 END, 2.0, CASE WHEN st = 4 THEN c ELSE c / 2.0 END, 2.0, 2.0]) AS multiple FROM m)"""
+
+
+def _reciprocating(spark, d):
     m = table(spark, d, "part").select(F.col("p_partkey").alias("machine_id"), (600.0 + 100 * (F.col("p_partkey") % 20)).alias("rpm"), F.col("p_size").alias("cylinders"), F.when(F.col("p_partkey") % 2 == 0, 4).otherwise(2).alias("strokes"))
-    return faults.reciprocating_frequencies(m, schemas.reciprocating(spark)).select("machine_id", "row_no", "multiple", F.round("hz", 6).alias("hz"))
+    return faults.reciprocating_frequencies(m, schemas.reciprocating(spark))
+
+
+@query(f"WITH {RECIPROCATING} SELECT machine_id, row_no, multiple, round(multiple * fr, 6) AS hz FROM r")
+def recip_freqs(spark, d):
+    return _reciprocating(spark, d).select("machine_id", "row_no", "multiple", F.round("hz", 6).alias("hz"))
+
+
+MECHANISMS = "n(row_no, at_multiple, mechanism, cause, remedy) AS (VALUES " + ", ".join(f"({r}, {'NULL' if o is None else o}::DOUBLE, '{m}', '{c}', '{e}')" for r, o, m, c, e in schemas.MECHANISMS) + ")"
+
+
+@query(f"""WITH {RECIPROCATING}, {MECHANISMS}, t AS (SELECT machine_id, mechanism, cause, remedy, multiple * fr AS hz FROM r JOIN n ON r.row_no = n.row_no AND (at_multiple IS NULL OR at_multiple = multiple)
+), k AS (SELECT l_partkey AS machine_id, l_extendedprice % 400 AS f, l_quantity AS amplitude FROM lineitem
+), l AS (SELECT machine_id, max(f) AS last, median(amplitude) FILTER (amplitude > 0) AS baseline FROM k GROUP BY 1
+), u AS (SELECT t.*, CASE WHEN hz < last THEN hz END AS target, baseline FROM t LEFT JOIN l USING (machine_id)
+), b AS (SELECT DISTINCT ON (u.machine_id, mechanism) u.machine_id, mechanism, f, amplitude FROM u JOIN k ON k.machine_id = u.machine_id AND abs(f - target) <= 2 ORDER BY u.machine_id, mechanism, abs(f - target), f, amplitude)
+SELECT machine_id, mechanism, f IS NOT NULL AS matched, round(target, 4) AS target, round(f, 4) AS found, round(coalesce(amplitude / baseline, 0), 4)::DOUBLE AS severity, cause, remedy FROM u LEFT JOIN b USING (machine_id, mechanism)""")
+def reciprocating_diagnosis(spark, d):
+    diagnosed = faults.reciprocating_diagnosis(_reciprocating(spark, d), _peaks(spark, d).withColumnRenamed("part_id", "machine_id"), schemas.mechanisms(spark))
+    return diagnosed.withColumns({c: F.round(c, 4) for c in ("target", "found", "severity")})
 
 
 @query("""WITH m AS (SELECT s_suppkey, (s_suppkey % 90 * 10)::VARCHAR || ' – ' || CASE WHEN s_suppkey % 5 = 0 THEN '...' ELSE (s_suppkey % 90 * 10 + 1500)::VARCHAR END || ' RPM' AS t FROM supplier)
@@ -288,7 +308,16 @@ def kurtogram_bands(spark, d):
     return kernels.kurtograms(_samples(spark, d), 1000.0, 8)
 
 
+@query()
+def kurtogram_reliability(spark, d):
+    """Whether each channel's chosen band stands out from those of its shuffled samples."""
+    return kernels.bands(_samples(spark, d), 1000.0)
+
+
 @query()
 def envelope_diagnosis(spark, d):
+    """Bearing faults per channel; where a kurtogram isn't reliable, the envelope filter of the machine's speed gives the band."""
     q = F.expr("named_struct('BPFO', 107.4D, 'BPFI', 162.2D, 'BSF', 70.5D, 'FTF', 11.9D)")
-    return kernels.envelope_faults(_samples(spark, d).withColumn("frequencies", q), 1000.0, 30.0)
+    speeds = table(spark, d, "events").select(F.col("user_id").alias("machine_id")).distinct().withColumn("rpm", F.lit(1800.0))
+    other = faults.band_filter(speeds, schemas.filters(spark)).withColumnRenamed("machine_id", "signal_id")
+    return kernels.envelope_faults(_samples(spark, d).withColumn("frequencies", q), 1000.0, 30.0, fallback=other)

@@ -35,6 +35,18 @@ RECIPROCATING = [
     (7, "Unbalance inertia\nforces", "2 x RPM and multiples"),
 ]
 
+# The mechanisms of the reciprocating table, in its order: row, multiple (where a row has a mechanism for each), name, cause, remedy.
+MECHANISMS = [
+    (1, 1.0, "inertia_1x", "Piston ve biyel kolunun birincil atalet kuvvetleri", "Uygun tasarim ve denge kutleleri"),
+    (1, 2.0, "inertia_2x", "Piston ve biyel kolunun ikincil atalet kuvvetleri", "Uygun tasarim ve denge kutleleri"),
+    (2, None, "power_pulses", "Motor guc cevrimi", "Silindir sayisini artirmak"),
+    (3, None, "misfiring_piston", "Negatif guc stroku", "Motoru tamir et"),
+    (4, None, "worn_connecting_rod_bearings", "Piston yon degistirirken yatak darbesi", "Motoru tamir et"),
+    (5, None, "worn_crankshaft_main_bearings", "Her guc strokunda yatak darbesi", "Motoru tamir et"),
+    (6, None, "piston_slap", "Agir yuk altinda, biyel koluna dik kuvvet bileseni", "Motoru tamir et"),
+    (7, None, "unbalance_inertia_forces", "Yanlis duzeltme agirliklarindan kaynaklanan ikincil atalet kuvvetleri", "Uygun yedek parca secimi"),
+]
+
 # The spectral patterns of the faults that the ratio rules cover, in source order: fault, direction, and the order with
 # the greatest relative amplitude.
 PATTERNS = [
@@ -61,5 +73,9 @@ def reciprocating(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RECIPROCATING, "row_no int, description string, frequency string")
 
 
+def mechanisms(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(MECHANISMS, "row_no int, at_multiple double, mechanism string, cause string, remedy string")
+
+
 def patterns(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PATTERNS, "pattern_no int, fault string, direction string, dominant_order double")

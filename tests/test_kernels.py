@@ -76,3 +76,41 @@ def test_orbit():
     a, b = k.orbit(x, None, FS, 30.0)
     assert len(a) == len(b) <= 1200
     assert np.abs(np.hypot(a, b) - np.hypot(a, b).mean()).max() < 0.3
+
+
+@pytest.mark.parametrize("n", [1, 3, 50, 1000, 4097])
+@pytest.mark.parametrize("steady", [False, True])
+def test_filter_is_the_recurrence(n, steady):
+    x, sections = np.random.default_rng(n).normal(size=n), k.butter(4, (900.0, 2000.0), FS)
+    want, level = x.tolist(), float(x[0])
+    for b0, b1, b2, _, a1, a2 in sections:
+        rest = level * (b0 + b1 + b2) / (1 + a1 + a2) if steady else 0.0
+        past, out = [level if steady else 0.0] * 2 + want, [rest, rest]
+        for i in range(n):
+            out.append(b0 * past[i + 2] + b1 * past[i + 1] + b2 * past[i] - a1 * out[-1] - a2 * out[-2])
+        want, level = out[2:], rest
+    assert np.abs(k.sosfilt(sections, x, steady) - want).max() < 1e-9
+
+
+def test_unreliable_bands_give_way(spark):
+    """Three channels of which the impulsive one is reliable; faults are those of the band that each signal should have."""
+    rng = np.random.default_rng(5)
+    knock = 0.1 * rng.normal(size=4096)
+    knock[1000:1100] += 3 * np.sin(2 * np.pi * 2500 * T[:100])
+    signals = {1: knock, 2: rng.normal(size=4096), 3: rng.normal(size=4)}
+    rows = [(s, "a", i, float(v)) for s, x in signals.items() for i, v in enumerate(x)]
+    signal = spark.createDataFrame(rows, "signal_id long, channel string, i long, x double").repartition(3)
+    got = {r.signal_id: r for r in k.bands(signal, FS).collect()}
+    own = {s: k.reliable(x, FS, 42) for s, x in signals.items()}
+    assert own[1] and not own[2] and {s: r.reliable for s, r in got.items()} == own
+    named = {"BPFO": 107.4, "BPFI": 162.2}
+    from pyspark.sql import functions as F
+
+    other = spark.createDataFrame([(s, 500.0, 4000.0) for s in signals], "signal_id long, band_lo double, band_hi double")
+    found = k.envelope_faults(signal.withColumn("frequencies", F.expr("named_struct('BPFO', 107.4D, 'BPFI', 162.2D)")), FS, 30.0, fallback=other).collect()
+    want = []
+    for s, x in list(signals.items())[:2]:
+        lo, hi = (got[s].f_lo, got[s].f_hi) if own[s] else (500.0, 4000.0)
+        spectrum = k.envelope_spectrum(k.envelope(k.band_pass(k.detrend(x), FS, lo, max(hi, lo + 1))), FS)
+        want += [(s, *f) for f in k.match(*spectrum, named, 30.0)]
+    assert sorted((r.signal_id, r.fault, r.severity, r.confidence, r.n_harmonics, r.sidebands) for r in found) == sorted(want)
