@@ -1 +1 @@
-"""Training-data operators: ten building blocks for preparing very large text corpora on Spark."""
+"""Training-data operators: building blocks for preparing very large text corpora on Spark."""

@@ -1,4 +1,4 @@
-"""Queries of the ten operators and the pipeline, with production parameters over whole tables."""
+"""Queries of the operators and the pipeline, with production parameters over whole tables."""
 
 from __future__ import annotations
 
@@ -222,6 +222,58 @@ SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, n_repeated, n_removed,
 FROM w JOIN kept ON kept.doc_id = w.doc_id WHERE n_repeated > 0
 """
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from resona.llm.lm_scoring import lm_scores
+
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return lm_scores(_table(spark, sf_dir, "documents"), F.crc32(name.cast("binary")) % 7 == 2)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from resona.llm.vector_codes import vector_codes
+
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """The rounds spelt out: parts p (part, id, x), codebooks b0 to b4, assignments a0 to a4."""
+    near = """k{r} AS (
+  SELECT p.vec_id, p.label, p.part, any_value(p.x) AS x, min(CAST(list_inner_product(p.xd, p.xd) + list_inner_product(b.e, b.e) - 2 * list_inner_product(b.e, p.xd) AS BIGINT) * 256 + b.entry) AS k
+  FROM p JOIN b{r} b ON b.part = p.part GROUP BY p.vec_id, p.label, p.part
+), a{r} AS (
+  SELECT vec_id, label, part, x, k % 256 AS entry, k // 256 AS far FROM k{r}
+)"""
+    mean = """m{r} AS (
+  SELECT part, entry, pos, CAST(floor(sum(x[pos]) / count(*)) AS DOUBLE) AS c FROM a{r}, (SELECT unnest(range(1, w + 1)) AS pos FROM dim) GROUP BY ALL
+), b{n} AS (
+  SELECT b.part, b.entry, coalesce(k.e, b.e) AS e FROM b{r} b LEFT JOIN (SELECT part, entry, list(c ORDER BY pos) AS e FROM m{r} GROUP BY ALL) k ON k.part = b.part AND k.entry = b.entry
+)"""
+    steps = [step.format(r=r, n=r + 1) for r in range(rounds) for step in (near, mean)] + [near.format(r=rounds)]
+    return f"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(1024 * c::DOUBLE) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), dim AS (
+  SELECT max(len(x)) // {parts} AS w FROM v
+), p AS (
+  SELECT vec_id, label, part, x[part * w + 1:part * w + w] AS x, list_transform(x[part * w + 1:part * w + w], lambda c: c::DOUBLE) AS xd FROM v, dim, (SELECT unnest(range(0, {parts})) AS part)
+), b0 AS (
+  SELECT part, dense_rank() OVER (ORDER BY vec_id) - 1 AS entry, xd AS e FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {entries})
+), {", ".join(steps)}, c AS (
+  SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id, label
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(list_transform(e, lambda c: CAST(c AS BIGINT)), ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256
+FROM c
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from resona.llm.whitening import whitened
+
+    return whitened(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_quality_classifier": op2_quality_classifier,
@@ -233,6 +285,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_lm_scoring": op11_lm_scoring,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_whitening": op13_whitening,
 }
 
 SQL: dict[str, str] = {
@@ -242,4 +297,5 @@ SQL: dict[str, str] = {
     "op6_mixing": OP6_SQL,
     "op9_substring_dedup": OP9_SQL,
     "op10_suffix_dedup": OP10_SQL,
+    "op12_vector_codes": _op12_sql(),
 }
