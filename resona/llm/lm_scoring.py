@@ -31,7 +31,7 @@ from resona.llm import scratch
 
 HEAD = 2
 #: Binary logarithms of the tables' slots. Head: byte before, whole start; these with the last byte, and the last two, of the word before. Tail: one to four bytes before, whole start.
-SLOTS = {"head": (14, 17, 19, 21), "tail": (17, 20, 21, 21, 21)}
+SLOTS = {"head": (13, 16, 18, 20), "tail": (16, 20, 20, 20, 20)}
 FOLLOW, TRUST = 21, 16
 PLACES, LEVELS, BLOCK = 8, 33, 1 << 15
 SPACE, END = 32, 10
@@ -165,6 +165,22 @@ def size(kind: str) -> int:
     return sum(1 << s for s in SLOTS[kind])
 
 
+class Squeezed:
+    """Arrays by name that are compressed on their way to tasks."""
+
+    def __init__(self, **arrays: np.ndarray) -> None:
+        self.arrays = arrays
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self.arrays[name]
+
+    def __getstate__(self) -> dict:
+        return {k: (str(x.dtype), x.shape, pa.compress(np.ascontiguousarray(x).data.cast("B"), "zstd", asbytes=True)) for k, x in self.arrays.items()}
+
+    def __setstate__(self, state: dict) -> None:
+        self.arrays = {k: np.frombuffer(pa.decompress(x, int(np.prod(shape)) * np.dtype(kind).itemsize, "zstd", asbytes=True), kind).reshape(shape) for k, (kind, shape, x) in state.items()}
+
+
 # the mixer
 
 
@@ -233,17 +249,17 @@ def logit(zeros: np.ndarray, ones: np.ndarray, few: float = 0.4) -> np.ndarray:
 class Model:
     """Tables of logits and mixers of both sets of contexts."""
 
-    logits: dict[str, np.ndarray]
+    logits: Squeezed
     mixers: dict[str, Mixer]
     refined: dict[str, np.ndarray]
-    followers: Followers
+    followers: Squeezed
     right: np.ndarray
 
     def token_bits(self, slot: np.ndarray, word: np.ndarray, own: np.ndarray) -> np.ndarray:
         """Bits of tokens whose own bytes take `own` bits: the leading word can be told by the first bit or by its bytes."""
-        trust = self.followers.trust(slot)
+        trust = Followers.trusted(self.followers["votes"][slot])
         p = np.clip(self.right[trust], 1e-6, 1 - 1e-6)
-        came = self.followers.word[slot] == word
+        came = self.followers["word"][slot] == word
         return np.where(trust == 0, own, np.where(came, -np.log2(p + (1 - p) * np.exp2(-np.minimum(own, 1000))), own - np.log2(1 - p)))
 
     def cost(self, kind: str, parts: Iterator[Bytes], n: int) -> np.ndarray:
@@ -310,7 +326,7 @@ def summed(table: pa.Table) -> pa.Table:
         for b, name in enumerate(("zeros", "ones")):
             x = one.column(name).to_numpy()
             both[b, : len(x)] += x
-    return pa.table({"kind": table.column("kind").slice(0, 1), "block": table.column("block").slice(0, 1), "counts": [both.astype(np.float32).tobytes()]})
+    return pa.table({"kind": table.column("kind").slice(0, 1), "block": table.column("block").slice(0, 1), "counts": [pa.compress(both.astype(np.float32).tobytes(), "zstd", asbytes=True)]})
 
 
 # the word that follows two
@@ -341,9 +357,10 @@ class Followers:
         lead = 2 * n[top] - total
         self.vote(slot[top[lead > 0]], both[top[lead > 0]] & U(0xFFFFFFFF), lead[lead > 0])
 
-    def trust(self, slot: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def trusted(votes: np.ndarray) -> np.ndarray:
         """0: no word leads; else the votes' power of two."""
-        return np.minimum(np.frexp(self.votes[slot].astype(np.float64))[1], TRUST - 1)
+        return np.minimum(np.frexp(votes.astype(np.float64))[1], TRUST - 1)
 
 
 def following(codes: np.ndarray, per_text: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -370,7 +387,7 @@ def followed(batches: Iterator[pa.RecordBatch], step: int = 1 << 15) -> Iterator
         slot, word = (x[~np.repeat(keys.column("held").to_numpy(zero_copy_only=False), per_text)] for x in following(codes, per_text, words))
         for lo in range(0, len(slot), step):
             s, w = slot[lo : lo + step], word[lo : lo + step]
-            came += np.bincount(own.trust(s) * 2 + (own.word[s] == w), minlength=2 * TRUST).reshape(TRUST, 2).T
+            came += np.bincount(Followers.trusted(own.votes[s]) * 2 + (own.word[s] == w), minlength=2 * TRUST).reshape(TRUST, 2).T
             own.learn(s, w)
     task = TaskContext.get().partitionId()
     for lo in range(0, 1 << FOLLOW, BLOCK):
@@ -481,7 +498,7 @@ def tables(names: DataFrame) -> dict[str, np.ndarray]:
     for r in blocks.toLocalIterator(prefetchPartitions=True):
         kind = [*SLOTS][r.kind]
         lo = r.block * BLOCK
-        out[kind][:, lo : lo + BLOCK] = np.frombuffer(r.counts, np.float32).reshape(2, BLOCK)[:, : size(kind) - lo]
+        out[kind][:, lo : lo + BLOCK] = np.frombuffer(pa.decompress(r.counts, 8 * BLOCK, "zstd", asbytes=True), np.float32).reshape(2, BLOCK)[:, : size(kind) - lo]
     return out
 
 
@@ -534,10 +551,12 @@ def lm_scores(docs: DataFrame, held_out: Column, key: str = "doc_id", chunk: int
     names = scratch.keep(chunks.mapInArrow(_names, "kind int, name binary, n long").groupBy("kind", "name").agg(F.sum("n").alias("n")), "lm-names")
     total, distinct = names.where("kind = 0 AND n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     counts = tables(names)
-    shared = spark.sparkContext.broadcast(counts)  # the bytes of SLOTS: 8 for each slot
+    shared = spark.sparkContext.broadcast(Squeezed(**counts))  # the bytes of SLOTS: 8 for each slot at most
     learnt = mixers(names, shared)
     shared.unpersist()
-    model = spark.sparkContext.broadcast(Model({k: logit(c[0], c[1]).astype(np.float32) for k, c in counts.items()}, learnt, {k: m.refined() for k, m in learnt.items()}, *followers(chunks)))
+    votes, right = followers(chunks)
+    logits = Squeezed(**{k: logit(c[0], c[1]).astype(np.float32) for k, c in counts.items()})
+    model = spark.sparkContext.broadcast(Model(logits, learnt, {k: m.refined() for k, m in learnt.items()}, Squeezed(word=votes.word, votes=votes.votes), right))
 
     def words_cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

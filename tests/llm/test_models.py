@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 import random
 import re
 from collections import Counter
@@ -49,7 +50,8 @@ def test_a_bit_mixers_bytes_add_up_to_one():
     table = rng.normal(0, 2, lm.size("tail")).astype(np.float32)
     mixer.weights += rng.normal(0, 0.3, mixer.weights.shape)
     mixer.followed += rng.integers(0, 50, mixer.followed.shape)
-    model = lm.Model({"tail": table}, {"tail": mixer}, {"tail": mixer.refined()}, lm.Followers(), np.zeros(lm.TRUST))
+    model = lm.Model(lm.Squeezed(tail=table), {"tail": mixer}, {"tail": mixer.refined()}, lm.Squeezed(), np.zeros(lm.TRUST))
+    model = pickle.loads(pickle.dumps(model))
     part = lm.Bytes(np.arange(256, dtype=np.uint8), np.full(256, 3), [np.full(256, c, np.uint64) for c in (7, 8, 9, 10, 11)], np.zeros(256), np.arange(256))
     assert np.exp2(-model.cost("tail", iter([part]), 256)).sum() == pytest.approx(1, abs=1e-6)
 
@@ -95,7 +97,7 @@ def test_votes_for_the_word_that_follows():
     assert (own.word[3], own.votes[3], own.votes[4]) == (9, 1, 0)
     own.learn(np.array([3] * 3), np.array([8] * 3))
     assert (own.word[3], own.votes[3]) == (8, 2)
-    assert own.trust(np.array([3, 4])).tolist() == [2, 0]
+    assert own.trusted(own.votes[[3, 4]]).tolist() == [2, 0]
 
 
 def test_scores(spark, make_docs, corpus):
