@@ -55,8 +55,21 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     at = np.concatenate([[0], np.cumsum(ends - starts)])
     words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(inside)]).dictionary_encode()
     distinct = pa.concat_arrays([words.dictionary, pa.array([bytes([END])], pa.large_binary())])
-    codes = np.insert(words.indices.to_numpy().astype(np.int32), bounds[1:], len(distinct) - 1)
-    return codes, np.diff(bounds) + 1, distinct
+    n = words.indices.to_numpy()
+    often = np.argsort(-np.bincount(n, minlength=len(words.dictionary)), kind="stable")  # small numbers, which pack well, for common words
+    place = np.empty(len(often), np.int32)
+    place[often] = np.arange(len(often))
+    distinct = distinct.take(pa.array(np.append(often, len(often))))
+    return np.insert(place[n], bounds[1:], len(often)), np.diff(bounds) + 1, distinct
+
+
+def squeeze(codes: np.ndarray) -> bytes:
+    """Word numbers, one byte plane after the other, compressed."""
+    return pa.compress(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def unsqueeze(payload: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(payload, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n).T.copy().view("<i4").ravel()
 
 
 def word_bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -446,7 +459,7 @@ def encoded(docs: DataFrame, held_out: Column, key: str, chunk: int) -> DataFram
         def row() -> pa.RecordBatch:
             table = pa.Table.from_batches(held).combine_chunks()
             codes, per_text, words = tokens(table.column("text"))
-            cells = {"chunk": base + number, "keys": pack(table.drop_columns(["text"])), "per_text": per_text.astype(np.int32).tobytes(), "codes": codes.tobytes(), "words": pack(pa.table({"word": words}))}
+            cells = {"chunk": base + number, "keys": pack(table.drop_columns(["text"])), "per_text": per_text.astype(np.int32).tobytes(), "codes": squeeze(codes), "words": pack(pa.table({"word": words}))}
             return pa.RecordBatch.from_pydict({k: [v] for k, v in cells.items()})
 
         for batch in batches:
@@ -469,7 +482,8 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
     for batch in batches:
         for r in batch.to_pylist():
-            yield r["chunk"], unpack(r["keys"]), np.frombuffer(r["per_text"], np.int32), np.frombuffer(r["codes"], np.int32), unpack(r["words"]).column("word").combine_chunks()
+            per_text = np.frombuffer(r["per_text"], np.int32)
+            yield r["chunk"], unpack(r["keys"]), per_text, unsqueeze(r["codes"], int(per_text.sum())), unpack(r["words"]).column("word").combine_chunks()
 
 
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
