@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from resona.operators.peaks import find_peaks
+
 KURTOGRAM = "signal_id long, channel string, level int, band int, f_lo double, f_hi double, kurtosis double, best boolean"
 BAND = "signal_id long, channel string, f_lo double, f_hi double, reliable boolean"
 FAULT = "signal_id long, channel string, fault string, severity double, confidence double, n_harmonics int, sidebands boolean"
@@ -168,25 +170,6 @@ def envelope_spectrum(env: np.ndarray, fs: float, cut: float = 2.0) -> tuple[np.
     return np.fft.rfftfreq(n, 1 / fs), mag
 
 
-def find_peaks(x: np.ndarray, least: float) -> np.ndarray:
-    """Local maxima (the middle of a plateau) whose prominence is at least `least`."""
-    out, i, n = [], 1, len(x)
-    while i < n - 1:
-        j = i
-        while j + 1 < n and x[j + 1] == x[i]:
-            j += 1
-        if x[i - 1] < x[i] and j + 1 < n and x[j + 1] < x[i]:
-            p = (i + j) // 2
-            left = np.flatnonzero(x[:p] > x[p])
-            right = np.flatnonzero(x[p + 1 :] > x[p])
-            lo = x[left[-1] + 1 if len(left) else 0 : p + 1].min()
-            hi = x[p : p + 1 + right[0] if len(right) else n].min()
-            if x[p] - max(lo, hi) >= least:
-                out.append(p)
-        i = j + 1
-    return np.array(out, int)
-
-
 def simpson(y: np.ndarray, h: float) -> float:
     """Composite Simpson rule; an even number of points ends with the corrected last interval."""
     n = len(y)

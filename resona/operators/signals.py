@@ -69,18 +69,12 @@ def hann(i: Column, n: Column) -> Column:
     return F.when(n > 1, 0.5 - 0.5 * F.cos(2 * F.lit(3.141592653589793) * i / (n - 1))).otherwise(1.0)
 
 
-def spectrum(signal: DataFrame, bins: Column | None = None) -> DataFrame:
-    """Hann-windowed Fourier sums: bin, re, im, mag and frac (frequency as a share of the sampling rate).
-
-    bins: an array column of the bins wanted, by default all to n / 2. A few bins of long records are one
-    pass of partial aggregation; all bins of a record of n samples are n * n / 2 products.
-    """
-    n = F.count("*").over(whole())
-    each = signal.withColumn("n", n).withColumn("bin", F.explode(bins if bins is not None else F.expr("sequence(0L, n div 2)")))
+def fourier_sums(signal: DataFrame, bins: Column) -> DataFrame:
+    """Hann-windowed Fourier sums of an array column of bins: bin, n, re, im; one pass of partial aggregation (spectra.spectrum has all bins)."""
+    each = signal.withColumn("n", F.count("*").over(whole())).withColumn("bin", F.explode(bins))
     angle = -2 * F.lit(3.141592653589793) * F.col("bin") * F.col("i") / F.col("n")
     w = F.col("x") * hann(F.col("i"), F.col("n"))
-    sums = each.groupBy(*KEY, "bin", "n").agg(F.sum(w * F.cos(angle)).alias("re"), F.sum(w * F.sin(angle)).alias("im"))
-    return sums.withColumns({"mag": F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")), "frac": F.col("bin") / F.col("n")})
+    return each.groupBy(*KEY, "bin", "n").agg(F.sum(w * F.cos(angle)).alias("re"), F.sum(w * F.sin(angle)).alias("im"))
 
 
 def local_maxima(signal: DataFrame) -> DataFrame:
@@ -92,30 +86,6 @@ def local_maxima(signal: DataFrame) -> DataFrame:
     return near.withColumn("shift", shift).select(*KEY, "i", "x", (F.col("i") + F.col("shift")).alias("place"), (F.col("x") - 0.25 * (F.col("a") - F.col("b")) * F.col("shift")).alias("height"))
 
 
-def prominence(peaks: DataFrame, signal: DataFrame) -> DataFrame:
-    """Height of each local maximum over the higher of the two minima towards the next higher sample.
-
-    The channel's samples are gathered as an array next to its peaks, so a group is one channel's record.
-    """
-    packed = signal.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("xs"))
-    both = peaks.join(packed, KEY)
-    left = F.expr("reverse(slice(xs, 1, cast(i as int)))")
-    right = F.expr("slice(xs, cast(i as int) + 2, size(xs))")
-    lowest = lambda side: F.aggregate(side, F.struct(F.col("x").alias("low"), F.lit(True).alias("go")), lambda s, v: F.struct(F.when(s["go"] & (v <= F.col("x")), F.least(s["low"], v)).otherwise(s["low"]).alias("low"), (s["go"] & (v <= F.col("x"))).alias("go")))["low"]
-    return both.withColumn("prominence", F.col("x") - F.greatest(lowest(left), lowest(right))).drop("xs")
-
-
-def band_rms(spectra: DataFrame, lo: Column, hi: Column) -> DataFrame:
-    """sqrt(trapezoid integral of mag**2 over [lo, hi] / its width) per channel, frequencies as in column f; the nearest bin's magnitude where the band holds fewer than two bins."""
-    order = Window.partitionBy(*KEY).orderBy("f")
-    inside = spectra.withColumns({"lo": lo, "hi": hi}).where("f >= lo and f <= hi")
-    step = inside.withColumns({"f0": F.lag("f").over(order), "m0": F.lag("mag").over(order)})
-    area = (F.col("f") - F.col("f0")) * (F.col("mag") * F.col("mag") + F.col("m0") * F.col("m0")) / 2
-    banded = step.groupBy(*KEY).agg(F.sum(area).alias("area"), (F.max("f") - F.min("f")).alias("width"))
-    middle = spectra.withColumn("gap", F.abs(F.col("f") - (lo + hi) / 2)).groupBy(*KEY).agg(F.min_by("mag", F.struct("gap", "f")).alias("nearest"))
-    return middle.join(banded, KEY, "left").select(*KEY, F.when(F.col("width") > 0, F.sqrt(F.col("area") / F.col("width"))).otherwise(F.col("nearest")).alias("band_rms"))
-
-
 def coupling_phase(spectra: DataFrame, target: float = 180.0, allowed: float = 30.0) -> DataFrame:
     """Phase difference of each pair of channels of a signal at each bin of `spectra`, and whether it lies within allowed of target."""
     phase = spectra.select("signal_id", "channel", "bin", F.degrees(F.atan2("im", "re")).alias("phase"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from resona import schemas
 from resona.functions import signal as sig
-from resona.operators import faults, kernels
+from resona.operators import faults, kernels, peaks, spectra
 from resona.operators import signals as op
 from resona.sources.tables import table
 
@@ -90,7 +90,7 @@ def sig_chunked_rms(spark, d):
 
 @query(f"WITH {S}, {SPECTRUM} SELECT signal_id, channel, bin, round(mag, 4) AS mag, round(frac, 6) AS frac FROM f")
 def sig_spectrum(spark, d):
-    return op.spectrum(_samples(spark, d)).select("signal_id", "channel", "bin", F.round("mag", 4).alias("mag"), F.round("frac", 6).alias("frac"))
+    return spectra.spectrum(_samples(spark, d)).select("signal_id", "channel", "bin", F.round("mag", 4).alias("mag"), F.round("frac", 6).alias("frac"))
 
 
 @query(f"""WITH {S}, g AS (SELECT *, lag(x) OVER w AS a, lead(x) OVER w AS b FROM s WINDOW w AS (PARTITION BY signal_id, channel ORDER BY i)
@@ -100,23 +100,32 @@ def sig_local_maxima(spark, d):
     return op.local_maxima(_samples(spark, d)).select("signal_id", "channel", "i", F.round("place", 4).alias("place"), F.round("height", 4).alias("height"))
 
 
-@query(f"""WITH {S}, g AS (SELECT *, lag(x) OVER w AS a, lead(x) OVER w AS b FROM s WINDOW w AS (PARTITION BY signal_id, channel ORDER BY i)
-), p AS (SELECT signal_id, channel, i, x FROM g WHERE x > a AND x > b
-), e AS (SELECT p.signal_id, p.channel, p.i, p.x, coalesce(max(s.i) FILTER (s.i < p.i AND s.x > p.x), -1) AS l, coalesce(min(s.i) FILTER (s.i > p.i AND s.x > p.x), 1000000000) AS r FROM p JOIN s USING (signal_id, channel) GROUP BY ALL)
-SELECT e.signal_id, e.channel, e.i, round(e.x - greatest(min(s.x) FILTER (s.i > l AND s.i <= e.i), min(s.x) FILTER (s.i < r AND s.i >= e.i)), 6) AS prominence FROM e JOIN s USING (signal_id, channel) GROUP BY e.signal_id, e.channel, e.i, e.x""")
+#: Peaks of record r (signal_id, channel, i, x), plateaus by their middle, and their prominence.
+PROMINENCE = """c AS (SELECT *, sum(CASE WHEN x = before THEN 0 ELSE 1 END) OVER (PARTITION BY signal_id, channel ORDER BY i) AS run FROM (SELECT *, lag(x) OVER (PARTITION BY signal_id, channel ORDER BY i) AS before FROM r)
+), u AS (SELECT signal_id, channel, run, min(i) AS lo, max(i) AS hi, min(x) AS x FROM c GROUP BY ALL
+), g AS (SELECT *, lag(x) OVER w AS a, lead(x) OVER w AS b FROM u WINDOW w AS (PARTITION BY signal_id, channel ORDER BY run)
+), p AS (SELECT signal_id, channel, (lo + hi) // 2 AS i, x FROM g WHERE x > a AND x > b
+), e AS (SELECT p.signal_id, p.channel, p.i, p.x, coalesce(max(r.i) FILTER (r.i < p.i AND r.x > p.x), -1) AS l, coalesce(min(r.i) FILTER (r.i > p.i AND r.x > p.x), 1000000000) AS r FROM p JOIN r USING (signal_id, channel) GROUP BY ALL
+), k AS (SELECT e.signal_id, e.channel, e.i, e.x - greatest(min(r.x) FILTER (r.i > l AND r.i <= e.i), min(r.x) FILTER (r.i < r AND r.i >= e.i)) AS prominence FROM e JOIN r USING (signal_id, channel) GROUP BY e.signal_id, e.channel, e.i, e.x)"""
+
+
+@query(f"WITH {S}, r AS (SELECT * FROM s), {PROMINENCE} SELECT signal_id, channel, i, round(prominence, 6) AS prominence FROM k")
 def sig_peak_prominence(spark, d):
-    s = _samples(spark, d)
-    return op.prominence(op.local_maxima(s), s).select("signal_id", "channel", "i", F.round("prominence", 6).alias("prominence"))
+    return peaks.prominent_peaks(_samples(spark, d)).select("signal_id", "channel", "i", F.round("prominence", 6).alias("prominence"))
+
+
+#: Simpson weight of the k-th of m values.
+SIMPSON = "CASE WHEN m = 2 THEN 0.5 ELSE CASE WHEN k >= m - (m + 1) % 2 THEN 0 WHEN k = 0 OR k = m - (m + 1) % 2 - 1 THEN 1.0::DOUBLE / 3 WHEN k % 2 = 1 THEN 4.0::DOUBLE / 3 ELSE 2.0::DOUBLE / 3 END + CASE WHEN m % 2 = 1 THEN 0 WHEN k = m - 1 THEN 5.0::DOUBLE / 12 WHEN k = m - 2 THEN 8.0::DOUBLE / 12 WHEN k = m - 3 THEN -1.0::DOUBLE / 12 ELSE 0 END END"
 
 
 @query(f"""WITH {S}, {SPECTRUM}, q AS (SELECT *, frac * 1000 AS fq FROM f), g AS (
-  SELECT *, lag(fq) OVER w AS f0, lag(mag) OVER w AS m0 FROM q WHERE fq >= 100 AND fq <= 300 WINDOW w AS (PARTITION BY signal_id, channel ORDER BY fq)
-), a AS (SELECT signal_id, channel, sum((fq - f0) * (mag * mag + m0 * m0) / 2) AS area, max(fq) - min(fq) AS width FROM g GROUP BY ALL
-), m AS (SELECT DISTINCT ON (signal_id, channel) signal_id, channel, mag FROM q ORDER BY signal_id, channel, abs(fq - 200), fq)
-SELECT m.signal_id, m.channel, round(CASE WHEN width > 0 THEN sqrt(area / width) ELSE mag END, 4) AS band_rms FROM m LEFT JOIN a USING (signal_id, channel)""")
+  SELECT *, bin - min(bin) OVER w AS k, count(*) OVER w AS m FROM q WHERE fq >= 100 AND fq <= 300 WINDOW w AS (PARTITION BY signal_id, channel)
+), a AS (SELECT signal_id, channel, sum(({SIMPSON}) * mag * mag) AS area, max(m) AS m FROM g GROUP BY ALL
+), c AS (SELECT DISTINCT ON (signal_id, channel) signal_id, channel, mag FROM q ORDER BY signal_id, channel, abs(fq - 200), fq)
+SELECT c.signal_id, c.channel, round(CASE WHEN m > 1 THEN sqrt(greatest(0, area / (m - 1))) ELSE mag END, 4) AS band_rms FROM c LEFT JOIN a USING (signal_id, channel)""")
 def sig_band_rms(spark, d):
-    spectra = op.spectrum(_samples(spark, d)).withColumn("f", F.col("frac") * 1000)
-    return op.band_rms(spectra, F.lit(100.0), F.lit(300.0)).select("signal_id", "channel", F.round("band_rms", 4).alias("band_rms"))
+    found = spectra.spectrum(_samples(spark, d)).withColumn("f", F.col("frac") * 1000)
+    return spectra.band_rms(found, F.lit(100.0), F.lit(300.0)).select("signal_id", "channel", F.round("band_rms", 4).alias("band_rms"))
 
 
 @query(f"""WITH {S}, {SPECTRUM}, p AS (SELECT signal_id, channel, bin, degrees(atan2(im, re)) AS phase FROM f WHERE bin IN (1, 2))
@@ -124,7 +133,7 @@ SELECT a.signal_id, a.channel AS channel_a, b.channel AS channel_b, a.bin, round
 FROM p a JOIN p b ON a.signal_id = b.signal_id AND a.bin = b.bin AND a.channel < b.channel""")
 def sig_coupling_phase(spark, d):
     n = F.array_compact(F.array(F.lit(1), F.when(F.col("n") >= 4, 2)))
-    return op.coupling_phase(op.spectrum(_samples(spark, d), n)).withColumn("gap", F.round("gap", 2)).withColumn("bin", F.col("bin").cast("long"))
+    return op.coupling_phase(op.fourier_sums(_samples(spark, d), n)).withColumn("gap", F.round("gap", 2)).withColumn("bin", F.col("bin").cast("long"))
 
 
 @query(f"WITH {S}, c AS (SELECT *, count(*) OVER (PARTITION BY signal_id, channel) AS n FROM s) SELECT signal_id, channel, i, x FROM c WHERE i % CAST(ceil(n / 5.0) AS BIGINT) = 0")
