@@ -271,7 +271,7 @@ def bands(signal: DataFrame, fs: float, size: int = 1024, seed: int = 42) -> Dat
 def envelope_faults(signal: DataFrame, fs: float, fr: float, size: int = 1024, fallback: DataFrame | None = None) -> DataFrame:
     """Fault matches in each channel's envelope spectrum, all channels of a signal filtered to one band.
 
-    signal: signal_id, channel, i, x and a struct `frequencies` of fault frequencies. The band is the one that the first
+    signal: signal_id, channel, i, x and a struct `frequencies` of fault frequencies. The band is the one that the primary
     channel's kurtogram chose, if that is reliable; else the signal's own of `fallback` (signal_id, band_lo, band_hi), such as
     the band of the speed's envelope filter. It is chosen once per signal and reaches the other channels as a column.
     """
@@ -287,8 +287,9 @@ def envelope_faults(signal: DataFrame, fs: float, fr: float, size: int = 1024, f
                     out += [(row.signal_id, row.channel, *f) for f in match(*spectrum, dict(row.frequencies), fr)]
             yield pd.DataFrame(out, columns=["signal_id", "channel", "fault", "severity", "confidence", "n_harmonics", "sidebands"])
 
-    first = signal.groupBy("signal_id").agg(F.min("channel").alias("channel"))
-    chosen = bands(signal.join(first, ["signal_id", "channel"]), fs, size).where("reliable").select("signal_id", "f_lo", "f_hi")
+    from resona.sources.signals import primary_channel
+
+    chosen = bands(primary_channel(signal, "signal_id"), fs, size).where("reliable").select("signal_id", "f_lo", "f_hi")
     if fallback is not None:
         other = fallback.select("signal_id", "band_lo", "band_hi")
         chosen = other.join(chosen, "signal_id", "left").select("signal_id", F.coalesce("f_lo", "band_lo").alias("f_lo"), F.coalesce("f_hi", "band_hi").alias("f_hi"))

@@ -91,7 +91,7 @@ def judge_scores(spark, d):
 @query()
 def kurtogram_grid(spark, d):
     """Kurtograms as a rectangle: a band of level l covers its share of the finest level's columns; missing bands are 0."""
-    k = kernels.kurtograms(op.samples(table(spark, d, "events")), 1000.0, 8)
+    k = kernels.kurtograms(op.samples(table(spark, d, "events")), 1000.0)
     cells = k.select("signal_id", "channel", "level", F.col("kurtosis"), F.explode(F.expr("sequence(cast(band * pow(2, 5 - level) as int), cast((band + 1) * pow(2, 5 - level) - 1 as int))")).alias("column"))
     return cells.groupBy("signal_id", "channel", "level").agg(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda c: F.coalesce(F.try_element_at(F.map_from_entries(F.collect_list(F.struct("column", "kurtosis"))), c), F.lit(0.0))).alias("row")).select("signal_id", "channel", "level", F.round(F.aggregate("row", F.lit(0.0), lambda a, v: a + v), 6).alias("row_sum"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from resona import schemas
 from resona.functions import signal as sig
-from resona.operators import faults, kernels, peaks, spectra
+from resona.operators import analysis, faults, kernels, peaks, spectra
 from resona.operators import signals as op
 from resona.sources.tables import table
 
@@ -314,7 +314,7 @@ def parse_rules(spark, d):
 
 @query()
 def kurtogram_bands(spark, d):
-    return kernels.kurtograms(_samples(spark, d), 1000.0, 8)
+    return kernels.kurtograms(_samples(spark, d), 1000.0)
 
 
 @query()
@@ -330,3 +330,56 @@ def envelope_diagnosis(spark, d):
     speeds = table(spark, d, "events").select(F.col("user_id").alias("machine_id")).distinct().withColumn("rpm", F.lit(1800.0))
     other = faults.band_filter(speeds, schemas.filters(spark)).withColumnRenamed("machine_id", "signal_id")
     return kernels.envelope_faults(_samples(spark, d).withColumn("frequencies", q), 1000.0, 30.0, fallback=other)
+
+
+#: The primary channel of each signal, detrended, as s; m: the machine, whose shaft turns twice in that record.
+PRIMARY = S.replace("s AS (", "s0 AS (", 1) + """, pc AS (SELECT signal_id, min(channel) AS channel FROM s0 GROUP BY 1
+), pr AS (SELECT s0.* FROM s0 JOIN pc USING (signal_id, channel)
+), ln AS (SELECT signal_id, coalesce(regr_slope(x, i), 0) AS a, coalesce(regr_intercept(x, i), min(x)) AS b FROM pr GROUP BY 1
+), s AS (SELECT signal_id, channel, i, x - a * i - b AS x FROM pr JOIN ln USING (signal_id)
+), m AS (SELECT signal_id, channel, count(*) AS n, CASE WHEN signal_id % 3 = 0 THEN 'reciprocating' ELSE 'rotating' END AS machine, (signal_id % 70) / 10.0::DOUBLE AS velocity, 'Class ' || ['I', 'II', 'III', 'IV'][1 + signal_id % 4] AS class,
+  2 + signal_id % 5 AS c, CASE WHEN signal_id % 2 = 0 THEN 4 ELSE 2 END AS st FROM pr GROUP BY ALL)"""
+
+
+@query(f"""WITH {PRIMARY}, {SPECTRUM}, r AS (SELECT signal_id, channel, bin AS i, mag AS x FROM f), {PROMINENCE.replace("), k AS", "), kk AS")}, {ZONES}, {MECHANISMS}, t AS (
+  SELECT signal_id, count(*) AS n, sqrt(avg(x * x)) AS rms, max(abs(x)) AS peak, max(abs(x)) / (sqrt(avg(x * x)) + 1e-9) AS crest, CASE WHEN count(*) >= 8 THEN kurtosis_pop(x) END AS kurtosis FROM s GROUP BY 1
+), ba AS (SELECT signal_id, median(mag) FILTER (mag > 0) AS b, max(mag) AS top FROM f WHERE n >= 8 GROUP BY 1
+), o AS (SELECT m.signal_id, machine, h AS o, b, CASE WHEN kk.prominence >= 2 * b THEN f.mag ELSE 0 END AS amplitude FROM m JOIN ba USING (signal_id), (SELECT unnest([0.5::DOUBLE, 1, 2, 3, 4, 5]) AS h) x
+  LEFT JOIN f ON f.signal_id = m.signal_id AND f.bin = 2 * h LEFT JOIN kk ON kk.signal_id = m.signal_id AND kk.i = 2 * h WHERE machine = 'rotating' AND (h < 1 OR 2 * h < m.n // 2)
+), gg AS (SELECT signal_id, coalesce(max(amplitude) FILTER (o = 1), 0) AS a1, coalesce(max(amplitude) FILTER (o = 2), 0) AS a2, coalesce(max(amplitude) FILTER (o = 0.5), 0) AS sub, max(b) AS b,
+  coalesce(sum(amplitude) FILTER (o >= 2), 0) AS higher, count(*) FILTER (o >= 1 AND amplitude / b > 3) AS strong, sum(amplitude) AS energy FROM o GROUP BY 1
+), d AS (SELECT DISTINCT ON (signal_id) signal_id, o AS observed_order FROM o WHERE o >= 1 ORDER BY signal_id, amplitude DESC, o
+), rr AS (SELECT signal_id, m.n, unnest([1, 1, 2, 3, 4, 5, 6, 7]) AS row_no, unnest([1.0::DOUBLE, 2.0, CASE WHEN st = 4 THEN c ELSE c / 2.0 END, CASE WHEN st = 4 THEN 0.5 ELSE 1 END, 2.0, CASE WHEN st = 4 THEN c ELSE c / 2.0 END, 2.0, 2.0]) AS multiple FROM m WHERE machine = 'reciprocating'
+), rm AS (SELECT rr.signal_id, count(*) FILTER (kk.prominence >= greatest(0.05 * top, 1.5 * b)) AS matched, coalesce(sum(f.mag / b) FILTER (kk.prominence >= greatest(0.05 * top, 1.5 * b)), 0) AS severity
+  FROM rr JOIN mn ON rr.row_no = mn.row_no AND (at_multiple IS NULL OR at_multiple = multiple) JOIN ba USING (signal_id) LEFT JOIN f ON f.signal_id = rr.signal_id AND f.bin = 2 * multiple AND 2 * multiple < rr.n // 2 LEFT JOIN kk ON kk.signal_id = rr.signal_id AND kk.i = f.bin GROUP BY 1)
+SELECT m.signal_id, machine, m.channel AS primary_channel, t.n, round(t.rms, 5) AS rms, round(crest, 5) AS crest, round(kurtosis, 4) AS kurtosis, zone, observed_order, CASE observed_order WHEN 1 THEN 2 WHEN 2 THEN 4 END AS n_patterns,
+  round(CASE WHEN gg.b IS NOT NULL THEN CASE WHEN a1 > 0 THEN a1 / gg.b ELSE 0 END END, 3) AS unbalance, round(CASE WHEN gg.b IS NOT NULL THEN CASE WHEN a2 > 0 THEN a2 / gg.b ELSE 0 END END, 3) AS misalignment,
+  round(CASE WHEN gg.b IS NOT NULL THEN CASE WHEN strong >= 2 OR sub > 0 THEN energy / gg.b ELSE 0 END END, 3) AS looseness, CAST(matched AS INTEGER) AS n_matched, round(rm.severity, 3) AS engine_severity
+FROM m JOIN t USING (signal_id) LEFT JOIN z ON z.class = m.class AND velocity >= lo AND (hi IS NULL OR velocity < hi) LEFT JOIN gg USING (signal_id) LEFT JOIN d USING (signal_id) LEFT JOIN rm USING (signal_id)""".replace(MECHANISMS, MECHANISMS.replace("n(row_no", "mn(row_no", 1)))
+def signal_analysis(spark, d):
+    """What SQL can tell of the whole analysis; signal_diagnosis has the rest."""
+    a = _analysis(spark, d)
+    of = lambda fault: F.round(F.filter("direct", lambda s: s["fault"] == fault)[0]["severity"], 3).alias(fault)
+    hits = F.filter("reciprocating", lambda s: s["matched"])
+    return a.select(
+        "signal_id", "machine", "primary_channel", "stats.n", F.round("stats.rms", 5).alias("rms"), F.round("stats.crest", 5).alias("crest"), F.round("stats.kurtosis", 4).alias("kurtosis"), "severity.zone", "observed_order",
+        F.when(F.col("matches").isNotNull(), F.size("matches")).alias("n_patterns"), of("unbalance"), of("misalignment"), of("looseness"),
+        F.when(F.col("reciprocating").isNotNull(), F.size(hits)).alias("n_matched"), F.round(F.aggregate(hits, F.lit(0.0), lambda s, h: s + h["severity"]), 3).alias("engine_severity"),
+    )
+
+
+@query()
+def signal_diagnosis(spark, d):
+    """Band, envelope faults, localisation and the best candidate of each signal."""
+    return _analysis(spark, d).select("signal_id", "band.*", F.size("envelope").alias("n_faults"), "localisation", "primary.*")
+
+
+def _analysis(spark: SparkSession, d: str) -> DataFrame:
+    """Signals of events; the shaft turns twice in a signal's primary record."""
+    counts = table(spark, d, "events").groupBy(F.col("user_id").alias("signal_id"), F.col("event_type").alias("channel")).agg(F.count("*").alias("n"))
+    s = F.col("signal_id")
+    machines = counts.groupBy("signal_id").agg(F.min_by("n", "channel").alias("n")).select(
+        "signal_id", F.lit(1000.0).alias("fs"), (120 * 1000.0 / F.col("n")).alias("rpm"), F.when(s % 3 == 0, "Piston pump").otherwise("fan").alias("kind"), F.concat(F.lit("class_"), 1 + s % 4).alias("class"), (s % 70 / 10.0).alias("velocity_rms"),
+        F.lit(9).alias("n_balls"), F.lit(0.3126).alias("ball"), F.lit(1.537).alias("pitch"), F.lit(0.0).alias("angle"), (2 + s % 5).cast("int").alias("cylinders"), F.when(s % 2 == 0, 4).otherwise(2).alias("strokes"),
+    )
+    return analysis.signal_analysis(_samples(spark, d), machines, schemas.severity(spark), schemas.filters(spark), schemas.reciprocating(spark), schemas.mechanisms(spark), schemas.patterns(spark))
