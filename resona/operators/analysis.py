@@ -117,22 +117,22 @@ def signal_analysis(signal: DataFrame, machines: DataFrame, zones: DataFrame, fi
     targets = lines.groupBy(F.col("machine_id").alias("signal_id")).agg(F.collect_list(F.struct("mechanism", "hz")).alias("targets"))
     packed = held(kernels.packed(signal), "channels")
     primary = primary_channel(packed.select("signal_id", "channel"), "signal_id").select("signal_id", F.col("channel").alias("primary_channel"))
-    facts = known.join(primary, "signal_id").join(targets, "signal_id", "left")
+    facts = held(known.join(primary, "signal_id").join(targets, "signal_id", "left"), "machines")
     main = packed.join(facts, (packed["signal_id"] == facts["signal_id"]) & (packed["channel"] == facts["primary_channel"])).drop(facts["signal_id"])
 
     measured = held(kernels.dealt(main.select("signal_id", "channel", "xs", "fs", "rpm", "targets")).mapInPandas(_measures(least), MEASURES), "measures")
     chosen = kernels.dealt(main.where("machine = 'rotating'").select("signal_id", "channel", "xs", "fs")).mapInPandas(_bands, "signal_id long, f_lo double, f_hi double, reliable boolean")
-    speed = faults.band_filter(known.where("machine = 'rotating'").select(F.col("signal_id").alias("machine_id"), "rpm"), filters).select(F.col("machine_id").alias("signal_id"), "filter_no", "band_lo", "band_hi")
+    speed = faults.band_filter(facts.where("machine = 'rotating'").select(F.col("signal_id").alias("machine_id"), "rpm"), filters).select(F.col("machine_id").alias("signal_id"), "filter_no", "band_lo", "band_hi")
     own = F.coalesce(F.col("reliable"), F.lit(False))
     band = held(
         chosen.join(speed, "signal_id", "left").select("signal_id", own.alias("reliable"), F.when(own, F.col("f_lo")).otherwise(F.col("band_lo")).alias("band_lo"), F.when(own, F.col("f_hi")).otherwise(F.col("band_hi")).alias("band_hi"), F.when(own, "kurtogram").otherwise(F.concat(F.lit("filter "), "filter_no")).alias("source")),
         "bands",
     )
-    rotating = packed.join(known.where("frequencies is not null").select("signal_id", "fs", "rpm", "frequencies"), "signal_id").join(band.where("band_lo is not null"), "signal_id")
+    rotating = packed.join(facts.where("frequencies is not null").select("signal_id", "fs", "rpm", "frequencies"), "signal_id").join(band.where("band_lo is not null"), "signal_id")
     envelope = held(kernels.dealt(rotating).mapInPandas(_envelopes, kernels.FAULT), "envelopes")
 
     orders = measured.select("signal_id", "baseline", F.inline("orders"))
-    direct = faults.ratio_patterns(orders).join(known.where("machine = 'rotating'").select("signal_id"), "signal_id", "left_semi")
+    direct = faults.ratio_patterns(orders).join(facts.where("machine = 'rotating'").select("signal_id"), "signal_id", "left_semi")
     observed = faults.dominant_order(orders)
     candidates = direct.where("confidence > 0").select("signal_id", F.lit("direct").alias("category"), F.upper("fault").alias("code"), F.lit(None).cast("string").alias("channel"), F.round("confidence", 2).alias("confidence"), F.round("severity", 2).alias("severity"), F.lit(0).alias("n_harmonics"), F.lit(False).alias("sidebands"), F.concat(F.lit("1"), "fault").alias("ordinal"))
     candidates = candidates.unionByName(envelope.select("signal_id", F.lit("envelope").alias("category"), F.col("fault").alias("code"), "channel", "confidence", "severity", "n_harmonics", "sidebands", F.concat_ws(" ", F.lit("2"), "channel", "fault").alias("ordinal")))
@@ -140,7 +140,7 @@ def signal_analysis(signal: DataFrame, machines: DataFrame, zones: DataFrame, fi
     candidates = candidates.unionByName(engine.select("signal_id", F.lit("reciprocating").alias("category"), F.upper("mechanism").alias("code"), F.lit(None).cast("string").alias("channel"), F.lit(0.0).alias("confidence"), F.round("severity", 2).alias("severity"), F.lit(0).alias("n_harmonics"), F.lit(False).alias("sidebands"), F.concat(F.lit("3"), "mechanism").alias("ordinal")))
     best = faults.rank_faults(candidates).where("rank = 1").select("signal_id", F.struct("category", "code", "channel", "confidence", "severity", "score", "strong").alias("primary"))
 
-    velocity = measured.join(known, "signal_id").select("signal_id", F.coalesce("velocity_rms", "rms").alias("rms"), machine_class(F.col("class")).alias("class"))
+    velocity = measured.join(facts, "signal_id").select("signal_id", F.coalesce("velocity_rms", "rms").alias("rms"), machine_class(F.col("class")).alias("class"))
     graded = severity_zones(velocity, zones).select("signal_id", F.struct("class", "rms", "zone", "meaning").alias("severity"))
     stats = measured.select("signal_id", F.struct("n", "rms", "peak", "crest", "kurtosis").alias("stats"))
     parts = [

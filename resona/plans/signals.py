@@ -6,6 +6,8 @@ geometry and `orders` running speeds.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from resona import schemas
 from resona.functions import signal as sig
 from resona.operators import analysis, faults, kernels, peaks, spectra
 from resona.operators import signals as op
+from resona.sources import recordings
+from resona.sources.held import root
 from resona.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -82,6 +86,18 @@ def sig_infer_fs(spark, d):
     return op.sampling_rate(times).select("signal_id", "channel", F.floor(F.col("spacing") * 1000 + 0.50001).alias("spacing_ms"), F.floor(F.col("fs") * 1e9 + 0.50001).alias("nano_hz"))
 
 
+@query("""SELECT user_id AS signal_id, event_type AS channel, 2000.0::DOUBLE AS fs, count(*) AS n, round(sqrt(avg(value * value)), 6) AS rms, round(max(abs(value)), 6) AS peak FROM events GROUP BY 1, 2""")
+def recordings_read(spark, d):
+    """Signals written as WAV files and read back from their folder by ranges of samples."""
+    folder = f"{root(spark)}/recordings-{uuid.uuid4().hex[:12]}"
+    recordings.write_wav(_samples(spark, d), folder, 2000.0).count()
+    read = recordings.load(spark, folder).where("problem is null")
+    name = F.regexp_extract("path", r"(\d+)_[^/]*\.wav$", 1).cast("long"), F.regexp_extract("path", r"_([^/_]*)\.wav$", 1)
+    long = read.select(name[0].alias("signal_id"), name[1].alias("channel"), "fs", "x")
+    s = long.groupBy("signal_id", "channel", "fs").agg(F.count("x").alias("n"), F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"), F.max(F.abs("x")).alias("peak"))
+    return s.select("signal_id", "channel", "fs", "n", F.round("rms", 6).alias("rms"), F.round("peak", 6).alias("peak"))
+
+
 @query(f"""WITH {S}, c AS (SELECT *, i // 8 AS chunk FROM s), l AS (SELECT signal_id, channel, chunk, count(*) AS n, regr_slope(x, i) AS a, regr_intercept(x, i) AS b FROM c GROUP BY ALL HAVING count(*) >= 2)
 SELECT signal_id, channel, chunk, n, round(sqrt(avg(pow(x - a * i - b, 2))), 5) AS rms FROM c JOIN l USING (signal_id, channel, chunk) GROUP BY signal_id, channel, chunk, n""")
 def sig_chunked_rms(spark, d):
