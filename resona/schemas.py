@@ -1,81 +1,43 @@
-"""Reference dimensions and schemas of the condition-monitoring domain."""
+"""Reference dimensions and schemas of the condition-monitoring domain.
+
+The rule tables (severity zones, envelope filters, reciprocating table, spectral patterns) are those of resona/rules, read by
+sources.rules; their plain forms here serve the SQL twins.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from resona.sources import rules
+
 SAMPLES = "signal_id long, channel string, i long, x double"
 
-# Severity zones by machine class, half-open [lo, hi); the last zone is open.
-SEVERITY = [
-    ("Class I", "A", 0.0, 0.71), ("Class I", "B", 0.71, 1.8), ("Class I", "C", 1.8, 4.5), ("Class I", "D", 4.5, None),
-    ("Class II", "A", 0.0, 0.45), ("Class II", "B", 0.45, 2.8), ("Class II", "C", 2.8, 7.1), ("Class II", "D", 7.1, None),
-    ("Class III", "A", 0.0, 0.71), ("Class III", "B", 0.71, 4.5), ("Class III", "C", 4.5, 11.2), ("Class III", "D", 11.2, None),
-    ("Class IV", "A", 0.0, 1.12), ("Class IV", "B", 1.12, 7.1), ("Class IV", "C", 7.1, 18.0), ("Class IV", "D", 18.0, None),
-]
-ZONE_MEANINGS = {"A": "Good", "B": "Allowable", "C": "Just Tolerable", "D": "Not Permissible"}
-
-# Envelope filters, as band, speed and analysing ranges; an open end is three dots.
-FILTERS = [
-    (1, "5 – 100 Hz", "0 – 50 RPM", "0 – 10 Hz"),
-    (2, "50 – 1,000 Hz", "25 – 500 RPM", "0 – 100 Hz"),
-    (3, "500 – 10,000 Hz", "250 – 5,000 RPM", "0 – 1,000 Hz"),
-    (4, "5,000 – 40,000 Hz", "2,500 – ... RPM", "0 – 10,000 Hz"),
-]
-
-# Predominant frequencies of reciprocating machines. The power-pulse fraction is broken in the
-# source table and is read as N for 4-stroke and N/2 for 2-stroke engines.
-RECIPROCATING = [
-    (1, "Inertia forces", "are 1x and 2xRPM"),
-    (2, "Power pulses", "N x RPM for 4-stroke engines\nN/2 x RPM for 2-stroke engines"),
-    (3, "Misfiring piston", "0.5 x RPM for 4-stroke engines\n1 x RPM for 2-stroke engines"),
-    (4, "Worn\nConnecting rod\nbearings", "2 x RPM"),
-    (5, "Worn crankshaft\nmain bearings", "Same as power pulses"),
-    (6, "Piston slap", "2 x RPM"),
-    (7, "Unbalance inertia\nforces", "2 x RPM and multiples"),
-]
-
-# The mechanisms of the reciprocating table, in its order: row, multiple (where a row has a mechanism for each), name, cause, remedy.
-MECHANISMS = [
-    (1, 1.0, "inertia_1x", "Piston ve biyel kolunun birincil atalet kuvvetleri", "Uygun tasarim ve denge kutleleri"),
-    (1, 2.0, "inertia_2x", "Piston ve biyel kolunun ikincil atalet kuvvetleri", "Uygun tasarim ve denge kutleleri"),
-    (2, None, "power_pulses", "Motor guc cevrimi", "Silindir sayisini artirmak"),
-    (3, None, "misfiring_piston", "Negatif guc stroku", "Motoru tamir et"),
-    (4, None, "worn_connecting_rod_bearings", "Piston yon degistirirken yatak darbesi", "Motoru tamir et"),
-    (5, None, "worn_crankshaft_main_bearings", "Her guc strokunda yatak darbesi", "Motoru tamir et"),
-    (6, None, "piston_slap", "Agir yuk altinda, biyel koluna dik kuvvet bileseni", "Motoru tamir et"),
-    (7, None, "unbalance_inertia_forces", "Yanlis duzeltme agirliklarindan kaynaklanan ikincil atalet kuvvetleri", "Uygun yedek parca secimi"),
-]
-
-# The spectral patterns of the faults that the ratio rules cover, in source order: fault, direction, and the order with
-# the greatest relative amplitude.
-PATTERNS = [
-    (1, "unbalance", "radial", 1.0), (2, "angular_misalignment", "axial", 1.0), (3, "parallel_misalignment", "radial", 2.0),
-    (4, "mechanical_looseness_internal", "radial", 2.0), (5, "mechanical_looseness", "radial", 2.0), (6, "mechanical_looseness", "radial", 2.0),
-]
-
-# Reference phases at shaft orders.
-PHASES = [(1.0, 5.21, 2.45, 87.0), (2.0, 3.21, 2.12, 123.0), (3.0, 1.23, 0.565, 165.0)]
-
-CHANNEL_LABELS = {"DE": "drive end", "FE": "fan end", "BA": "base", "main": "main"}
+_TABLES, _PATTERNS = rules.chunks_of("tables.json"), rules.chunks_of("patterns.json")
+_CHART = _TABLES["fig_p15_0"]["structured_data"]
+#: class, zone, lo, hi of the severity zones, half-open; the last zone is open.
+SEVERITY = [(g["name"], zone, b["min_mm_s"] or 0.0, b["max_mm_s"]) for g in _CHART["groups"] for zone, b in g["zones"].items()]
+ZONE_MEANINGS = _CHART["zone_meanings"]
+#: row, multiple (where a row has a mechanism for each), name, cause, remedy.
+MECHANISMS = [(int(r), None if o is None else float(o), *rest) for r, o, *rest in _TABLES["mechanisms"]["rows"]]
 
 
 def severity(spark: SparkSession) -> DataFrame:
     """class, zone, lo, hi, meaning; an open end is null."""
-    return spark.createDataFrame([(*row, ZONE_MEANINGS[row[1]]) for row in SEVERITY], "class string, zone string, lo double, hi double, meaning string")
+    return rules.severity(rules.chunks(spark))
 
 
 def filters(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FILTERS, "filter_no int, band string, speed string, analysing string")
+    return rules.filters(rules.chunks(spark))
 
 
 def reciprocating(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RECIPROCATING, "row_no int, description string, frequency string")
+    return rules.reciprocating(rules.chunks(spark))
 
 
 def mechanisms(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MECHANISMS, "row_no int, at_multiple double, mechanism string, cause string, remedy string")
+    return rules.mechanisms(rules.chunks(spark))
 
 
 def patterns(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PATTERNS, "pattern_no int, fault string, direction string, dominant_order double")
+    """pattern_no, fault, direction, dominant_order of the patterns of the faults that the ratio rules cover."""
+    return rules.patterns(rules.chunks(spark, package="patterns.json")).select("pattern_no", "fault", "direction", "dominant_order")
