@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from resona.functions.text import FAULT_KEYWORDS, STOP_WORDS, affirmed, denied, fold_turkish, negated, terms
+from resona.functions.text import FAULT_KEYWORDS, STOP_WORDS, affirmed, denied, fold_turkish, negated, term_counts, terms
 
 
 # What a diagnosed fault's name holds, its keywords, and those of the fault that it excludes.
@@ -97,8 +97,9 @@ def domain_terms(labelled: DataFrame, least: int = 3, critical: float = 3.841458
     labelled: id, label, terms (array). Chi-squared of the class sums of term counts, one degree of freedom;
     the critical value is that of p = 0.05.
     """
-    each = labelled.select("id", "label", F.explode("terms").alias("term")).where(F.length("term") >= 3)
-    counts = each.groupBy("term").agg(F.count_distinct("id").alias("texts"), F.count("*").alias("n"), F.sum("label").alias("n1")).where(F.col("texts") >= least).where(~F.col("term").isin(STOP_WORDS))
+    # terms are counted inside their text, so that nothing is dealt out by text and term
+    each = labelled.select("label", F.inline(term_counts(F.col("terms")))).where(F.length("term") >= 3)
+    counts = each.groupBy("term").agg(F.count("*").alias("texts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("n1")).where(F.col("texts") >= least).where(~F.col("term").isin(STOP_WORDS))
     share = labelled.agg(F.avg(F.col("label").cast("double")).alias("p"))
     e1 = F.col("n") * F.col("p")
     chi = (F.col("n1") - e1) ** 2 / e1 + (F.col("n") - F.col("n1") - (F.col("n") - e1)) ** 2 / (F.col("n") - e1)

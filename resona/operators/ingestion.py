@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,47 +66,6 @@ def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(text) / 4))
 
 
-def split_text(text: str, most: int, overlap: int, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ", "")) -> list[str]:
-    """Pieces of at most `most` characters, cut at the coarsest separator that serves, with overlap between neighbours."""
-    if len(text) <= most:
-        return [text] if text.strip() else []
-    sep = next(s for s in separators if s in text)
-    rest = separators[separators.index(sep) + 1 :]
-    parts = [p + sep for p in text.split(sep)] if sep else [text[i : i + most] for i in range(0, len(text), most)]
-    out, held, size = [], [], 0
-    for part in parts:
-        if len(part) > most and rest:
-            if held:
-                out.append("".join(held))
-            out += split_text(part, most, overlap, rest)
-            held, size = [], 0
-            continue
-        if size + len(part) > most and held:
-            out.append("".join(held))
-            while held and (size > overlap or size + len(part) > most):
-                size -= len(held.pop(0))
-        held.append(part)
-        size += len(part)
-    if held:
-        out.append("".join(held))
-    return [p.strip() for p in out if p.strip()]
-
-
-def chunk(docs: DataFrame, parent_chars: int = 6000, child_chars: int = 800, overlap: int = 80) -> DataFrame:
-    """doc_id, parent_id, chunk_id, text: parents of up to 1500 estimated tokens, cut into overlapping children of up to 200."""
-
-    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                for n, parent in enumerate(split_text(text or "", parent_chars, 0)):
-                    name = f"{doc}_parent_{n}"
-                    rows += [(doc, name, f"{name}_child_{k}", child) for k, child in enumerate(split_text(parent, child_chars, overlap))]
-            yield pd.DataFrame(rows, columns=["doc_id", "parent_id", "chunk_id", "text"])
-
-    return docs.select("doc_id", "text").mapInPandas(split, "doc_id long, parent_id string, chunk_id string, text string")
-
-
 def table_quality(rows: Column) -> Column:
     """Struct of cells, filled, ghost (too few or too empty cells) and reliable (even rows, filled header) of an array of rows."""
     cells = F.flatten(rows)

@@ -6,11 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that one pass over the vectors takes; more are taken in more passes.
-QUERY_BLOCK = 4096
+from resona.functions.text import term_counts
+from resona.sources.held import held
+
+#: Query vectors that one pass over the vectors takes (more are taken in more passes), and vectors compared with them at a time.
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 1024
 
 
 def top_k(scored: DataFrame, k: int | Column, by: list[str], order: list) -> DataFrame:
@@ -34,16 +37,20 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
         def search(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             names, q = block.value
-            best_ids, best = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0))
+            row, ids, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
             for batch in batches:
-                if batch.num_rows and len(names):
-                    ids = batch.column(0).to_numpy(zero_copy_only=False)
-                    x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                    ids = np.concatenate([best_ids, np.broadcast_to(ids, (len(names), len(ids)))], axis=1)
-                    score = np.concatenate([best, q @ x.T], axis=1)
-                    order = np.lexsort((ids, -score), axis=1)[:, :k]
-                    best_ids, best = np.take_along_axis(ids, order, 1), np.take_along_axis(score, order, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, best.shape[1])), pa.array(best_ids.ravel()), pa.array(best.ravel())], ["query_id", "id", "score"])
+                for lo in range(0, batch.num_rows if len(names) else 0, VECTOR_BLOCK):
+                    part = batch.slice(lo, VECTOR_BLOCK)
+                    x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                    near = q @ x.T
+                    least = np.partition(near, -k, axis=1)[:, -k, None] if near.shape[1] > k else -np.inf
+                    at, column = np.nonzero(near >= least)  # k each, and ties with the k-th
+                    row, ids, score = np.concatenate([row, at]), np.concatenate([ids, part.column(0).to_numpy(zero_copy_only=False)[column]]), np.concatenate([score, near[at, column]])
+                    order = np.lexsort((ids, -score, row))
+                    row, ids, score = row[order], ids[order], score[order]
+                    best = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    row, ids, score = row[best], ids[best], score[best]
+            yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(ids), pa.array(score)], ["query_id", "id", "score"])
 
         parts.append(vectors.select("id", "embedding").mapInArrow(search, "query_id long, id long, score double"))
     out = parts[0]
@@ -60,16 +67,20 @@ def tokens(text: Column) -> Column:
 def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query_id, id, score, rank of documents (id, text) for queries (query_id, text), by an inverted index made of a join on terms.
 
-    Terms outside the queries are dropped before anything is shuffled by term.
+    Texts are cut into terms once: terms are counted inside their document, those that no query has are dropped, the rest is
+    written as postings while the documents and their lengths are counted. The queries' terms, with their weights, are the small
+    side of the last join; a common term's postings are split by the skew join where it isn't broadcast.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    sized = docs.select("id", tokens(F.col("text")).alias("terms")).withColumn("len", F.size("terms"))
-    stats = sized.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    tf = sized.select("id", "len", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    asked = held(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")), "asked")
+    seen = Observation()
+    sized = docs.select("id", term_counts(tokens(F.col("text"))).alias("terms")).withColumn("len", F.aggregate("terms", F.lit(0), lambda a, t: a + t["n"]))
+    counted = sized.observe(seen, F.count(F.lit(1)).alias("docs"), F.sum("len").alias("total"))
+    tf = held(counted.select("id", "len", F.inline("terms")).withColumnRenamed("n", "tf").join(asked.select("term").distinct(), "term", "left_semi"), "postings")
+    n, mean = float(seen.get["docs"]), (seen.get["total"] or 0) / max(seen.get["docs"], 1)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    scored = tf.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("w", weight).join(asked, "term")  # one row of statistics
-    score = scored.groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
+    weighted = asked.join(df, "term").withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
+    score = tf.join(weighted, "term").groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score"))
     return top_k(score, k, ["query_id"], [F.desc("score"), "id"])
 
 
@@ -101,16 +112,35 @@ def merge_parents(children: DataFrame, parents: DataFrame) -> DataFrame:
     return children.join(parents.select(F.col("id").alias("parent"), F.col("text").alias("whole")), "parent", "left").withColumn("text", F.coalesce("whole", "text")).drop("whole")
 
 
+def like_pairs(left: DataFrame, right: DataFrame, jaccard: float) -> DataFrame:
+    """a, b: the keys of sets (key, w: an array of distinct words) of two tables whose Jaccard similarity is at least `jaccard`.
+
+    Sets of similarity j share a word among the first n - ceil(j * n) + 1 of each, whatever the common order; with rare words first
+    common ones are hardly joined on. What shares such a word is compared word by word.
+    """
+    both = left.select(F.lit(0).alias("side"), "key", "w").unionByName(right.select(F.lit(1).alias("side"), "key", "w")).where("size(w) > 0")
+    words = both.select("side", "key", F.explode("w").alias("word"))
+    rare = words.join(words.groupBy("word").agg(F.count("*").alias("n")), "word").groupBy("side", "key").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("order"))
+    n = F.size("order")
+    sets = held(rare.select("side", "key", F.col("order.word").alias("w"), F.slice("order.word", F.lit(1), n - F.ceil(jaccard * n - 1e-9).cast("int") + 1).alias("first")), "word-sets")
+    firsts = sets.select("side", "key", F.explode("first").alias("word"))
+    of = lambda side, name: firsts.where(F.col("side") == side).select(F.col("key").alias(name), "word")
+    near = of(0, "a").join(of(1, "b"), "word").select("a", "b").distinct()
+    whole = lambda side, name: sets.where(F.col("side") == side).select(F.col("key").alias(name), F.col("w").alias(f"{name}_w"))
+    common = F.size(F.array_intersect("a_w", "b_w"))
+    found = near.join(whole(0, "a"), "a").join(whole(1, "b"), "b").withColumn("c", common)
+    return found.where(F.col("c") >= jaccard * (F.size("a_w") + F.size("b_w") - F.col("c"))).select("a", "b")
+
+
 def drop_seen_visuals(visuals: DataFrame, texts: DataFrame, jaccard: float = 0.4) -> DataFrame:
     """Visuals (id, section, page, text) without those at the place of a text, or, where their section is empty or unknown, like one.
 
-    Likeness is the Jaccard similarity of word sets, counted by a join on words.
+    Likeness is the Jaccard similarity of word sets.
     """
     lost = F.coalesce(F.trim("section"), F.lit("")).isin("", "unknown")
     placed = visuals.where(~lost).join(texts.select("section", "page").distinct(), ["section", "page"], "left_anti")
-    words = lambda df, name: df.select(F.col("id").alias(name), F.array_distinct(tokens(F.col("text"))).alias("w")).withColumn(f"{name}_n", F.size("w")).withColumn("term", F.explode("w")).drop("w")
-    both = words(visuals.where(lost), "v").join(words(texts, "t"), "term").groupBy("v", "t", "v_n", "t_n").agg(F.count("*").alias("c"))
-    alike = both.where(F.col("c") >= jaccard * (F.col("v_n") + F.col("t_n") - F.col("c"))).select(F.col("v").alias("id")).distinct()
+    sets = lambda df: df.select(F.col("id").alias("key"), F.array_distinct(tokens(F.col("text"))).alias("w"))
+    alike = like_pairs(sets(visuals.where(lost)), sets(texts), jaccard).select(F.col("a").alias("id")).distinct()
     return placed.unionByName(visuals.where(lost).join(alike, "id", "left_anti"))
 
 
@@ -125,9 +155,14 @@ def ranking_metrics(results: DataFrame, expected: DataFrame, k: int) -> DataFram
 
     results: query_id, id, rank (repeats count in precision's denominator and in DCG). expected: query_id, id.
     """
-    cut = results.where(F.col("rank") <= k).join(expected.select("query_id", "id").distinct().withColumn("hit", F.lit(1)), ["query_id", "id"], "left")
-    found = cut.groupBy("query_id").agg(F.count("*").alias("n"), F.count_distinct(F.when(F.col("hit") == 1, F.col("id"))).alias("hits"), F.count("hit").alias("all_hits"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"), F.sum(F.when(F.col("hit") == 1, 1 / F.log2(F.col("rank") + 1.0))).alias("dcg"))
-    wanted = expected.groupBy("query_id").agg(F.count_distinct("id").alias("wanted"))
+    judged = results.where(F.col("rank") <= k).join(expected.select("query_id", "id").distinct().withColumn("hit", F.lit(1)), ["query_id", "id"], "left")
+    return judged_metrics(judged.withColumn("hit", F.col("hit") == 1), expected.groupBy("query_id").agg(F.count_distinct("id").alias("wanted")))
+
+
+def judged_metrics(judged: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The same from results that are judged already (query_id, id, rank, hit) and the number wanted of each query (query_id, wanted)."""
+    hit = F.coalesce("hit", F.lit(False))
+    found = judged.groupBy("query_id").agg(F.count("*").alias("n"), F.count_distinct(F.when(hit, F.col("id"))).alias("hits"), F.min(F.when(hit, F.col("rank"))).alias("first"), F.sum(F.when(hit, 1 / F.log2(F.col("rank") + 1.0))).alias("dcg"))
     ideal = F.aggregate(F.expr("sequence(1L, least(wanted, n))"), F.lit(0.0), lambda a, r: a + 1 / F.log2(r + 1.0))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return wanted.join(found, "query_id", "left").select("query_id", zero(F.col("hits") / F.col("wanted")).alias("recall"), zero(F.col("hits") / F.col("n")).alias("precision"), zero((F.col("hits") > 0).cast("double")).alias("hit"), zero(1 / F.col("first")).alias("mrr"), zero(F.when(F.col("n") > 0, F.col("dcg") / ideal)).alias("ndcg"))

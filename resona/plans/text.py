@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from resona.functions import text as tx
+from resona.operators import chunking
 from resona.operators import evaluation as ev
 from resona.operators import ingestion as ing
 from resona.operators import retrieval as ret
@@ -139,9 +140,12 @@ METRICS = DENSE + """, e AS (SELECT q.vec_id AS query_id, v.vec_id AS id FROM em
 
 
 def _metrics(spark, d):
+    """All vectors of a query's label are wanted: equal labels are hits, and a label's count is what is wanted; no list of pairs."""
     v = _vectors(spark, d).select("id", "label")
-    expected = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "label").join(v, "label").select("query_id", "id")
-    return ret.ranking_metrics(_dense(spark, d, 10), expected, 10)
+    asked = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("label").alias("own"))
+    judged = _dense(spark, d, 10).join(v, "id").join(asked, "query_id").withColumn("hit", F.col("own") == F.col("label"))
+    wanted = asked.join(v.groupBy(F.col("label").alias("own")).agg(F.count("*").alias("wanted")), "own").select("query_id", "wanted")
+    return ret.judged_metrics(judged, wanted)
 
 
 NAMES = ("recall", "precision", "hit", "mrr", "ndcg")
@@ -186,7 +190,8 @@ def merge_small_groups(spark, d):
 
 @query()
 def chunk_split(spark, d):
-    return ing.chunk(table(spark, d, "documents")).select("doc_id", "parent_id", "chunk_id", F.length("text").alias("chars"))
+    """Parents, children and rejected documents."""
+    return chunking.chunks(table(spark, d, "documents")).select("doc_id", "kind", "parent_id", "chunk_id", F.length("text").alias("chars"), "tokens")
 
 
 CELLS = "c AS (SELECT page_id, list_transform(regexp_extract_all(html, '<li>(.*?)</li>', 1), lambda x: string_split(regexp_replace(x, '<[^>]*>', '', 'g'), '/')) AS rows FROM pages)"

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from resona.functions import signal as sig
 from resona.functions import text as tx
+from resona.operators import chunking
 from resona.operators import ingestion as ing
 
 
@@ -53,10 +54,10 @@ def test_columns(spark):
 
 def test_split_text():
     text = "aa bb. " * 40
-    parts = ing.split_text(text, 50, 10)
-    assert all(len(p) <= 50 for p in parts) and parts[0].startswith("aa")
-    assert ing.split_text("x" * 120, 50, 0) == ["x" * 50, "x" * 50, "x" * 20]
-    assert ing.split_text(" ", 50, 0) == []
+    parts = chunking.split(text, 12, 2)
+    assert all(len(p) <= 12 * 7 for p in parts) and parts[0].startswith("aa")
+    assert chunking.split("x" * 120, 50) == ["x" * 50, "x" * 50, "x" * 20]
+    assert chunking.split(" ", 50) == []
 
 
 def test_masks_and_tables(spark):
