@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from resona.functions.text import term_counts
-from resona.sources.held import held
+from resona.sources.held import held, spread
 
 #: Query vectors that one pass over the vectors takes (more are taken in more passes), and vectors compared with them at a time.
 QUERY_BLOCK, VECTOR_BLOCK = 4096, 1024
@@ -68,19 +68,20 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b:
     """query_id, id, score, rank of documents (id, text) for queries (query_id, text), by an inverted index made of a join on terms.
 
     Texts are cut into terms once: terms are counted inside their document, those that no query has are dropped, the rest is
-    written as postings while the documents and their lengths are counted. The queries' terms, with their weights, are the small
-    side of the last join; a common term's postings are split by the skew join where it isn't broadcast.
+    written as postings while the documents and their lengths are counted. Postings are then dealt out by document, so the sums of
+    a document are made where its postings are; the queries' terms, with their weights, are the small side of the join.
     """
     asked = held(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")), "asked")
     seen = Observation()
-    sized = docs.select("id", term_counts(tokens(F.col("text"))).alias("terms")).withColumn("len", F.aggregate("terms", F.lit(0), lambda a, t: a + t["n"]))
+    sized = spread(docs.select("id", "text")).select("id", term_counts(tokens(F.col("text"))).alias("terms")).withColumn("len", F.aggregate("terms", F.lit(0), lambda a, t: a + t["n"]))
     counted = sized.observe(seen, F.count(F.lit(1)).alias("docs"), F.sum("len").alias("total"))
     tf = held(counted.select("id", "len", F.inline("terms")).withColumnRenamed("n", "tf").join(asked.select("term").distinct(), "term", "left_semi"), "postings")
     n, mean = float(seen.get["docs"]), (seen.get["total"] or 0) / max(seen.get["docs"], 1)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = asked.join(df, "term").withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
-    score = tf.join(weighted, "term").groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score"))
+    weighted = asked.join(df, "term").select("query_id", "term", (F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (k1 + 1)).alias("most"))
+    weight = F.col("most") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
+    by_document = tf.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    score = by_document.join(weighted, "term").groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score"))
     return top_k(score, k, ["query_id"], [F.desc("score"), "id"])
 
 

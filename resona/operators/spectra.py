@@ -40,15 +40,17 @@ def spectrum(signal: DataFrame, size: int = FRAME) -> DataFrame:
     def powers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: list[tuple[int, int, np.ndarray]] = []
+            weight = 0
             for row, xs in enumerate(batch.column(2)):
                 x = xs.values.to_numpy(zero_copy_only=False)
                 held.append((row, len(x), np.abs(np.fft.rfft(x * hann(len(x)))) ** 2))
-                if sum(len(p) for _, _, p in held) >= 1 << 18 or row == len(batch) - 1:
+                weight += len(x)
+                if weight >= 1 << 19 or row == len(batch) - 1:
                     size_ = [len(p) for _, _, p in held]
                     at = pa.array(np.repeat([r for r, _, _ in held], size_))
                     bins = np.concatenate([np.arange(k) for k in size_])
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(bins.astype(np.int64)), pa.array(np.repeat([n for _, n, _ in held], size_).astype(np.int64)), pa.array(np.concatenate([p for _, _, p in held]))], ["signal_id", "channel", "bin", "n", "power"])
-                    held = []
+                    held, weight = [], 0
 
     each = frames(signal, size).select(*KEY, "xs").mapInArrow(powers, "signal_id long, channel string, bin long, n long, power double")
     mean = each.groupBy(*KEY, "bin").agg(F.first("n").alias("n"), F.sqrt(F.avg("power")).alias("mag"))

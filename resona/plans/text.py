@@ -10,6 +10,7 @@ from resona.operators import evaluation as ev
 from resona.operators import ingestion as ing
 from resona.operators import retrieval as ret
 from resona.plans.phrased import PHRASED, phrased
+from resona.sources.held import spread
 from resona.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -379,7 +380,8 @@ def prf_terms(spark, d):
 ), p AS (SELECT avg(toxic::DOUBLE) AS p FROM labels JOIN documents USING (doc_id)
 ), x AS (SELECT term, n, pow(n1 - n * p, 2) / (n * p) + pow(n - n1 - n * (1 - p), 2) / (n * (1 - p)) AS chi2 FROM c, p) SELECT term, n, round(chi2, 4) AS chi2 FROM x WHERE chi2 > 3.841458820694124""")
 def domain_terms_chi2(spark, d):
-    j = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"), ret.tokens(F.col("text")).alias("terms"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    j = docs.join(table(spark, d, "labels"), "doc_id").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"), ret.tokens(F.col("text")).alias("terms"))
     return ev.domain_terms(j).select("term", "n", F.round("chi2", 4).alias("chi2"))
 
 

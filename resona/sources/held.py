@@ -24,3 +24,9 @@ def held(df: DataFrame, name: str) -> DataFrame:
     path = f"{root(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as the cluster runs at once, if its files make fewer (a file of one row group is one task); else df as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
