@@ -118,29 +118,3 @@ def feedback_terms(chunks: DataFrame, top: int = 3, guard: float = 0.40) -> Data
     kept = words.where(~F.lower("term").isin(STOP_WORDS) & ~F.col("term").rlike("^[0-9]+$"))
     counts = kept.groupBy("query_id", "term").agg(F.count("*").alias("n"), F.min(F.struct("rank", "at")).alias("first"))
     return counts.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "first"))).where(F.col("place") <= top).drop("first")
-
-
-def complexity_folds(labelled: DataFrame, folds: int = 5) -> DataFrame:
-    """Stratified folds: the n-th row of a class by hash goes to fold n mod folds."""
-    return labelled.withColumn("fold", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")) % folds)
-
-
-def classify(labelled: DataFrame, folds: int = 5) -> DataFrame:
-    """Cross-validated logistic regression on hashed word TF-IDF and text shape: fold, n, accuracy, f1.
-
-    labelled: id, label, text.
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, SQLTransformer, StandardScaler, VectorAssembler
-
-    rows = complexity_folds(labelled, folds)
-    shape = "SELECT *, double(size(words)) AS n_tokens, double(length(text)) AS n_chars, size(array_distinct(words)) / greatest(1, size(words)) AS type_token_ratio FROM __THIS__"
-    steps = [RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\s+"), SQLTransformer(statement=shape), HashingTF(inputCol="words", outputCol="tf", numFeatures=1 << 14), IDF(inputCol="tf", outputCol="tfidf", minDocFreq=3), VectorAssembler(inputCols=["n_tokens", "n_chars", "type_token_ratio"], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="shape"), VectorAssembler(inputCols=["tfidf", "shape"], outputCol="features"), LogisticRegression(regParam=0.01, maxIter=20)]
-    out = None
-    for k in range(folds):
-        model = Pipeline(stages=steps).fit(rows.where(F.col("fold") != k))
-        tested = model.transform(rows.where(F.col("fold") == k))
-        m = confusion(tested, ["fold"], F.col("label") == 1, F.col("prediction") == 1)
-        out = m if out is None else out.unionByName(m)
-    return out.select("fold", (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n"), F.round("accuracy", 6).alias("accuracy"), F.round("f1", 6).alias("f1"))

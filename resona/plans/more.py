@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from resona.functions import records as rec
 from resona.operators import ingestion as ing
 from resona.operators import retrieval as ret
+from resona.operators import titles
 from resona.plans.text import BM25, CAPTION, DENSE, NAMES, _caption_sql, _captions, _dense
 from resona.sources.tables import table
 
@@ -130,3 +131,36 @@ def orthogonal_pairs(spark, d):
     from resona.operators import signals as op
 
     return op.first_pair(table(spark, d, "events").select(F.col("user_id").alias("signal_id"), F.col("event_type").alias("channel")), PAIRS)
+
+
+#: Customers are pages; their orders are blocks of text, what suppliers are to masked_blocks are the tables; both on a page of 100 points' height.
+CAPTIONS = "CASE o_orderkey % 5 WHEN 0 THEN 'Table ' || (o_orderkey % 9) || '.' || (o_orderkey % 7) || ' ' || o_orderpriority WHEN 1 THEN 'Figure ' || (o_orderkey % 9) || '.1 ' || o_orderpriority ELSE o_orderpriority END"
+TITLES = BLOCKS.replace("SELECT o_orderkey, o_custkey", f"SELECT o_orderkey, {CAPTIONS} AS text, o_custkey").replace("SELECT s_suppkey AS page", "SELECT s_suppkey, s_suppkey AS page")
+
+
+def _captioned(spark, d):
+    """Blocks with captions, and tables, as in masked_blocks."""
+    o, s = F.col("o_orderkey"), F.col("s_suppkey")
+    box = lambda x, y, w, h: [c.cast("double").alias(n) for c, n in ((x, "x0"), (y, "y0"), (x + w, "x1"), (y + h, "y1"))]
+    text = F.when(o % 5 == 0, F.concat(F.lit("Table "), (o % 9).cast("string"), F.lit("."), (o % 7).cast("string"), F.lit(" "), "o_orderpriority")).when(o % 5 == 1, F.concat(F.lit("Figure "), (o % 9).cast("string"), F.lit(".1 "), "o_orderpriority")).otherwise(F.col("o_orderpriority"))
+    blocks = table(spark, d, "orders").select(F.col("o_custkey").alias("page"), *box(o * 7 % 80, o * 11 % 90, 10 + o % 9, F.lit(5)), text.alias("text"))
+    tables = table(spark, d, "supplier").select(s.alias("page"), F.lit(1).alias("table_no"), *box(s * 13 % 60, s * 17 % 50, F.lit(40), F.lit(40)), F.lit(100.0).alias("height"))
+    return blocks, tables
+
+
+@query(f"""WITH {TITLES}, n AS (SELECT m.page, b.y0, b.x0, b.text, b.y0 < m.y0 AND b.y1 > greatest(0, m.y0 - 60) AS up, b.y0 < least(100, m.y1 + 80) AND b.y1 > m.y1 AS down FROM m JOIN b ON b.page = m.page AND b.x0 < m.x1 AND b.x1 > m.x0
+), t AS (SELECT page, trim(coalesce(string_agg(text, chr(10) ORDER BY y0, x0, text) FILTER (up), '')) AS above, trim(coalesce(string_agg(text, chr(10) ORDER BY y0, x0, text) FILTER (down), '')) AS below FROM n GROUP BY 1
+), c AS (SELECT page, above, below, trim(regexp_extract(above, 'Table\\s+\\d+\\.\\d+[^\\n]*')) AS a, trim(regexp_extract(below, '(?:Table|Figure)\\s+\\d+\\.\\d+[^\\n]*')) AS b FROM t)
+SELECT m.page, coalesce(CASE WHEN a <> '' THEN a WHEN b <> '' THEN b WHEN above <> '' THEN substr(above, 1, 100) WHEN below <> '' THEN substr(below, 1, 100) END, '(başlık bulunamadı)') AS title,
+  coalesce(CASE WHEN a <> '' THEN 'above' WHEN b <> '' THEN 'below' WHEN above <> '' THEN 'text above' WHEN below <> '' THEN 'text below' END, 'none') AS source FROM m LEFT JOIN c ON c.page = m.page""")
+def table_titles(spark, d):
+    blocks, tables = _captioned(spark, d)
+    return titles.table_titles(tables, blocks).select("page", "title", "source")
+
+
+@query(f"""WITH {TITLES} SELECT DISTINCT b.page FROM b WHERE regexp_matches(text, 'Table\\s+\\d+\\.\\d+\\s+[0-9A-Z]') AND b.page NOT IN (SELECT page FROM m WHERE page % 2 = 0)""")
+def missing_tables(spark, d):
+    """Pages that name a table, of those where none was found (every other supplier's table was)."""
+    blocks, tables = _captioned(spark, d)
+    named = blocks.withColumn("text", F.regexp_replace("text", r"(\.\d+\s+)\d", "$1P"))
+    return titles.missing_tables(named.select("page", "text"), tables.where("page % 2 = 0")).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from resona.functions import text as tx
-from resona.operators import chunking
+from resona.operators import chunking, complexity
 from resona.operators import evaluation as ev
 from resona.operators import ingestion as ing
 from resona.operators import retrieval as ret
@@ -440,20 +440,37 @@ def token_cost(spark, d):
     return t.select("conv_id", tx.cost(F.col("a"), F.col("b"), 0.075, 0.3).alias("c")).select("conv_id", "c.*")
 
 
-@query("""WITH x AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN substr(text, 1, 20) || '<think>' || text || '</think>' || substr(text, 21) ELSE text || '<think>' || text || '</think>  ' END AS raw FROM conversations WHERE text IS NOT NULL
-), y AS (SELECT *, string_split(raw, '<think>') AS a FROM x), z AS (SELECT *, trim(a[1] || CASE WHEN len(a) > 1 THEN array_to_string(string_split(a[2], '</think>')[2:], '</think>') ELSE '' END, ' ') AS after FROM y)
-SELECT conv_id, turn, md5(CASE WHEN after <> '' THEN after ELSE trim(a[1], ' ') END) AS answer FROM z""")
+@query(r"""WITH x AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN substr(text, 1, 20) || '<think>' || text || '</think>' || substr(text, 21) || '</think>' WHEN 2 THEN text || '<think>' || text || '</think>  ' ELSE CASE WHEN conv_id % 3 = 0 THEN '' ELSE ' ' || left(text, 9) END || '<think>' || text END AS raw FROM conversations WHERE text IS NOT NULL
+), y AS (SELECT *, string_split(raw, '</think>') AS a, regexp_extract_all(raw, '"([^"\n]{10,200})"', 1) AS quotes,
+  list_filter(list_transform(string_split(replace(raw, '<think>', ''), chr(10)), lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g')), lambda l: l <> '' AND NOT regexp_matches(l, '^([*#-]|[1-5]\.)')) AS lines FROM x
+), z AS (SELECT *, regexp_replace(CASE WHEN contains(raw, '<think>') AND len(a) > 1 THEN array_to_string(a[2:], '</think>') WHEN NOT contains(raw, '<think>') THEN raw
+  WHEN trim(string_split(raw, '<think>')[1], ' ') <> '' THEN string_split(raw, '<think>')[1] ELSE coalesce(quotes[-1], lines[-1], '') END, '^\s+|\s+$', '', 'g') AS kept FROM y)
+SELECT conv_id, turn, md5(CASE WHEN kept <> '' THEN kept ELSE regexp_replace(raw, '^\s+|\s+$', '', 'g') END) AS answer FROM z""")
 def think_strip(spark, d):
-    t, k = F.col("text"), F.col("turn") % 3
+    """Turns as answers: as they are, with a block inside or at the end, and with one that is never closed."""
+    t, k = F.col("text"), F.col("turn") % 4
     block = F.concat(F.lit("<think>"), t, F.lit("</think>"))
-    raw = F.when(k == 0, t).when(k == 1, F.concat(F.substring(t, 1, 20), block, F.expr("substring(text, 21)"))).otherwise(F.concat(t, block, F.lit("  ")))
+    before = F.when(F.col("conv_id") % 3 == 0, "").otherwise(F.concat(F.lit(" "), F.substring(t, 1, 9)))
+    raw = F.when(k == 0, t).when(k == 1, F.concat(F.substring(t, 1, 20), block, F.expr("substring(text, 21)"), F.lit("</think>"))).when(k == 2, F.concat(t, block, F.lit("  "))).otherwise(F.concat(before, F.lit("<think>"), t))
     return table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", F.md5(tx.without_thoughts(raw).cast("binary")).alias("answer"))
 
 
 @query()
 def complexity_classifier(spark, d):
-    j = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id")
-    return ev.classify(j.select(F.col("doc_id").alias("id"), F.col("quality").alias("label"), F.coalesce("text", F.lit("")).alias("text")))
+    """Cross-validation over the turns of conversations: whose they are, told from their whole texts."""
+    return complexity.cross_validate(_turns(spark, d), ["the", "and"], steps=20).select("metric", F.round("mean", 6).alias("mean"), F.round("spread", 6).alias("spread"))
+
+
+def _turns(spark, d):
+    c = table(spark, d, "conversations")
+    return c.select(F.concat_ws(":", "conv_id", "turn").alias("id"), (F.col("role") != "user").cast("int").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+@query(f"""WITH t AS (SELECT conv_id || ':' || turn AS id, CAST(role <> 'user' AS INTEGER) AS label FROM conversations), r AS (SELECT label, count(*) AS n FROM t GROUP BY 1
+), k AS (SELECT label, n, unnest(range(0, 5)) AS fold FROM r) SELECT label, CAST(fold AS INTEGER) AS fold, CAST((n + 5 - CASE fold WHEN 0 THEN 5 ELSE fold END) // 5 AS BIGINT) AS n FROM k WHERE (n + 5 - CASE fold WHEN 0 THEN 5 ELSE fold END) // 5 > 0""")
+def complexity_folds(spark, d):
+    """Rows of each class in each fold: classes are dealt out evenly."""
+    return complexity.folds(_turns(spark, d), 5).groupBy("label", "fold").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n, round(sqrt(avg(value * value)), 6) AS rms FROM events GROUP BY ALL""")

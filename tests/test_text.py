@@ -44,7 +44,12 @@ def test_columns(spark):
     assert one(spark, tx.ascii_turkish(t), "ŞİIÇ") == "siic"
     assert one(spark, tx.query_weights(t)["sparse"], "limits of iso 10816 here") == 0.8
     assert one(spark, tx.expand(t), "looseness") == "looseness (mekanik gevşeklik, 0.5X alt harmonik, structural looseness)"
-    assert one(spark, tx.without_thoughts(t), "<think>a</think> b") == "b"
+    thoughts = {
+        "<think>a</think> b": "b", "x <think>a</think> b</think> c ": "b</think> c", "x <think>a</think> \n": "x <think>a</think>", " plain\n": "plain", "said <think>never": "said",
+        '<think>he said "the first answer" and "the second one" end': "the second one", "<think>one\n two \n- list\n# head\n3. item": "two", "<think>": "<think>", "<think>* a": "<think>* a",
+    }
+    for said, answer in thoughts.items():
+        assert one(spark, tx.without_thoughts(t), said) == answer
     assert one(spark, tx.affirmed(t, tx.terms(["outer race"])), "No outer race. Outer race seen") is True
     assert one(spark, tx.denied(t, tx.terms(["kafes"])), None) in (False, None)
     assert one(spark, sig.machine_class(t), "class_2") == "Class II" and one(spark, sig.machine_class(t), "five") is None
