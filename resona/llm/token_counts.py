@@ -3,7 +3,9 @@
 A batch of signed changes (insert +, delete -, revision - old and + new) is summed into one small partial rollup by
 source, language and tokenizer version and written to a folder of its own; then the batch's name is entered in the commit
 log, by creating a file that must not exist. Totals are the sum over committed batches. A batch that arrives again finds
-its name taken and is not applied again, also where two senders commit it at once. Committed partials can be merged.
+its name taken and is not applied again, also where two senders commit it at once. Committed partials can be merged. A sender
+that dies between creating its entry and writing it has written its partial before: an entry that can't be read stands for the
+batch's first complete partial, and a merge that can't be read for nothing.
 """
 
 from __future__ import annotations
@@ -79,13 +81,28 @@ class Rollup:
         out.close()
         return True
 
-    def _entries(self, name: str) -> dict[str, dict]:
-        """What the files of a folder say, by name: some hundred bytes a batch."""
+    def _entries(self, name: str) -> dict[str, dict | None]:
+        """What the files of a folder say, by name (None: it can't be read): some hundred bytes a batch."""
         path, fs = self._path(name)
         if not fs.exists(path):
             return {}
         rows = self.spark.read.text(f"{self.folder}/{name}", wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value").collect()
-        return {r[0]: json.loads(r[1]) for r in rows}
+        out: dict[str, dict | None] = {f.getPath().getName(): None for f in fs.listStatus(path)}  # empty files have no row
+        for file, value in rows:
+            try:
+                out[file] = json.loads(value)
+            except ValueError:
+                out[file] = None
+        return out
+
+    def _complete(self, batch: str) -> str:
+        """The first partial of a batch that was written to its end."""
+        path, fs = self._path("partials")
+        names = sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
+        for name in names:
+            if name[:-13] == batch and fs.exists(self._path(f"partials/{name}/_SUCCESS")[0]):
+                return f"partials/{name}"
+        raise ValueError(f"batch {batch} is in the log but has no partial")
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Apply a batch once; False if it was there already.
@@ -102,10 +119,11 @@ class Rollup:
 
     def _current(self) -> tuple[list[str], list[str]]:
         """The folders whose sum is the total, and the batches in it: those of the last merge, and those committed since."""
-        log, merges = self._entries("log"), self._entries("merged")
+        log, merges = self._entries("log"), {k: v for k, v in self._entries("merged").items() if v}
         last = merges[max(merges)] if merges else {"partial": None, "batches": []}
         rest = sorted(set(log) - set(last["batches"]))
-        return [x for x in [last["partial"], *(log[b]["partial"] for b in rest)] if x], sorted(log)
+        said = (log[b]["partial"] if log[b] else self._complete(b) for b in rest)
+        return [x for x in [last["partial"], *said] if x], sorted(log)
 
     def merge(self) -> bool:
         """Put all that is committed into one partial, so that later totals read one folder; False if another merge was quicker."""
@@ -136,6 +154,7 @@ def token_counts(docs: DataFrame, labels: DataFrame, old: tuple[str, str], new:
     of no tokens; long texts are counted whole; repeated rows count as often. Extra columns are not read. Empty tables give
     empty totals.
     """
+    docs = docs.select("doc_id", "source", "lang", "text")
     rated = labels.groupBy(F.col("doc_id").cast("long").alias("rated")).agg(F.max(F.coalesce(F.col("toxic"), F.lit(0)) == 1).alias("toxic"), F.max(F.coalesce(F.col("quality"), F.lit(1)) == 0).alias("low")).where("rated is not null")
     low = rated.where("low")
     # texts are read once a version and never shuffled for their counts: only those are

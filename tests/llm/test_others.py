@@ -402,6 +402,48 @@ def test_rollup(spark):
         assert rollup.merge()
 
 
+@pytest.mark.parametrize("left", [None, b"", b'{"partial": "par'])
+def test_rollup_survives_a_sender_that_dies(spark, left):
+    """After its partial, after creating its entry, and amid writing it."""
+    folder = scratch.folder(spark, "rollup")
+    rollup = token_counts.Rollup(spark, folder)
+    docs = spark.createDataFrame([("a", "en", 5), ("b", "de", 7)], "source string, lang string, tokens long")
+    changes = token_counts.inserts(docs, "v1", F.col("tokens"))
+
+    class Killed(Exception):
+        pass
+
+    def die(name, says):
+        if left is not None:
+            path, fs = rollup._path(name)
+            out = fs.create(path, False)
+            out.write(bytearray(left))
+            out.close()
+        raise Killed
+
+    enter, rollup._enter = rollup._enter, die
+    with pytest.raises(Killed):
+        rollup.commit("1-x", changes)
+    rollup._enter = enter
+    assert rollup.commit("1", changes)
+    assert rollup.commit("1-x", changes) == (left is None)
+    assert sorted(r.tokens for r in rollup.totals().collect()) == [10, 14]
+    rollup._enter = die
+    with pytest.raises(Killed):
+        rollup.merge()
+    rollup._enter = enter
+    assert sorted(r.tokens for r in rollup.totals().collect()) == [10, 14]
+    assert rollup.merge() and sorted(r.tokens for r in rollup.totals().collect()) == [10, 14]
+
+
+def test_an_entry_without_a_partial_is_an_error(spark):
+    rollup = token_counts.Rollup(spark, scratch.folder(spark, "rollup"))
+    path, fs = rollup._path("log/1")
+    fs.create(path, False).close()
+    with pytest.raises(ValueError, match="no partial"):
+        rollup.totals()
+
+
 def test_of_two_senders_of_a_batch_one_commits(spark):
     rollup = token_counts.Rollup(spark, scratch.folder(spark, "rollup"))
     assert [rollup._enter("log/x", {"partial": p}) for p in "ab"] == [True, False]
@@ -413,7 +455,7 @@ def test_token_counts(spark, make_docs, corpus):
 
     labels = spark.createDataFrame([(0, 1, 1), (20, 0, 0), (30, 0, 1), (None, 0, 1), (1, None, None), (0, 0, 0), (40, 0, 0)], "doc_id long, quality int, toxic int")
     other = public_tokenizers.path("word_bpe_49k.json")
-    got = {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in token_counts.token_counts(make_docs(corpus), labels, ("v1", BPE), ("v2", other)).collect()}
+    got = {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in token_counts.token_counts(make_docs(corpus).withColumn("rated", F.lit(1)), labels, ("v1", BPE), ("v2", other)).collect()}
     want = Counter()
     for i, t in corpus:
         if i not in (0, 30):
