@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from resona.functions.text import term_counts
@@ -67,16 +67,15 @@ def tokens(text: Column) -> Column:
 def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query_id, id, score, rank of documents (id, text) for queries (query_id, text), by an inverted index made of a join on terms.
 
-    Texts are cut into terms once: terms are counted inside their document, those that no query has are dropped, the rest is
-    written as postings while the documents and their lengths are counted. Postings are then dealt out by document, so the sums of
+    Texts are cut into terms once: terms are counted inside their document and written so, which
+    gives the lengths; those that some query has are the postings. Postings are then dealt out by document, so the sums of
     a document are made where its postings are; the queries' terms, with their weights, are the small side of the join.
     """
     asked = held(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")), "asked")
-    seen = Observation()
-    sized = spread(docs.select("id", "text")).select("id", term_counts(tokens(F.col("text"))).alias("terms")).withColumn("len", F.aggregate("terms", F.lit(0), lambda a, t: a + t["n"]))
-    counted = sized.observe(seen, F.count(F.lit(1)).alias("docs"), F.sum("len").alias("total"))
+    sized = spread(docs.select("id", "text")).select("id", term_counts(tokens(F.col("text"))).alias("terms"))
+    counted = held(sized.withColumn("len", F.aggregate("terms", F.lit(0), lambda a, t: a + t["n"])), "counted")
+    n, mean = counted.agg(F.count("*"), F.coalesce(F.avg("len"), F.lit(0.0))).first()
     tf = held(counted.select("id", "len", F.inline("terms")).withColumnRenamed("n", "tf").join(asked.select("term").distinct(), "term", "left_semi"), "postings")
-    n, mean = float(seen.get["docs"]), (seen.get["total"] or 0) / max(seen.get["docs"], 1)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weighted = asked.join(df, "term").select("query_id", "term", (F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (k1 + 1)).alias("most"))
     weight = F.col("most") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
