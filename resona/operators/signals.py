@@ -100,8 +100,11 @@ def nearest_match(targets: DataFrame, peaks: DataFrame, keys: list[str], allowed
 
     targets: keys, fault, harmonic, base, target. peaks: keys, f, amplitude. Unmatched targets stay with null
     peaks. The join is an equi join on keys; the nearest is chosen by partial aggregation (ties: lower f, then amplitude).
+    Targets are many times the bytes of the table that they are made of, which Spark's estimate doesn't see, so both joins are
+    merge joins: a broadcast would bring all targets to the driver.
     """
     limit = allowed if allowed is not None else tolerance(F.col("base"), F.col("harmonic"))
+    targets = targets.hint("merge")
     both = targets.join(peaks, keys).withColumn("gap", F.abs(F.col("f") - F.col("target"))).where(F.col("gap") <= limit)
     best = both.groupBy(*keys, "fault", "harmonic").agg(F.min_by(F.struct("f", "amplitude"), F.struct("gap", "f", "amplitude")).alias("m"))
     return targets.join(best, [*keys, "fault", "harmonic"], "left").select(*targets.columns, F.col("m.f").alias("found"), F.col("m.amplitude").alias("amplitude"))
