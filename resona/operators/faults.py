@@ -95,10 +95,12 @@ def reciprocating_frequencies(machines: DataFrame, table: DataFrame) -> DataFram
     other = rows.select(F.lower("description").alias("name"), F.col("frequency").alias("other"))
     named = F.lower(F.regexp_extract("frequency", "^Same as (.*)$", 1))
     text = rows.join(other, named == F.col("name"), "left").select("row_no", "description", F.coalesce("other", "frequency").alias("frequency"))
-    each = machines.join(F.broadcast(text), F.lit(True))
-    stroke = F.when(F.col("strokes") == 4, stroke_multiplier(F.col("frequency"), 4)).otherwise(stroke_multiplier(F.col("frequency"), 2))
+    # the texts are read once each, before they meet the machines
+    read = text.select("row_no", "description", multipliers(F.col("frequency")).alias("fixed"), *(stroke_multiplier(F.col("frequency"), k).alias(f"stroke{k}") for k in (2, 4)))
+    each = machines.join(F.broadcast(read), F.lit(True))
+    stroke = F.when(F.col("strokes") == 4, F.col("stroke4")).otherwise(F.col("stroke2"))
     factor = F.when(stroke == "N", F.col("cylinders").cast("double")).when(stroke == "N/2", F.col("cylinders") / 2).otherwise(stroke.try_cast("double"))
-    factors = F.when(stroke.isNotNull(), F.array(factor)).otherwise(multipliers(F.col("frequency")))
+    factors = F.when(stroke.isNotNull(), F.array(factor)).otherwise(F.col("fixed"))
     return each.select("machine_id", "row_no", "description", F.explode(factors).alias("multiple"), (F.col("rpm") / 60).alias("fr")).withColumn("hz", F.col("multiple") * F.col("fr"))
 
 
