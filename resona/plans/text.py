@@ -371,7 +371,8 @@ def dict_expand(spark, d):
 ), k AS (SELECT query_id, term, count(*) AS n, min(rank * 1000000 + pos) AS first FROM w WHERE NOT regexp_matches(term, '^[0-9]+$') AND lower(term) NOT IN ({', '.join(f"'{s}'" for s in tx.STOP_WORDS)}) GROUP BY ALL
 ), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, first) AS place FROM k) SELECT query_id, term, n, CAST(place AS INTEGER) AS place FROM o WHERE place <= 3""")
 def prf_terms(spark, d):
-    hits = _sparse(spark, d, 3).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    # three hits a query are the small side
+    hits = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").join(F.broadcast(_sparse(spark, d, 3)), "id")
     return ev.feedback_terms(hits, guard=40.0).select("query_id", "term", "n", "place")
 
 

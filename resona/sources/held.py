@@ -26,6 +26,13 @@ def held(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
+    """df, which is made of rows that repartition(n, key) dealt out, written once in n buckets of key, a file each: what is grouped by the key, among others, needs no shuffle."""
+    spark, known = df.sparkSession, f"resona_{name}_{uuid.uuid4().hex[:12]}"
+    df.write.option("path", f"{root(spark)}/{known}").bucketBy(n, key).saveAsTable(known)
+    return spark.table(known)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over as many tasks as the cluster runs at once, if its files make fewer (a file of one row group is one task); else df as it is."""
     n = df.sparkSession.sparkContext.defaultParallelism

@@ -11,3 +11,24 @@ from tests.test_queries import plan
 @pytest.mark.parametrize("name", ["sideband_match", "harmonic_match"])
 def test_targets_are_not_broadcast(spark, sf_dir, name):
     assert "Broadcast" not in plan(catalogue.QUERIES[name](spark, sf_dir))
+
+
+def test_sparse_sums_are_made_where_documents_lie(spark, sf_dir):
+    import re
+
+    text = plan(catalogue.QUERIES["sparse_bm25_topk"](spark, sf_dir))
+    assert "Bucketed: true" in text and "SortMergeJoin" not in text
+    assert not re.search(r"hashpartitioning\((query_id|id|term)#\d+L?, (query_id|id)#", text)
+
+
+def test_sparse_search_in_blocks_of_queries(spark, monkeypatch):
+    from resona.operators import retrieval as ret
+
+    docs = spark.createDataFrame([(k, " ".join(f"w{k * j % 17}" for j in range(1, 9))) for k in range(60)], "id long, text string")
+    asked = docs.where("id % 5 = 0").withColumnRenamed("id", "query_id")
+    whole = sorted(ret.bm25_top_k(docs, asked, 4).collect())
+    monkeypatch.setattr(ret, "SPARSE_BLOCK", 3)
+    monkeypatch.setattr(ret, "SUMS", 20)
+    cut = ret.bm25_top_k(docs, asked, 4)
+    assert sorted(cut.collect()) == whole and len(whole) == 48
+    assert "Union" in plan(cut)  # a pass for each block
