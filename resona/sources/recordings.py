@@ -1,7 +1,8 @@
 """Recordings as a data source: spark.read.format("recordings").load(folder), and the same for readStream.
 
-Partitions are planned from file headers: ranges of samples of WAV files and of uncompressed arrays of MATLAB level 5
+Large files are planned from their headers: ranges of samples of WAV files and of uncompressed arrays of MATLAB level 5
 files, whole arrays where they are compressed (a zlib stream can't be entered midway), whole CSV files (read in blocks).
+Small files are only listed by the driver: many of them make a partition, whose task reads their headers.
 Tasks read only their range, and all of its channels that the filters ask for.
 """
 
@@ -21,6 +22,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 SCHEMA = "path string, channel string, fs double, rpm double, i long, x double, problem string"
 ARROW = pa.schema([("path", pa.string()), ("channel", pa.string()), ("fs", pa.float64()), ("rpm", pa.float64()), ("i", pa.int64()), ("x", pa.float64()), ("problem", pa.string())])
 BLOCK = 1 << 18
+#: Bytes of a partition of small files, and those that opening one counts as.
+TOGETHER, OPENING = 1 << 26, 1 << 16
 # Names of channel variables, of the shaft's speed, of time columns; element types of level 5 files.
 CHANNEL = re.compile(r"(DE|FE|BA)_time$")
 SPEED = re.compile(r"RPM$", re.IGNORECASE)
@@ -45,21 +48,28 @@ class Part(InputPartition):
     wanted: tuple[str, ...] | None = field(default=None)
 
 
+@dataclass
+class Several(InputPartition):
+    """Small files, whole, whose headers are read by the task."""
+
+    paths: list[str]
+
+
 def _fs(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
-def listed(folder: str) -> list[tuple[int, str]]:
-    """Time of change and path of each recording below a folder, or of one file."""
+def listed(folder: str) -> list[tuple[int, str, int]]:
+    """Time of change, path and bytes of each recording below a folder, or of one file."""
     from pyarrow import fs
 
     system, path = _fs(folder)
     info = system.get_file_info(path)
     found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(path, recursive=True))
     scheme = folder.split("://", 1)[0] + "://" if "://" in folder else ""
-    return sorted((f.mtime_ns or 0, scheme + f.path) for f in found if f.type == fs.FileType.File and f.path.lower().endswith((".wav", ".mat", ".csv")))
+    return sorted((f.mtime_ns or 0, scheme + f.path, f.size or 0) for f in found if f.type == fs.FileType.File and f.path.lower().endswith((".wav", ".mat", ".csv")))
 
 
 def wav_header(f) -> tuple[float, int, str, int, int]:
@@ -278,15 +288,32 @@ class _Options:
         self.size = int(options.get("samples", 1 << 22))
         self.wanted: dict[str, set] = {}
 
-    def parts(self, files: list[str]) -> list[Part]:
-        out = []
-        for path in files:
-            if "path" not in self.wanted or path in self.wanted["path"]:
-                for part in planned(path, self.fs, self.least, self.size):
-                    part.wanted = tuple(sorted(self.wanted["channel"])) if "channel" in self.wanted else None
-                    if part.wanted is None or set(part.wanted) & set(part.channels):
-                        out.append(part)
-        return out
+    def of_file(self, path: str) -> Iterator[Part]:
+        """The file's partitions that hold what the filters ask for."""
+        for part in planned(path, self.fs, self.least, self.size):
+            part.wanted = tuple(sorted(self.wanted["channel"])) if "channel" in self.wanted else None
+            if part.wanted is None or set(part.wanted) & set(part.channels):
+                yield part
+
+    def parts(self, files: list[tuple[str, int]]) -> list[InputPartition]:
+        """files: path and bytes."""
+        out, few, room = [], [], 0
+        for path, n in files:
+            if "path" in self.wanted and path not in self.wanted["path"]:
+                continue
+            if n > self.size:  # a file of fewer bytes than a range has samples is small
+                out += self.of_file(path)
+                continue
+            if few and n + OPENING > room:
+                out.append(Several(few))
+                few = []
+            room = (room if few else TOGETHER) - n - OPENING
+            few.append(path)
+        return [*out, Several(few)] if few else out
+
+    def rows(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        for part in (p for path in partition.paths for p in self.of_file(path)) if isinstance(partition, Several) else (partition,):
+            yield from read_part(part, self.least)
 
 
 class RecordingReader(_Options, DataSourceReader):
@@ -300,11 +327,11 @@ class RecordingReader(_Options, DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Part]:
-        return self.parts([path for _, path in listed(self.folder)])
+    def partitions(self) -> list[InputPartition]:
+        return self.parts([(path, n) for _, path, n in listed(self.folder)])
 
-    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        yield from read_part(partition, self.least)
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        yield from self.rows(partition)
 
 
 class RecordingStream(_Options, DataSourceStreamReader):
@@ -317,11 +344,11 @@ class RecordingStream(_Options, DataSourceStreamReader):
         files = listed(self.folder)
         return {"time": files[-1][0], "path": files[-1][1]} if files else self.initialOffset()
 
-    def partitions(self, start: dict, end: dict) -> list[Part]:
-        return self.parts([p for t, p in listed(self.folder) if (start["time"], start["path"]) < (t, p) <= (end["time"], end["path"])])
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return self.parts([(p, n) for t, p, n in listed(self.folder) if (start["time"], start["path"]) < (t, p) <= (end["time"], end["path"])])
 
-    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        yield from read_part(partition, self.least)
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        yield from self.rows(partition)
 
     def commit(self, end: dict) -> None:
         pass

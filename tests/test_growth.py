@@ -32,3 +32,16 @@ def test_sparse_search_in_blocks_of_queries(spark, monkeypatch):
     cut = ret.bm25_top_k(docs, asked, 4)
     assert sorted(cut.collect()) == whole and len(whole) == 48
     assert "Union" in plan(cut)  # a pass for each block
+
+
+def test_small_recordings_share_a_partition(spark, tmp_path):
+    from resona.sources import recordings as rec
+
+    signal = spark.range(900).selectExpr("id div 3 as signal_id", "'view' as channel", "id % 3 as i", "id * 0.5 as x")
+    rec.write_wav(signal, str(tmp_path / "wav"), 2000.0).count()
+    (tmp_path / "wav" / "bad.wav").write_bytes(b"RIFF")
+    read = rec.load(spark, f"file://{tmp_path}/wav")
+    assert read.rdd.getNumPartitions() == 1
+    assert read.where("problem is not null").count() == 1
+    got = read.where("problem is null").selectExpr("count(*)", "count(distinct path)", "sum(x)").first()
+    assert tuple(got) == (900, 300, 899 * 900 / 4)
