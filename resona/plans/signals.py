@@ -249,9 +249,25 @@ def pattern_cross_check(spark, d):
     return faults.cross_check(faults.dominant_order(_amplitudes(spark, d)), schemas.patterns(spark)).select("signal_id", "observed_order", "pattern_no", "fault", "direction")
 
 
-CANDIDATES = """c AS (
+#: Mean of values as whole millionths, whose sum doesn't depend on the order of rows; the mean of doubles where one is no number.
+MEAN = "CASE WHEN bool_or(isnan(value) OR isinf(value)) THEN avg(value) ELSE CAST(sum(CAST(CASE WHEN NOT isnan(value) AND NOT isinf(value) THEN floor(value * 1e6::DOUBLE + 0.5::DOUBLE) END AS BIGINT)) AS DOUBLE) / (nullif(count(value), 0) * 1e6::DOUBLE) END"
+
+
+def _mean(value: str):
+    x = F.col(value)
+    odd = F.isnan(x) | (F.abs(x) == float("inf"))
+    exact = F.sum(F.when(~odd, F.floor(x * 1e6 + 0.5))).cast("double") / (F.nullif(F.count(x), F.lit(0)) * 1e6)
+    return F.when(F.bool_or(odd), F.avg(x)).otherwise(exact)
+
+
+def _half_up(x, unit: float):
+    """x to whole units: floor(x * unit + 0.5) / unit, as SQL has it; what is no number stays."""
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(F.floor(x * unit + 0.5) / unit)
+
+
+CANDIDATES = f"""c AS (
   SELECT user_id AS signal_id, min(event_id) AS ordinal, CASE WHEN event_type IN ('click', 'view') THEN 'envelope' WHEN event_type = 'error' THEN 'direct' ELSE 'reciprocating' END AS category,
-    CASE min(event_id) % 4 WHEN 0 THEN 'BPFO' WHEN 1 THEN 'BPFI' WHEN 2 THEN 'BSF' ELSE 'FTF' END AS code, round(avg(value) / 25, 2) AS severity, round(count(*) FILTER (value > 10) * 1.0::DOUBLE / count(*), 2) AS confidence,
+    CASE min(event_id) % 4 WHEN 0 THEN 'BPFO' WHEN 1 THEN 'BPFI' WHEN 2 THEN 'BSF' ELSE 'FTF' END AS code, floor({MEAN} / 25 * 100 + 0.5) / 100 AS severity, (200 * count(*) FILTER (value > 10) + count(*)) // (2 * count(*)) / 100 AS confidence,
     count(*) FILTER (value > 30) AS h, max(value) > 60 AS sb FROM events GROUP BY user_id, event_type
 ), k AS (SELECT *, CASE WHEN severity > 0 THEN least(severity, 10) ELSE 1 END AS cap FROM c WHERE confidence > 0 OR severity > 0 OR h > 0
 ), v AS (SELECT *, CASE WHEN category = 'envelope' THEN confidence * (cap + h * 1.5) * CASE WHEN sb AND code = 'BSF' THEN 2 WHEN sb THEN 1.5 ELSE 1 END * CASE WHEN code = 'FTF' THEN 0.6 ELSE 1 END ELSE confidence * cap END AS score,
@@ -263,24 +279,24 @@ def primary_fault_rank(spark, d):
     e = table(spark, d, "events")
     first = F.min("event_id")
     stats = e.groupBy(F.col("user_id").alias("signal_id"), "event_type").agg(
-        first.alias("ordinal"), F.element_at(F.array(*map(F.lit, ("BPFO", "BPFI", "BSF", "FTF"))), (first % 4 + 1).cast("int")).alias("code"), F.round(F.avg("value") / 25, 2).alias("severity"),
-        F.round(F.count_if(F.col("value") > 10) / F.count("*"), 2).alias("confidence"), F.count_if(F.col("value") > 30).alias("n_harmonics"), (F.max("value") > 60).alias("sidebands"),
+        first.alias("ordinal"), F.element_at(F.array(*map(F.lit, ("BPFO", "BPFI", "BSF", "FTF"))), (first % 4 + 1).cast("int")).alias("code"), _half_up(_mean("value") / 25, 100).alias("severity"),
+        (F.floor((200 * F.count_if(F.col("value") > 10) + F.count("*")) / (2 * F.count("*"))) / 100).alias("confidence"), F.count_if(F.col("value") > 30).alias("n_harmonics"), (F.max("value") > 60).alias("sidebands"),
     )
     branches = [stats.where(F.col("event_type").isin("click", "view")).withColumn("category", F.lit("envelope")), stats.where("event_type = 'error'").withColumn("category", F.lit("direct")), stats.where(~F.col("event_type").isin("click", "view", "error")).withColumn("category", F.lit("reciprocating"))]
     ranked = faults.rank_faults(branches[0].unionByName(branches[1]).unionByName(branches[2]))
     return ranked.select("signal_id", "category", "code", F.floor(F.col("score") * 1000 + 0.50001).alias("score_e3"), "strong", "rank")
 
 
-@query("""WITH v AS (SELECT user_id AS signal_id, ['BPFO', 'BPFI', 'BSF', 'FTF'][1 + event_id % 4] AS fault, event_type AS channel, CASE WHEN avg(value) < 5 THEN 0 ELSE avg(value) END AS severity FROM events GROUP BY ALL
+@query(f"""WITH v AS (SELECT user_id AS signal_id, ['BPFO', 'BPFI', 'BSF', 'FTF'][1 + event_id % 4] AS fault, event_type AS channel, CASE WHEN {MEAN} < 5 THEN 0 ELSE {MEAN} END AS severity FROM events GROUP BY ALL
 ), r AS (SELECT *, row_number() OVER (PARTITION BY signal_id, fault ORDER BY severity DESC, channel) AS k FROM v
 ), t AS (SELECT signal_id, fault, max(channel) FILTER (k = 1) AS c1, max(severity) FILTER (k = 1) AS s1, max(severity) FILTER (k = 2) AS s2 FROM r WHERE k <= 2 GROUP BY ALL
 ), w AS (SELECT *, CASE WHEN s1 <= 0 THEN 'none' WHEN coalesce(s2, 0) <= 0 THEN 'sole' WHEN s1 / s2 >= 1.5 THEN 'dominant' ELSE 'unclear' END AS verdict FROM t)
-SELECT signal_id, fault, verdict, CASE WHEN verdict IN ('sole', 'dominant') THEN c1 END AS dominant_channel, round(CASE WHEN s2 > 0 THEN s1 / s2 END, 4) AS ratio FROM w""")
+SELECT signal_id, fault, verdict, CASE WHEN verdict IN ('sole', 'dominant') THEN c1 END AS dominant_channel, floor(CASE WHEN s2 > 0 THEN s1 / s2 END * 10000 + 0.5) / 10000 AS ratio FROM w""")
 def localize_fault(spark, d):
     e = table(spark, d, "events")
     fault = F.element_at(F.array(*map(F.lit, ("BPFO", "BPFI", "BSF", "FTF"))), (F.col("event_id") % 4 + 1).cast("int"))
-    severity = e.groupBy(F.col("user_id").alias("signal_id"), fault.alias("fault"), F.col("event_type").alias("channel")).agg(F.when(F.avg("value") < 5, 0.0).otherwise(F.avg("value")).alias("severity"))
-    return faults.localise(severity).withColumn("ratio", F.round("ratio", 4))
+    severity = e.groupBy(F.col("user_id").alias("signal_id"), fault.alias("fault"), F.col("event_type").alias("channel")).agg(F.when(_mean("value") < 5, 0.0).otherwise(_mean("value")).alias("severity"))
+    return faults.localise(severity).withColumn("ratio", _half_up(F.col("ratio"), 10000))
 
 
 @query("""WITH m AS (SELECT o_orderkey AS machine_id, o_totalprice / 20 AS rpm FROM orders WHERE o_totalprice > 0), f(filter_no, blo, bhi, slo, shi) AS (VALUES (1, 5, 100, 0, 50), (2, 50, 1000, 25, 500), (3, 500, 10000, 250, 5000), (4, 5000, 40000, 2500, NULL)),
