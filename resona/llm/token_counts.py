@@ -25,21 +25,26 @@ KEYS = ["source", "lang", "tokenizer"]
 PARTIAL = "source string, lang string, tokenizer string, docs long, tokens long"
 
 
-def token_numbers(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """docs (doc_id, source, lang, text) with tokens instead of text: the number of ids that the tokenizer's file gives the whole text; null: 0."""
+def token_numbers(docs: DataFrame, tokenizer: str, *others: str) -> DataFrame:
+    """docs (doc_id, source, lang, text) with tokens instead of text: the number of ids that the tokenizer's file gives the whole text; null: 0.
+
+    Those of other tokenizers follow as tokens2, tokens3, ..
+    """
+    names = ["tokens", *(f"tokens{k}" for k in range(2, len(others) + 2))]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from resona.llm.hashing import column_bytes, slices
         from resona.llm.token_store import Encoder
 
-        encoder = Encoder.of(tokenizer, 0)
+        encoders = [Encoder.of(t, 0) for t in (tokenizer, *others)]
         for batch in batches:
-            texts, n = batch.column(3), []
+            texts, n = batch.column(3), [[] for _ in encoders]
             for lo, hi in slices(column_bytes(texts)[1], 1 << 20):
-                n += [len(ids) // encoder.kind.itemsize - 1 for ids in encoder.encode(texts.slice(lo, hi - lo))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64())], ["doc_id", "source", "lang", "tokens"])
+                for encoder, own in zip(encoders, n, strict=True):
+                    own += [len(ids) // encoder.kind.itemsize - 1 for ids in encoder.encode(texts.slice(lo, hi - lo))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(own, pa.int64()) for own in n)], ["doc_id", "source", "lang", *names])
 
-    return docs.select(F.col("doc_id").cast("long"), "source", "lang", "text").mapInArrow(count, "doc_id long, source string, lang string, tokens long")
+    return docs.select(F.col("doc_id").cast("long"), "source", "lang", "text").mapInArrow(count, "doc_id long, source string, lang string, " + ", ".join(f"{c} long" for c in names))
 
 
 def inserts(docs: DataFrame, tokenizer: str, tokens: Column) -> DataFrame:
@@ -157,10 +162,9 @@ def token_counts(docs: DataFrame, labels: DataFrame, old: tuple[str, str], new:
     docs = docs.select("doc_id", "source", "lang", "text")
     rated = labels.groupBy(F.col("doc_id").cast("long").alias("rated")).agg(F.max(F.coalesce(F.col("toxic"), F.lit(0)) == 1).alias("toxic"), F.max(F.coalesce(F.col("quality"), F.lit(1)) == 0).alias("low")).where("rated is not null")
     low = rated.where("low")
-    # texts are read once a version and never shuffled for their counts: only those are
-    first = scratch.keep(token_numbers(docs, old[1]), "counted")
-    again = docs.join(low, F.col("doc_id") == F.col("rated"), "left_semi")
-    second = scratch.keep(token_numbers(again, new[1]), "recounted")
+    # texts are read once, for both versions, and never shuffled: which documents are rated is asked of their counts
+    first = scratch.keep(token_numbers(docs, old[1], new[1]), "counted")
+    second = first.join(low, F.col("doc_id") == F.col("rated"), "left_semi").withColumn("tokens", F.col("tokens2"))
     rollup = Rollup(docs.sparkSession, scratch.folder(docs.sparkSession, "rollup"))
     n, toxic = F.col("tokens"), rated.where("toxic").select("rated")
     rollup.commit("1", inserts(first, old[0], n))

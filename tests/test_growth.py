@@ -73,3 +73,19 @@ def test_grades_of_events_are_exact(spark, tmp_path):
         assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)), name
         if name == "localize_fault":
             assert {tuple(r) for r in got.where("signal_id >= 60").select("verdict", "dominant_channel", "ratio").collect()} == {("dominant", "view", 1.5)}
+
+
+def test_versions_of_counts_read_texts_once(spark, monkeypatch):
+    import public_tokenizers
+
+    from resona.llm import scratch, token_counts
+
+    kept, keep = [], scratch.keep
+    monkeypatch.setattr(scratch, "keep", lambda df, *a: kept.append(plan(df)) or keep(df, *a))
+    monkeypatch.setattr(token_counts.scratch, "keep", scratch.keep)
+    docs = spark.createDataFrame([(k, "s", "en", "some words " * k) for k in range(20)], "doc_id long, source string, lang string, text string")
+    labels = spark.createDataFrame([(k, k % 2, k % 3 // 2) for k in range(20)], "doc_id long, quality int, toxic int")
+    files = [(n, public_tokenizers.path(f"{n}.json")) for n in ("byte_bpe_50k", "word_bpe_49k")]
+    totals = {r.tokenizer: r.docs for r in token_counts.token_counts(docs, labels, *files).collect()}
+    assert totals == {"byte_bpe_50k": 7, "word_bpe_49k": 7}
+    assert not any("Join" in p for p in kept)  # texts never meet the labels
