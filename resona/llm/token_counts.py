@@ -14,6 +14,7 @@ import json
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,14 +24,38 @@ from resona.llm import scratch
 
 KEYS = ["source", "lang", "tokenizer"]
 PARTIAL = "source string, lang string, tokenizer string, docs long, tokens long"
+#: Bits of a bitmap of ids are 2 to this power at most (16 MB), and those of a bucket of it (4 KB).
+MARKS, BUCKET = 27, 15
 
 
-def token_numbers(docs: DataFrame, tokenizer: str, *others: str) -> DataFrame:
+def mark(key: Column, power: int) -> Column:
+    """The bit of a key in a bitmap of 2 ** power bits."""
+    return F.xxhash64(key).bitwiseAND((1 << power) - 1)
+
+
+def marks(keys: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap (its bytes, and the power of two of its bits) that every key of a column of longs is in, and few others are: 16 bits a key.
+
+    Its size is bounded: of very many keys it holds more others.
+    """
+    key = F.col(keys.columns[0])
+    power = min(MARKS, max(BUCKET, (16 * keys.count()).bit_length()))
+    bit = mark(key, power)
+    rows = keys.groupBy(F.shiftright(bit, BUCKET).alias("bucket")).agg(F.bitmap_construct_agg(bit.bitwiseAND((1 << BUCKET) - 1)).alias("bits")).collect()
+    out = np.zeros((1 << (power - BUCKET), 1 << (BUCKET - 3)), np.uint8)
+    for bucket, bits in rows:
+        out[bucket] = np.frombuffer(bits, np.uint8)
+    return out.ravel(), power
+
+
+def token_numbers(docs: DataFrame, tokenizer: str, *others: str, only: tuple[np.ndarray, int] | None = None) -> DataFrame:
     """docs (doc_id, source, lang, text) with tokens instead of text: the number of ids that the tokenizer's file gives the whole text; null: 0.
 
-    Those of other tokenizers follow as tokens2, tokens3, ..
+    Those of other tokenizers follow as tokens2, tokens3, .., of documents in the bitmap `only` (see marks) if there is one; others have null.
     """
     names = ["tokens", *(f"tokens{k}" for k in range(2, len(others) + 2))]
+    power = only[1] if only else BUCKET
+    bitmap = docs.sparkSession.sparkContext.broadcast(only[0]) if only else None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from resona.llm.hashing import column_bytes, slices
@@ -38,13 +63,18 @@ def token_numbers(docs: DataFrame, tokenizer: str, *others: str) -> DataFrame:
 
         encoders = [Encoder.of(t, 0) for t in (tokenizer, *others)]
         for batch in batches:
-            texts, n = batch.column(3), [[] for _ in encoders]
-            for lo, hi in slices(column_bytes(texts)[1], 1 << 20):
-                for encoder, own in zip(encoders, n, strict=True):
-                    own += [len(ids) // encoder.kind.itemsize - 1 for ids in encoder.encode(texts.slice(lo, hi - lo))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(own, pa.int64()) for own in n)], ["doc_id", "source", "lang", *names])
+            texts, bits = batch.column(3), batch.column(4).to_numpy()
+            again = (bitmap.value[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).astype(bool) if bitmap else np.ones(len(bits), bool)
+            n = np.zeros((len(encoders), len(bits)), np.int64)
+            for k, encoder in enumerate(encoders):
+                at = np.flatnonzero(again) if k else np.arange(len(bits))
+                some = texts.take(pa.array(at)) if k else texts
+                for lo, hi in slices(column_bytes(some)[1], 1 << 20):
+                    n[k, at[lo:hi]] = [len(ids) // encoder.kind.itemsize - 1 for ids in encoder.encode(some.slice(lo, hi - lo))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(own, mask=~again if k else None) for k, own in enumerate(n))], ["doc_id", "source", "lang", *names])
 
-    return docs.select(F.col("doc_id").cast("long"), "source", "lang", "text").mapInArrow(count, "doc_id long, source string, lang string, " + ", ".join(f"{c} long" for c in names))
+    key = F.col("doc_id").cast("long")
+    return docs.select(key, "source", "lang", "text", mark(key, power)).mapInArrow(count, "doc_id long, source string, lang string, " + ", ".join(f"{c} long" for c in names))
 
 
 def inserts(docs: DataFrame, tokenizer: str, tokens: Column) -> DataFrame:
@@ -162,8 +192,9 @@ def token_counts(docs: DataFrame, labels: DataFrame, old: tuple[str, str], new:
     docs = docs.select("doc_id", "source", "lang", "text")
     rated = labels.groupBy(F.col("doc_id").cast("long").alias("rated")).agg(F.max(F.coalesce(F.col("toxic"), F.lit(0)) == 1).alias("toxic"), F.max(F.coalesce(F.col("quality"), F.lit(1)) == 0).alias("low")).where("rated is not null")
     low = rated.where("low")
-    # texts are read once, for both versions, and never shuffled: which documents are rated is asked of their counts
-    first = scratch.keep(token_numbers(docs, old[1], new[1]), "counted")
+    # texts are read once, for both versions, and never shuffled: which documents are rated is asked of their counts, and a bitmap
+    # spares most others the new version
+    first = scratch.keep(token_numbers(docs, old[1], new[1], only=marks(low.select("rated"))), "counted")
     second = first.join(low, F.col("doc_id") == F.col("rated"), "left_semi").withColumn("tokens", F.col("tokens2"))
     rollup = Rollup(docs.sparkSession, scratch.folder(docs.sparkSession, "rollup"))
     n, toxic = F.col("tokens"), rated.where("toxic").select("rated")

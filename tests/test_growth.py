@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from resona import catalogue
 from tests.test_queries import plan
@@ -89,3 +90,34 @@ def test_versions_of_counts_read_texts_once(spark, monkeypatch):
     totals = {r.tokenizer: r.docs for r in token_counts.token_counts(docs, labels, *files).collect()}
     assert totals == {"byte_bpe_50k": 7, "word_bpe_49k": 7}
     assert not any("Join" in p for p in kept)  # texts never meet the labels
+
+
+def test_new_version_counts_few_others(spark, monkeypatch):
+    """The new version counts the documents of low quality, null ids and repeats too, and hardly any other; totals are as if it counted all."""
+    import public_tokenizers
+
+    from resona.llm import scratch, token_counts
+
+    kept, keep = {}, scratch.keep
+    monkeypatch.setattr(scratch, "keep", lambda df, name: kept.setdefault(name, keep(df, name)))
+    rows = [(k if k % 50 else None, "s", None, f"some words {k} " * (k % 7)) for k in range(-300, 300)] + [(7, "s", None, "again"), (14, "s", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    labels = spark.createDataFrame([(k, int(k % 7 > 0), 0) for k in range(-300, 300)] + [(None, 0, 1)], "doc_id long, quality int, toxic int")
+    files = [(n, public_tokenizers.path(f"{n}.json")) for n in ("byte_bpe_50k", "word_bpe_49k")]
+    totals = {r.tokenizer: (r.docs, r.tokens) for r in token_counts.token_counts(docs, labels, *files).collect()}
+    low = lambda k: k is not None and k % 7 == 0
+    counted = token_counts.token_numbers(docs, files[0][1], files[1][1]).collect()
+    want = [(sum(low(r.doc_id) == new for r in counted), sum(r.tokens2 if new else r.tokens for r in counted if low(r.doc_id) == new)) for new in (False, True)]
+    assert [totals[n] for n, _ in files] == want
+    assert 0 < kept["counted"].where("tokens2 is not null").count() - want[1][0] < 60
+
+
+def test_marks(spark):
+    from resona.llm import token_counts as tc
+
+    bitmap, power = tc.marks(spark.range(-500, 5000).toDF("k"))
+    assert power == 17 and len(bitmap) == 1 << 14
+    bits = [r[0] for r in spark.range(-500, 25000).select(tc.mark(F.col("id"), power)).collect()]
+    seen = [int(bitmap[b >> 3]) >> (b & 7) & 1 for b in bits]
+    assert all(seen[:5500]) and sum(seen[5500:]) < 2000
+    assert not tc.marks(spark.range(0).toDF("k"))[0].any()
