@@ -121,3 +121,23 @@ def test_marks(spark):
     seen = [int(bitmap[b >> 3]) >> (b & 7) & 1 for b in bits]
     assert all(seen[:5500]) and sum(seen[5500:]) < 2000
     assert not tc.marks(spark.range(0).toDF("k"))[0].any()
+
+
+def test_folds_are_dealt_over_tasks(spark, monkeypatch):
+    """Features of texts are made by all tasks, each fold's once, and rows have the folds that one numbering of a class gives."""
+    import random
+
+    from pyspark.sql import Window
+
+    from resona.operators import complexity as cx
+    from resona.sources import held
+    from tests.test_complexity import queries
+
+    labelled = spark.createDataFrame(queries(random.Random(2), 200) + [(900, None, "show")], "id long, label int, text string")
+    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
+    want = labelled.withColumn("fold", F.row_number().over(order) % 3)
+    assert sorted(map(str, cx.folds(labelled, 3).collect())) == sorted(map(str, want.collect()))
+    parts, write = {}, held.held
+    monkeypatch.setattr(held, "held", lambda df, name: parts.setdefault(name, []).append(df.rdd.getNumPartitions()) or write(df, name))
+    assert cx.cross_validate(labelled.where("label is not null"), ["bearing"], 2, 2).count() == 5
+    assert parts["folds"] == [spark.sparkContext.defaultParallelism] and len(parts["features"]) == 2
