@@ -3,10 +3,8 @@
 A document is the set of its runs of five words. Documents with equal sets are one class; the forest holds a class
 once. Each of TREES prefix tries is a table of the classes' labels of DEPTH min-hashes, sorted, so that the classes under a
 trie's node are neighbours. Two classes of similarity t share a prefix of length d in some trie with probability
-1 - (1 - t**d) ** TREES. The prefix begins as the whole label and is shortened by one as long as the recall measured on
-the data is under the target: a sample of classes is compared with those that share a prefix with them, each pair found
-counts as one over its probability of being found, and what was found is related to that sum, in each band of similarity
-over the threshold. Pairs of the last depth whose whole signatures agree well enough are candidates; they are compared
+1 - (1 - t**d) ** TREES. The prefix is the longest at which that, for a pair of the very threshold, is the recall asked for; no
+count of the data enters it. Pairs of that depth whose whole signatures agree well enough are candidates; they are compared
 exactly, by products of tiles of their sets, and only counts and a spanning forest of the true links leave a task.
 
 Large prefixes and large groups of candidates are split into blocks; each pair of blocks is work of its own.
@@ -31,7 +29,7 @@ SIGNED = "doc_id long, content binary, node binary, size long, signature binary"
 BLOCK_CLASSES, BLOCK_SHINGLES = 256, 1 << 17
 #: Sets on either side of a tile: the part of a block pair whose dense counts are in memory at once.
 TILE = 1024
-#: Classes that are asked when recall is measured, those of the smallest hashes, classes of one prefix that they are compared with, and the width of a band.
+#: Of `shortened`, which the join doesn't use: classes that are asked when recall is measured, those of the smallest hashes, classes of one prefix that they are compared with, and the width of a band.
 PROBES, PARTNERS, BAND = 1_000, 256, 0.05
 
 
@@ -42,6 +40,11 @@ def found_at(similarity: float, depth: int, least: int = 0) -> float:
     return (1 - (1 - similarity**depth) ** TREES) * agree
 
 
+def settled(threshold: float, recall: float) -> int:
+    """The longest prefix at which pairs of the very threshold, and so all over it, are found with the probability `recall`."""
+    return next((d for d in range(DEPTH, 1, -1) if found_at(threshold, d, agreement(threshold)) >= recall), 1)
+
+
 def agreement(threshold: float) -> int:
     """How many min-hashes of two classes at the threshold agree at least, but for chances of about 1 in 300,000 (4.5 deviations)."""
     n = TREES * DEPTH
@@ -258,15 +261,16 @@ def under(label: str, depth: int) -> Column:
 
 
 def shortened(classes: DataFrame, tries: DataFrame, threshold: float, recall: float, probes: int = PROBES) -> int:
-    """The longest prefix at which the recall measured for a sample of classes reaches the target; at most `probes` classes are asked.
+    """A report, on which no result depends: the longest prefix at which the recall measured for a sample of classes reaches the target.
 
+    At most `probes` classes are asked.
     Prefixes need not be shorter than the depth at which pairs of the very threshold are found often enough; the sample is
     compared with all that share such a prefix, and each pair counts for the levels down to its deepest common node. Of a prefix that
     many classes share, about PARTNERS stand for all, each with its weight. The driver sees one number for each depth
     and number of agreeing min-hashes.
     """
     least = agreement(threshold)
-    floor = next((d for d in range(DEPTH, 1, -1) if found_at(threshold, d, least) >= recall), 1)
+    floor = settled(threshold, recall)
     asked = scratch.keep(classes.select("node", "signature").orderBy(F.xxhash64("node"), "node").limit(probes), "probes")
     asked_at = planted(asked).select(F.col("node").alias("probe"), under("label", floor).alias("prefix"))
     at = tries.select("node", under("label", floor).alias("prefix"))
@@ -291,9 +295,8 @@ def _joined(docs: DataFrame, threshold: float, recall: float, width: int, key: s
     signed = scratch.keep(docs.select(F.col(key).cast("long").alias("doc_id"), "text", content().alias("content")).mapInArrow(lambda b: _signed(b, width), SIGNED), "signed")
     classes = scratch.keep(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("signature").alias("signature")), "classes")
 
-    tries = scratch.keep(planted(classes), "tries")
-    depth, agree = shortened(classes, tries, threshold, recall), agreement(threshold)
-    prefixed = tries.select("node", under("label", depth).alias("prefix"))
+    tries, agree = scratch.keep(planted(classes), "tries"), agreement(threshold)
+    prefixed = tries.select("node", under("label", settled(threshold, recall)).alias("prefix"))
     shared = scratch.keep(prefixed.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1"), "prefixes")
     buckets = blocks(prefixed.join(shared, "prefix"), f"ceil(n / {BLOCK_CLASSES})").withColumn("bucket", F.concat(F.col("prefix"), F.encode(F.format_string("/%d/%d", "i", "j"), "utf-8")))
     buckets = buckets.join(classes.select("node", "signature"), "node").select("bucket", "node", "signature", "i", "j", "side")

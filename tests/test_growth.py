@@ -141,3 +141,17 @@ def test_folds_are_dealt_over_tasks(spark, monkeypatch):
     monkeypatch.setattr(held, "held", lambda df, name: parts.setdefault(name, []).append(df.rdd.getNumPartitions()) or write(df, name))
     assert cx.cross_validate(labelled.where("label is not null"), ["bearing"], 2, 2).count() == 5
     assert parts["folds"] == [spark.sparkContext.defaultParallelism] and len(parts["features"]) == 2
+
+
+def test_prefix_is_no_estimate(spark, monkeypatch):
+    """The join's prefix follows from threshold and recall alone: nothing is measured on a sample of the documents."""
+    from resona.llm import ngram_join as nj
+    from resona.llm import scratch
+
+    kept, keep = [], scratch.keep
+    monkeypatch.setattr(nj.scratch, "keep", lambda df, name: kept.append(name) or keep(df, name))
+    words = [f"w{k}" for k in range(300)]
+    rows = [(0, " ".join(words)), (1, " ".join([*words[:290], *"abcdefghij"])), (2, " ".join(words[::-1])), (3, None)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in nj.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: (0, 1), 1: (0, 1), 2: (2, 0), 3: (3, 0)} and "probes" not in kept
+    assert [nj.settled(t, 0.9995) for t in (0.8, 0.9)] == [4, 8] and nj.found_at(0.8, 4, nj.agreement(0.8)) >= 0.9995 > nj.found_at(0.8, 5, nj.agreement(0.8))
