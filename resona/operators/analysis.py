@@ -84,12 +84,11 @@ def _measures(least: int):
 def _envelopes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
         out = []
-        for row in pdf.itertuples(index=False):
-            x = kernels.detrend(np.asarray(row.xs, float))
-            if len(x) >= 8:
-                spectrum = kernels.envelope_spectrum(kernels.envelope(kernels.band_pass(x, row.fs, row.band_lo, max(row.band_hi, row.band_lo + 1))), row.fs)
-                lines = {k: v for k, v in row.frequencies.items() if k in ("BPFO", "BPFI", "BSF", "FTF")}
-                out += [(row.signal_id, row.channel, *f) for f in kernels.match(*spectrum, lines, row.rpm / 60)]
+        keys = list(zip(pdf["signal_id"], pdf["channel"], pdf["frequencies"], pdf["rpm"], strict=True))
+        for k, *spectrum in kernels.envelope_spectra(pdf["xs"], *(pdf[c].tolist() for c in ("fs", "band_lo", "band_hi"))):
+            signal, channel, frequencies, rpm = keys[k]
+            lines = {k: v for k, v in frequencies.items() if k in ("BPFO", "BPFI", "BSF", "FTF")}
+            out += [(signal, channel, *f) for f in kernels.match(*spectrum, lines, rpm / 60)]
         yield pd.DataFrame(out, columns=["signal_id", "channel", "fault", "severity", "confidence", "n_harmonics", "sidebands"])
 
 
@@ -160,9 +159,8 @@ def signal_analysis(signal: DataFrame, machines: DataFrame, zones: DataFrame, fi
 
 def _bands(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
-        out = []
-        for row in pdf.itertuples(index=False):
-            x = kernels.detrend(np.asarray(row.xs, float))
-            best = max(kernels.kurtogram(x, row.fs), key=lambda r: r[4], default=None)
-            out.append((row.signal_id, *(best[2:4] if best else (None, None)), best is not None and kernels.reliable(x, row.fs, 42)))
+        fs, out = pdf["fs"].tolist(), []
+        for places, x in kernels.together(pdf["xs"], fs.__getitem__):
+            found = kernels.best_bands(kernels.detrend(x), fs[places[0]])
+            out += [(pdf["signal_id"].iat[k], *f) for k, f in zip(places, found, strict=True)]
         yield pd.DataFrame(out, columns=["signal_id", "f_lo", "f_hi", "reliable"])

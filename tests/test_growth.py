@@ -155,3 +155,25 @@ def test_prefix_is_no_estimate(spark, monkeypatch):
     got = {r.doc_id: (r.class_id, r.n_links) for r in nj.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0: (0, 1), 1: (0, 1), 2: (2, 0), 3: (3, 0)} and "probes" not in kept
     assert [nj.settled(t, 0.9995) for t in (0.8, 0.9)] == [4, 8] and nj.found_at(0.8, 4, nj.agreement(0.8)) >= 0.9995 > nj.found_at(0.8, 5, nj.agreement(0.8))
+
+
+def test_records_of_one_length_are_analysed_together(spark, monkeypatch):
+    """A task calls the kernels once for all its records of a length, and each record has the very result that it has alone."""
+    import numpy as np
+
+    from resona.operators import kernels as k
+
+    rng = np.random.default_rng(3)
+    records = [rng.normal(size=n) for n in (13, 14, 9, 13, 14, 14, 4, 1, 13)]
+    signal = spark.createDataFrame([(s, "a", i, float(v)) for s, x in enumerate(records) for i, v in enumerate(x)], "signal_id long, channel string, i long, x double")
+    want = {s: k.best_bands(x[None], 1000.0)[0] for s, x in enumerate(records)}
+    assert {r.signal_id: (r.f_lo, r.f_hi, r.reliable) for r in k.bands(signal, 1000.0).collect()} == want
+    calls, reliable = [], k.reliable
+    monkeypatch.setattr(k, "reliable", lambda x, *a, **b: calls.append(x.shape) or reliable(x, *a, **b))
+    got = {}
+    for places, x in k.together(records, lambda at: None):
+        got |= zip(places, k.best_bands(x, 1000.0), strict=True)
+    assert got == want and sorted(calls) == [(1, 9), (3, 13), (3, 14)]  # shorter ones have no band
+    alone = {at: m.tolist() for at in range(9) for _, _, m in k.envelope_spectra(records[at : at + 1], [1000.0], [25.0], [400.0])}
+    assert {at: m.tolist() for at, _, m in k.envelope_spectra(records, [1000.0] * 9, [25.0] * 9, [400.0] * 9)} == alone and len(alone) == 7
+    assert [x.shape for _, x in k.together(records, lambda at: None, 28)] == [(2, 13), (1, 13), (2, 14), (1, 14), (1, 9), (1, 4), (1, 1)]
