@@ -294,7 +294,7 @@ TOLD = TOLD.replace("@f", _sql(FOLDED, "text")).replace("@c", _sql(CLAUSES, "sen
 
 
 def _phrased(spark, d, name, *keys):
-    return table(spark, d, name).select(*keys, phrased(F.col("text")).alias("text"))
+    return spread(table(spark, d, name).select(*keys, "text")).select(*keys, phrased(F.col("text")).alias("text"))
 
 
 FLAGS = {

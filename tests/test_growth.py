@@ -198,3 +198,10 @@ def test_likeness_keeps_words_of_the_other_side_only(spark, monkeypatch):
         assert got == want and want
         words = {w for name, df in kept if name == "word-sets" for r in df.collect() for w in r.w}
         assert words and words <= {w for y in right.values() for w in y}
+
+
+def test_rules_on_text_run_in_all_tasks(spark, sf_dir):
+    """A file of one row group is one task; its texts are dealt out before the rules."""
+    read = catalogue.QUERIES["negation_flags"](spark, sf_dir)
+    assert spark.read.parquet(f"{sf_dir}/documents.parquet").rdd.getNumPartitions() == 1
+    assert read.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and "Exchange" in plan(read)
