@@ -63,9 +63,10 @@ def visual_recall(spark, d):
     """Recall of the expected passages among the best five; expected are all that hold an item's longest term."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    hits = ret.bm25_top_k(docs, items, 5).select("query_id", "id", "rank")
+    counted = ret.counted_terms(docs, items.count())
+    hits = ret.bm25_top_k(docs, items, 5, counted=counted).select("query_id", "id", "rank")
     longest = F.get(F.array_sort(F.transform(ret.tokens(F.col("text")), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("term")))), F.lit(0))["term"]
-    held = docs.select("id", F.explode(F.array_distinct(ret.tokens(F.col("text")))).alias("term"))
+    held = counted.select("id", F.explode("terms.term").alias("term"))
     gold = held.join(items.select("query_id", longest.alias("term")), "term").select("query_id", "id")
     return ret.ranking_metrics(hits, gold, 5).select("query_id", F.round("recall", 6).alias("recall"))
 

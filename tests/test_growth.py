@@ -35,6 +35,26 @@ def test_sparse_search_in_blocks_of_queries(spark, monkeypatch):
     assert "Union" in plan(cut)  # a pass for each block
 
 
+def test_expected_pairs_are_judged_where_documents_lie(spark, sf_dir):
+    """Documents are cut into terms once, and only results are shuffled by query and document."""
+    import re
+
+    text = plan(catalogue.QUERIES["visual_recall"](spark, sf_dir)).split("== Physical Plan ==")[1]
+    wanted, found = text.split("count(distinct CASE", 1)
+    assert "documents.parquet" not in text and "Bucketed: true" in wanted and "Bucketed: true" in found
+    assert not re.search(r"hashpartitioning\(query_id#\d+L?, id#", wanted)
+    assert re.search(r"BroadcastHashJoin \[query_id#\d+L?, id#\d+L?\].* LeftSemi", found)  # what is shuffled by both is no more than the results
+
+
+def test_ranking_metrics_of_repeats(spark):
+    from resona.operators import retrieval as ret
+
+    results = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (1, 10, 3), (1, 12, 4), (2, 10, 1), (4, 10, 1)], "query_id long, id long, rank int")
+    expected = spark.createDataFrame([(1, 10), (1, 10), (1, 12), (1, 13), (2, 11), (3, 10), (3, None)], "query_id long, id long")
+    got = {r.query_id: (round(r.recall, 6), round(r.precision, 6), r.hit, r.mrr) for r in ret.ranking_metrics(results, expected, 3).collect()}
+    assert got == {1: (0.333333, 0.333333, 1.0, 1.0), 2: (0.0, 0.0, 0.0, 0.0), 3: (0.0, 0.0, 0.0, 0.0)}
+
+
 def test_small_recordings_share_a_partition(spark, tmp_path):
     from resona.sources import recordings as rec
 
