@@ -1,16 +1,16 @@
-"""Exact top-k BM25 search over an inverted index with block-max WAND pruning.
+"""Exact top-k BM25 search over an inverted index with block maxima.
 
 Document frequencies and lengths are counted over all documents first. Each task then indexes its documents
-in shards of bounded size and runs all queries against each: a query's terms give every block of documents an
-upper bound (the sum of the terms' largest impacts in that block); blocks are scored from the highest bound
-down, and as soon as a bound falls below the k-th score so far the rest is skipped. Terms that a large part of
-a shard has would make every bound loose and are in no list worth skipping through: they are kept as rows over
-all the shard's documents, and their exact sum, a matrix product for many queries at once, is part of the
-bound. Every shard returns its best k, scored with the global statistics, so the best k of those are the
-exact answer.
+in shards of bounded size (`resona.operators.postings`) and runs all queries against each, some hundred at a
+time: a query's terms give every block of documents an upper bound (the sum of the terms' largest impacts in
+that block); the block of the highest bound is scored first, and blocks whose bound falls below the k-th score
+so far, of this or an earlier shard of the task, are skipped. Bounds skip little when queries are whole texts,
+so scoring is what has to be cheap: terms that a good part of a block has are rows over its documents, a matrix
+product for all queries at once, and the lists of others are added up. Every shard returns its best k, scored
+with the global statistics, so the best k of those are the exact answer.
 
 Queries reach the tasks as a table in the shared folder, read in small batches, so neither their number nor
-the corpus is bounded by memory.
+the corpus is bounded by memory (a task keeps one number for each query).
 """
 
 from __future__ import annotations
@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from resona.llm import scratch
+from resona.operators.postings import BLOCK, Shard
 
 K1, B = 1.2, 0.75
-BLOCK = 128
 SHARD_BYTES, SHARD_DOCS = 16 << 20, 20_000
-#: The most terms of a shard that are kept as rows over all its documents, those of at least 1 / COMMON_SHARE of them.
-COMMON, COMMON_SHARE = 512, 24
+#: Queries that are compared with a shard at a time.
+QUERIES = 256
 U = np.uint64
 
 
@@ -80,131 +80,39 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield row([None], [n], [words])
 
 
-class Shard:
-    """Inverted index of some documents: postings by term, in blocks of BLOCK documents of like words and length."""
-
-    def __init__(self, ids: np.ndarray, docs: np.ndarray, terms: np.ndarray, counts: np.ndarray, lengths: np.ndarray, mean: float) -> None:
-        names, at, df = np.unique(terms, return_inverse=True, return_counts=True)
-        wide = np.argsort(-df, kind="stable")[:COMMON]
-        order = np.lexsort((lengths, leading(docs, at, counts, wide[:64], len(ids))))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.ids, docs = ids[order], place[docs]
-        by = np.argsort(at * np.int64(len(ids) + 1) + docs)
-        docs, terms, counts, at = docs[by], terms[by], counts[by], at[by]
-        self.blocks = len(ids) // BLOCK + 1
-        impact = counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[order][docs] / mean))
-        wide = np.sort(wide[df[wide] * COMMON_SHARE >= len(ids)])
-        self.common = names[wide]
-        row = np.full(len(names), -1)
-        row[wide] = np.arange(len(wide))
-        dense = row[at] >= 0
-        self.dense = np.zeros((len(wide), self.blocks * BLOCK))
-        self.dense[row[at[dense]], docs[dense]] = impact[dense]
-        self.docs, self.impact, terms = docs[~dense], impact[~dense], terms[~dense]
-        block = self.docs // BLOCK
-        new = np.ones(len(terms), bool)
-        new[1:] = terms[1:] != terms[:-1]
-        self.terms = terms[new]
-        first = new.copy()
-        first[1:] |= block[1:] != block[:-1]
-        at = np.flatnonzero(first)
-        self.entry_at = np.append(at, len(terms))
-        self.entry_block = block[at]
-        self.entry_max = np.maximum.reduceat(self.impact, at) if len(at) else np.zeros(0)
-        self.term_at = np.append(np.searchsorted(at, np.flatnonzero(new)), len(at))
-
-    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each query (terms, weights) the ids and scores of the best k, by score (to six decimals) and then id."""
-        rows = np.zeros((len(queries), len(self.common)))
-        for i, (terms, weights) in enumerate(queries):
-            at, known = known_at(self.common, terms)
-            rows[i, at] = weights[known]
-        sums = rows @ self.dense
-        for (terms, weights), own in zip(queries, sums, strict=True):
-            yield self._best(terms, weights, own, k)
-
-    def _best(self, terms: np.ndarray, weights: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        at, known = known_at(self.terms, terms)
-        entries, size = spread(self.term_at[at], self.term_at[at + 1])
-        weights = np.repeat(weights[known], size)
-        where = self.entry_block[entries]
-        bound = np.bincount(where, weights * self.entry_max[entries], minlength=self.blocks) + own.reshape(-1, BLOCK).max(1)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        rank = np.full(self.blocks, len(order), np.uint32 if self.blocks >= 1 << 16 else np.uint16)
-        rank[order] = np.arange(len(order))
-        turn = rank[where]
-        by_turn = np.argsort(turn, kind="stable")
-        turn, entries, weights = turn[by_turn], entries[by_turn], weights[by_turn]
-        ids, scores, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        lo, step = 0, max(4, -(-2 * k // BLOCK))
-        while lo < len(order) and bound[order[lo]] >= least - 2e-6:
-            hi = lo + max(1, int(np.searchsorted(-bound[order[lo : lo + step]], -(least - 2e-6), side="right")))
-            chosen = slice(*np.searchsorted(turn, [lo, hi]))
-            postings, size = spread(self.entry_at[entries[chosen]], self.entry_at[entries[chosen] + 1])
-            docs = (order[lo:hi, None] * BLOCK + np.arange(BLOCK)).ravel()
-            found = np.bincount(self.docs[postings], np.repeat(weights[chosen], size) * self.impact[postings], minlength=len(own))[docs] + own[docs]
-            hit = np.flatnonzero(found > max(0.0, least - 2e-6))
-            ids, scores = np.append(ids, self.ids[docs[hit]]), np.append(scores, np.round(found[hit], 6))
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
-            if len(ids) == k:
-                least = scores[-1]
-            lo, step = hi, step * 2
-        return ids, scores
-
-
-def known_at(names: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the sorted names of those terms that are there, and which they are."""
-    at = np.searchsorted(names, terms)
-    known = at < len(names)
-    known[known] = names[at[known]] == terms[known]
-    return at[known], known
-
-
-def leading(docs: np.ndarray, terms: np.ndarray, counts: np.ndarray, wide: np.ndarray, n: int) -> np.ndarray:
-    """For each document the one of the `wide` terms that it uses most, so that texts of one language stand together and blocks of others have low bounds."""
-    out = np.full(n, -1)
-    some = np.flatnonzero(np.isin(terms, wide))
-    some = some[np.lexsort((terms[some], counts[some], docs[some]))]
-    out[docs[some]] = terms[some]  # the last of each document stays
-    return out
-
-
-def spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of the ranges, one range after the other, and the ranges' sizes."""
-    size = ends - starts
-    return np.arange(int(size.sum())) + np.repeat(starts - np.cumsum(size) + size, size), size
-
-
-def _search(batches: Iterator[pa.RecordBatch], files: list[str], mean: float, k: int) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], files: list[str], mean: float, k: int, block: int, shard_docs: int) -> Iterator[pa.RecordBatch]:
     import pyarrow.parquet as pq
 
     held: list[tuple] = []
+    least: list[np.ndarray] = []  # of each batch of queries: the k-th scores so far
     weight, n = 0, 0
 
     def answers() -> Iterator[pa.RecordBatch]:
         before = np.cumsum([0, *(len(h[0]) for h in held)])
-        shard = Shard(np.concatenate([h[0] for h in held]), np.concatenate([h[1] + n for h, n in zip(held, before, strict=False)]), *(np.concatenate([h[i] for h in held]) for i in (2, 3, 4)), mean)
+        ids, terms, counts, lengths = (np.concatenate([h[i] for h in held]) for i in (0, 2, 3, 4))
+        docs = np.concatenate([h[1] + n for h, n in zip(held, before, strict=False)])
+        held.clear()
+        shard = Shard(ids, docs, terms, counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[docs] / mean)), lengths, block)
+        turn = 0
         for name in files:
             fs, path = scratch.open_fs(name)
             with fs.open_input_file(path) as f:
-                for batch in pq.ParquetFile(f).iter_batches(64):
-                    out: list[tuple] = []
-                    names, terms, weights = (batch.column(c).to_pylist() for c in ("query_id", "terms", "weights"))
-                    asked = [(np.array(t, np.int64).view(U), np.array(w)) for t, w in zip(terms, weights, strict=True)]
-                    for query, (ids, scores) in zip(names, shard.search(asked, k), strict=True):
-                        out.append((np.full(len(ids), query, np.int64), ids, scores))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "doc_id", "score"])
+                for batch in pq.ParquetFile(f).iter_batches(QUERIES):
+                    if turn == len(least):
+                        least.append(np.zeros(batch.num_rows))
+                    names, asked, weights = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
+                    at = np.concatenate([[0], np.cumsum(asked.value_lengths().to_numpy())])
+                    query, ids, scores = shard.search(at, asked.flatten().to_numpy().view(U), weights.flatten().to_numpy(), least[turn], k)
+                    turn += 1
+                    yield pa.RecordBatch.from_arrays([pa.array(names[query]), pa.array(ids), pa.array(scores)], ["query_id", "doc_id", "score"])
 
     for batch in batches:
         docs, terms, counts, lengths = term_counts(batch.column(1))
         held.append((batch.column(0).to_numpy(zero_copy_only=False), docs, terms, counts, lengths))
         weight, n = weight + batch.nbytes, n + len(lengths)
-        if weight >= SHARD_BYTES or n >= SHARD_DOCS:
+        if weight >= SHARD_BYTES or n >= shard_docs:
             yield from answers()
-            held, weight, n = [], 0, 0
+            weight, n = 0, 0
     if held:
         yield from answers()
 
@@ -237,5 +145,6 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id",
     packed = weighed.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("t"))
     kept = scratch.keep(packed.select("query_id", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights")), "queries")
     files = sorted(kept.inputFiles())
-    found = source.mapInArrow(lambda b: _search(b, files, max(words, 1) / max(n, 1), k), "query_id long, doc_id long, score double")
+    block, shard_docs = BLOCK, SHARD_DOCS
+    found = source.mapInArrow(lambda b: _search(b, files, max(words, 1) / max(n, 1), k, block, shard_docs), "query_id long, doc_id long, score double")
     return found.selectExpr("query_id", "cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) as int) AS rank", "doc_id", "score").where(f"rank <= {k}")

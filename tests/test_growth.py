@@ -225,3 +225,59 @@ def test_rules_on_text_run_in_all_tasks(spark, sf_dir):
     read = catalogue.QUERIES["negation_flags"](spark, sf_dir)
     assert spark.read.parquet(f"{sf_dir}/documents.parquet").rdd.getNumPartitions() == 1
     assert read.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and "Exchange" in plan(read)
+
+
+def test_searches_keep_thresholds_between_shards():
+    """Shards of some documents, in blocks, give what brute force gives for all, and an earlier shard's k-th scores leave out what can't be among the best."""
+    import numpy as np
+
+    from resona.operators import postings
+
+    rng = np.random.default_rng(5)
+    n, k, words = 700, 5, 400
+    rows = [np.unique(np.append(rng.choice(words, rng.integers(1, 40), p=(p := 1 / np.arange(1.0, words + 1)) / p.sum()), [words + i] if i % 3 else [])) for i in range(n)]
+    rows[600:] = rows[:100]  # ties
+    docs, terms = np.repeat(np.arange(n), [len(r) for r in rows]), np.concatenate(rows).astype(np.uint64)
+    impact, value = rng.random(words + n)[terms.astype(int)] + 0.1, rng.random(words + n)
+    asked = [rows[i].astype(np.uint64) for i in (0, 7, 55, 301)] + [np.array([9 << 40], np.uint64), np.zeros(0, np.uint64), np.arange(words + n, dtype=np.uint64)]
+    weights = [value[np.minimum(q, words + n - 1).astype(int)] + 0.01 for q in asked]
+    at = np.cumsum([0, *map(len, asked)])
+    score = np.zeros((len(asked), n))
+    for i, (q, w) in enumerate(zip(asked, weights, strict=True)):
+        np.add.at(score[i], docs, np.where(np.isin(terms, q), weight_of(q, w, terms) * impact, 0.0))
+    want = [sorted((-round(s, 6), 10 * d) for d, s in enumerate(row) if s > 0)[:k] for row in score]
+    for step, block in ((700, 8192), (90, 16), (333, 50)):
+        least, found, rows_out = np.zeros(len(asked)), [[] for _ in asked], 0
+        for lo in range(0, n, step):
+            some = (docs >= lo) & (docs < lo + step)
+            ids = 10 * np.arange(lo, min(n, lo + step))
+            shard = postings.Shard(ids, docs[some] - lo, terms[some], impact[some], np.bincount(docs[some] - lo, minlength=len(ids)), block)
+            for q, d, s in zip(*shard.search(at, np.concatenate(asked), np.concatenate(weights), least, k), strict=True):
+                found[q].append((-s, d))
+                rows_out += 1
+        for got, full in zip(found, want, strict=True):
+            got = sorted(got)[:k]
+            assert [d for _, d in got] == [d for _, d in full] and [s for s, _ in got] == pytest.approx([s for s, _ in full], abs=1.1e-6)
+        assert least[0] == pytest.approx(-want[0][-1][0], abs=1.1e-6) or step < n
+        assert rows_out < len(asked) * k * -(-n // step) * (0.6 if step < 200 else 1.01)
+
+
+def weight_of(names, values, terms):
+    import numpy as np
+
+    at = np.searchsorted(names, terms)
+    return np.where(at < len(names), np.append(values, 0.0)[np.minimum(at, len(names))], 0.0)
+
+
+def test_blocks_of_others_are_not_scored(monkeypatch):
+    import numpy as np
+
+    from resona.operators import postings
+
+    docs = np.repeat(np.arange(40), 3)
+    terms = np.concatenate([[i % 2 * 10, i % 2 * 10 + 1, 100 + i] for i in range(40)]).astype(np.uint64)  # two languages
+    shard = postings.Shard(np.arange(40), docs, terms, np.ones(120), np.full(40, 3), 10)
+    scored, scores = [], postings.Shard._scores
+    monkeypatch.setattr(postings.Shard, "_scores", lambda self, b, *a: scored.append(b) or scores(self, b, *a))
+    _, ids, _ = shard.search(np.array([0, 3]), np.array([0, 1, 104], np.uint64), np.ones(3), np.zeros(1), 1)
+    assert ids.tolist() == [4] and len(scored) == 1
