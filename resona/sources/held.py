@@ -26,6 +26,14 @@ def held(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(table: DataFrame) -> None:
+    """Remove a written table that nothing will read again."""
+    spark = table.sparkSession
+    for name in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def dealt(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
     """df, which is made of rows that repartition(n, key) dealt out, written once in n buckets of key, a file each: what is grouped by the key, among others, needs no shuffle."""
     spark, known = df.sparkSession, f"resona_{name}_{uuid.uuid4().hex[:12]}"

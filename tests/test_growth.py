@@ -281,3 +281,49 @@ def test_blocks_of_others_are_not_scored(monkeypatch):
     monkeypatch.setattr(postings.Shard, "_scores", lambda self, b, *a: scored.append(b) or scores(self, b, *a))
     _, ids, _ = shard.search(np.array([0, 3]), np.array([0, 1, 104], np.uint64), np.ones(3), np.zeros(1), 1)
     assert ids.tolist() == [4] and len(scored) == 1
+
+
+def test_ngrams_as_hashes(spark):
+    """A text's distinct n-grams and their counts, and those that texts share, are the ones that the model's stages make as strings."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from resona.operators import complexity as cx
+    from resona.operators import ngrams
+
+    texts = ["fan x belt  hum", "", "a", " hum belt\tfan\n", "aaaa aaaa aaaa", "çığ İç \U0001f600\U0001f600 b_1 x-y", "fan x belt  hum", "  ", "hum hum"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    for stage, kind in ((cx.WordNGrams, "words"), (cx.CharNGrams, "chars")):
+        want = [Counter(r.o) for r in stage(inputCol="text", outputCol="o").transform(df).orderBy("id").collect()]
+        words = [r.w for r in df.orderBy("id").selectExpr(rf"transform(regexp_extract_all(text, r'{cx.WORD}', 0), w -> xxhash64(w)) as w").collect()]
+        spaced = [r.s for r in df.orderBy("id").selectExpr(r"concat(' ', regexp_replace(text, r'(?U)\s+', '  '), ' ') as s").collect()]
+        at, terms, counts = ngrams.counted(pa.array(words, pa.list_(pa.int64())), pa.array(spaced))[kind]
+        got = [Counter(dict(zip(terms[at == i].tolist(), counts[at == i].tolist(), strict=True))) for i in range(len(texts))]
+        assert [sorted(c.values()) for c in got] == [sorted(c.values()) for c in want]
+        assert [[len(a & b) for b in got] for a in got] == [[len(a & b) for b in want] for a in want]
+
+
+def test_folds_count_ngrams_once(spark, monkeypatch):
+    """All folds share one count of n-grams, and their figures are those of the model's own stages."""
+    import random
+
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+
+    from resona.operators import complexity as cx
+    from resona.operators import ngrams
+    from resona.sources import held
+    from tests.test_complexity import queries
+
+    rng = random.Random(4)
+    labelled = spark.createDataFrame([(i, label if rng.random() < 0.8 else 1 - label, text) for i, label, text in queries(rng, 150)], "id long, label int, text string")
+    kept, write = [], held.held
+    monkeypatch.setattr(held, "held", lambda df, name: kept.append(name) or write(df, name))
+    got = {r.metric: (r["mean"], r.spread) for r in cx.cross_validate(labelled, ["bearing"], 2, 5).collect()}
+    assert kept.count("vocabulary") == 1 and kept.count("folds") == 1
+    rows = Pipeline(stages=cx.shaping(["bearing"])).fit(labelled).transform(cx.folds(labelled, 2)).cache()
+    parts = [Pipeline(stages=cx.learning(rows.where(f"fold <> {k}").count(), 5)).fit(rows.where(f"fold <> {k}")).transform(rows.where(f"fold = {k}")) for k in range(2)]
+    want = cx.summary(parts[0].unionByName(parts[1]).select("fold", "id", "label", vector_to_array("probability")[1].alias("p")))
+    assert got == {r.metric: (pytest.approx(r["mean"]), pytest.approx(r.spread)) for r in want.collect()}
+    assert ngrams.KINDS == ("words", "chars")
