@@ -23,98 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from resona.llm import scratch
-from resona.operators.postings import BLOCK, Shard
+from resona.operators.postings import BLOCK, SHARD_DOCS, frequencies, searched, term_counts
 
 K1, B = 1.2, 0.75
-SHARD_BYTES, SHARD_DOCS = 16 << 20, 20_000
-#: Queries that are compared with a shard at a time.
-QUERIES = 256
-U = np.uint64
-
-
-def term_counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct terms of each text: (document, term, count), sorted by both, and each document's length.
-
-    Terms are runs of ASCII letters and digits and of characters beyond ASCII; ASCII capitals count as small.
-    """
-    from resona.llm.hashing import column_bytes, slices, word_hashes, word_spans
-
-    data, offsets = column_bytes(column)
-    docs, terms, counts, lengths = [], [], [], []
-    for lo, hi in slices(offsets):
-        part = data[offsets[lo] : offsets[hi]]
-        starts, ends, bounds = word_spans(part, offsets[lo : hi + 1] - offsets[lo], "letters")
-        words = word_hashes(part, starts, ends, 3, fold=True)
-        lengths.append(np.diff(bounds))
-        for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-            if b > a:
-                own, n = np.unique(words[a:b], return_counts=True)
-                docs.append(np.full(len(own), lo + i, np.int64))
-                terms.append(own)
-                counts.append(n)
-    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-    return join(docs, np.int64), join(terms, U), join(counts, np.int64), join(lengths, np.int64)
-
-
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, df) of some megabytes of text at a time; term null: df counts documents, words their words."""
-    def row(terms, df, words=None):
-        return pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(df, pa.int64()), pa.array(words or [0] * len(df), pa.int64())], ["term", "df", "words"])
-
-    held, weight, n, words = [], 0, 0, 0
-
-    def merged() -> pa.RecordBatch:
-        terms, df = np.unique(np.concatenate(held), return_counts=True)
-        return row(terms.view(np.int64), df)
-
-    for batch in batches:
-        _, terms, _, lengths = term_counts(batch.column(0))
-        held.append(terms)
-        weight += len(terms)
-        n, words = n + len(lengths), words + int(lengths.sum())
-        if weight > 4 << 20:
-            yield merged()
-            held, weight = [], 0
-    if weight:
-        yield merged()
-    yield row([None], [n], [words])
 
 
 def _search(batches: Iterator[pa.RecordBatch], files: list[str], mean: float, k: int, block: int, shard_docs: int) -> Iterator[pa.RecordBatch]:
-    import pyarrow.parquet as pq
-
-    held: list[tuple] = []
-    least: list[np.ndarray] = []  # of each batch of queries: the k-th scores so far
-    weight, n = 0, 0
-
-    def answers() -> Iterator[pa.RecordBatch]:
-        before = np.cumsum([0, *(len(h[0]) for h in held)])
-        ids, terms, counts, lengths = (np.concatenate([h[i] for h in held]) for i in (0, 2, 3, 4))
-        docs = np.concatenate([h[1] + n for h, n in zip(held, before, strict=False)])
-        held.clear()
-        shard = Shard(ids, docs, terms, counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[docs] / mean)), lengths, block)
-        turn = 0
-        for name in files:
-            fs, path = scratch.open_fs(name)
-            with fs.open_input_file(path) as f:
-                for batch in pq.ParquetFile(f).iter_batches(QUERIES):
-                    if turn == len(least):
-                        least.append(np.zeros(batch.num_rows))
-                    names, asked, weights = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
-                    at = np.concatenate([[0], np.cumsum(asked.value_lengths().to_numpy())])
-                    query, ids, scores = shard.search(at, asked.flatten().to_numpy().view(U), weights.flatten().to_numpy(), least[turn], k)
-                    turn += 1
-                    yield pa.RecordBatch.from_arrays([pa.array(names[query]), pa.array(ids), pa.array(scores)], ["query_id", "doc_id", "score"])
-
-    for batch in batches:
-        docs, terms, counts, lengths = term_counts(batch.column(1))
-        held.append((batch.column(0).to_numpy(zero_copy_only=False), docs, terms, counts, lengths))
-        weight, n = weight + batch.nbytes, n + len(lengths)
-        if weight >= SHARD_BYTES or n >= shard_docs:
-            yield from answers()
-            weight, n = 0, 0
-    if held:
-        yield from answers()
+    parts = ((batch.column(0).to_numpy(zero_copy_only=False), *term_counts(batch.column(1)), batch.nbytes) for batch in batches)
+    for found in searched(parts, files, mean, k, K1, B, block, shard_docs):
+        yield found.rename_columns(["query_id", "doc_id", "score"])
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +51,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id",
     """
     spark = docs.sparkSession
     source = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), "text")
-    counted = scratch.keep(source.select("text").mapInArrow(_frequencies, "term long, df long, words long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words")), "frequencies")
+    counted = scratch.keep(source.select("text").mapInArrow(frequencies, "term long, df long, words long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words")), "frequencies")
     total = counted.where("term is null").first()
     n, words = (total["df"], total["words"]) if total else (0, 0)
     asked = queries.where(F.col(query_key).isNotNull()).select(F.col(query_key).cast("long").alias("query_id"), "text")

@@ -11,21 +11,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from resona.functions.hashing import mix
+
 #: Texts that are taken at a time, and distinct n-grams of texts that are held until they are added up.
 TEXTS, HELD = 256, 1 << 20
 KINDS = ("words", "chars")
 U = np.uint64
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective 64-bit scrambling."""
-    x = x.astype(U, copy=True)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x ^= x >> U(shift)
-        x *= U(factor)
-    return x ^ (x >> U(31))
-
-
 def runs(items: np.ndarray, group: np.ndarray, sizes: range) -> tuple[np.ndarray, np.ndarray]:
     """For each size and place the hash of the run of so many items that begins there, and whether the run is inside its group."""
     factors = np.random.default_rng(11).integers(1 << 40, 1 << 62, (sizes[-1] + 1, sizes[-1])).astype(U) | U(1)

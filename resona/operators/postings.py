@@ -9,14 +9,67 @@ posting.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
+
+from resona.functions.hashing import column_bytes, slices, word_hashes, word_spans
 
 #: Documents of a block, 1 << 16 at most; the most terms of a block that are kept as rows over its documents, those of at least 1 / COMMON_SHARE of them.
 BLOCK, COMMON, COMMON_SHARE = 8192, 1024, 14
+#: Bytes and documents of a shard, and queries that are compared with it at a time.
+SHARD_BYTES, SHARD_DOCS, QUERIES = 16 << 20, 20_000, 256
 #: What two sums of the same numbers may differ by, with half of the last decimal of each.
 SLACK = 2e-6
 
 
+def term_counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct terms of each text: (document, term, count), sorted by both, and each document's length.
+
+    Terms are runs of ASCII letters and digits and of characters beyond ASCII; ASCII capitals count as small.
+    """
+    data, offsets = column_bytes(column)
+    docs, terms, counts, lengths = [], [], [], []
+    for lo, hi in slices(offsets):
+        part = data[offsets[lo] : offsets[hi]]
+        starts, ends, bounds = word_spans(part, offsets[lo : hi + 1] - offsets[lo], "letters")
+        words = word_hashes(part, starts, ends, 3, fold=True)
+        lengths.append(np.diff(bounds))
+        for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+            if b > a:
+                own, n = np.unique(words[a:b], return_counts=True)
+                docs.append(np.full(len(own), lo + i, np.int64))
+                terms.append(own)
+                counts.append(n)
+    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    return join(docs, np.int64), join(terms, np.uint64), join(counts, np.int64), join(lengths, np.int64)
+
+
+def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, df) of some megabytes of text at a time; term null: df counts documents, words their words."""
+    def row(terms, df, words=None):
+        return pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(df, pa.int64()), pa.array(words or [0] * len(df), pa.int64())], ["term", "df", "words"])
+
+    held, weight, n, words = [], 0, 0, 0
+
+    def merged() -> pa.RecordBatch:
+        terms, df = np.unique(np.concatenate(held), return_counts=True)
+        return row(terms.view(np.int64), df)
+
+    for batch in batches:
+        _, terms, _, lengths = term_counts(batch.column(0))
+        held.append(terms)
+        weight += len(terms)
+        n, words = n + len(lengths), words + int(lengths.sum())
+        if weight > 4 << 20:
+            yield merged()
+            held, weight = [], 0
+    if weight:
+        yield merged()
+    yield row([None], [n], [words])
+
+
 class Shard:
     """Inverted index of documents: ids and lengths by document; documents, terms and impacts by posting."""
 
@@ -105,6 +158,48 @@ class Shard:
         return found
 
 
+def searched(parts: Iterable[tuple], files: list[str], mean: float, k: int, k1: float = 1.2, b: float = 0.75, block: int = BLOCK, shard_docs: int = SHARD_DOCS) -> Iterator[pa.RecordBatch]:
+    """query_id, id, score of the best k of each shard of documents for each query by BM25; of a later shard, only those that may be among the best k of all.
+
+    parts: ids of some documents, then document (its place in ids), term and count by posting, the documents' lengths and bytes. files:
+    Parquet files of queries (query_id, terms, weights). mean: the mean length of all documents.
+    """
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    held: list[tuple] = []
+    least: list[np.ndarray] = []  # of each batch of queries: the k-th scores so far
+    weight, n = 0, 0
+
+    def answers() -> Iterator[pa.RecordBatch]:
+        before = np.cumsum([0, *(len(h[0]) for h in held)])
+        ids, terms, counts, lengths = (np.concatenate([h[i] for h in held]) for i in (0, 2, 3, 4))
+        docs = np.concatenate([h[1] + n for h, n in zip(held, before, strict=False)])
+        held.clear()
+        shard = Shard(ids, docs, terms, counts * (k1 + 1) / (counts + k1 * (1 - b + b * lengths[docs] / mean)), lengths, block)
+        turn = 0
+        for name in files:
+            store, path = fs.FileSystem.from_uri(name)
+            with store.open_input_file(path) as f:
+                for batch in pq.ParquetFile(f).iter_batches(QUERIES):
+                    if turn == len(least):
+                        least.append(np.zeros(batch.num_rows))
+                    names, asked, weights = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
+                    at = np.concatenate([[0], np.cumsum(asked.value_lengths().to_numpy())])
+                    query, ids, scores = shard.search(at, asked.flatten().to_numpy().view(np.uint64), weights.flatten().to_numpy(), least[turn], k)
+                    turn += 1
+                    yield pa.RecordBatch.from_arrays([pa.array(names[query]), pa.array(ids), pa.array(scores)], ["query_id", "id", "score"])
+
+    for *part, size in parts:
+        held.append(part)
+        weight, n = weight + size, n + len(part[0])
+        if weight >= SHARD_BYTES or n >= shard_docs:
+            yield from answers()
+            weight, n = 0, 0
+    if held:
+        yield from answers()
+
+
 def likely(found: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns, by row, of the sums that may reach the row's least and be among its best k."""
     over = found > np.maximum(least - SLACK, 0.0)[:, None]

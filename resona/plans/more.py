@@ -34,7 +34,8 @@ FUSED = HYBRID + """, f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + r
 def _hybrid(spark, d, n):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     vectors = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("id"))
-    sparse = ret.bm25_top_k(docs, docs.join(vectors, "id", "left_semi").withColumnRenamed("id", "query_id"), 25)
+    # a hundredth of the vectors' ids
+    sparse = ret.bm25_of_texts(docs, docs.join(F.broadcast(vectors), "id", "left_semi").withColumnRenamed("id", "query_id"), 25)
     return ret.fuse(_dense(spark, d, 25), sparse, n)
 
 

@@ -327,3 +327,34 @@ def test_folds_count_ngrams_once(spark, monkeypatch):
     want = cx.summary(parts[0].unionByName(parts[1]).select("fold", "id", "label", vector_to_array("probability")[1].alias("p")))
     assert got == {r.metric: (pytest.approx(r["mean"]), pytest.approx(r.spread)) for r in want.collect()}
     assert ngrams.KINDS == ("words", "chars")
+
+
+def test_whole_texts_as_queries(spark):
+    """The same rows as by joins on terms; terms that a query repeats count once, and a document without an id only counts in the statistics."""
+    import random
+
+    from resona.operators import retrieval as ret
+
+    rng = random.Random(7)
+    text = lambda i: " ".join(rng.choices(["The", "and", "çok", "of", f"own{i % 9}", f"rare{i}", "x-1"], k=rng.randrange(1, 30)))
+    rows = [(3 * i, text(i)) for i in range(150)] + [(1000, None), (1001, "..."), (1002, "unlike")]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    asked = docs.where("id % 9 = 0 or id > 999").withColumnRenamed("id", "query_id")
+    want = sorted(map(tuple, ret.bm25_top_k(docs, asked, 6).select("query_id", "id", "score", "rank").collect()))
+    got = ret.bm25_of_texts(docs, asked.unionByName(asked.limit(5)), 6)
+    assert sorted(map(tuple, got.select("query_id", "id", "score", "rank").collect())) == want and len(want) > 250
+    extra = docs.unionByName(spark.createDataFrame([(None, "own1 unlike of"), (None, None)], docs.schema))
+    some = ret.bm25_of_texts(extra, asked, 6)
+    named = docs.unionByName(spark.createDataFrame([(-1, "own1 unlike of"), (-2, None)], docs.schema))
+    full = [r for r in ret.bm25_top_k(named, asked, 8).select("query_id", "id", "score").collect() if r.id >= 0]
+    score = {(r.query_id, r.id): r.score for r in full}
+    assert all(r.id is not None and score.get((r.query_id, r.id), r.score) == r.score for r in some.collect())
+    assert {(r.query_id, r.id) for r in some.where("query_id = 1002").collect()} == {(1002, 1002)}
+    assert ret.bm25_of_texts(docs, asked.limit(0), 3).count() == 0 and ret.bm25_of_texts(docs.limit(0), asked, 3).count() == 0
+
+
+@pytest.mark.parametrize("name", ["hybrid_search", "hybrid_rerank"])
+def test_hybrid_search_makes_no_pairs_by_joins(spark, sf_dir, name):
+    """Whole texts are compared in shards: no pass over counted documents for each block of queries, and no pair but a task's best."""
+    text = plan(catalogue.QUERIES[name](spark, sf_dir))
+    assert "Bucketed: true" not in text and "inline" not in text and "tf#" not in text
